@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.bounds import broadcast_if_bounded
+from gleaner.operators.bounds import anti_join_large, broadcast_if_bounded
 from gleaner.operators.embed import points_to_embed
 from gleaner.session import checkpoint_dir
 
@@ -20,12 +20,17 @@ def orphan_ids(stored_ids: DataFrame, articles: DataFrame) -> DataFrame:
     return stored_ids.select("id").join(articles.select("id"), "id", "left_anti")
 
 
-def pending_articles(articles: DataFrame, stored_ids: DataFrame) -> DataFrame:
+def pending_articles(
+    articles: DataFrame, stored_ids: DataFrame, max_rows: int | None = None
+) -> DataFrame:
     """Whole rows of the articles without a vector.
 
-    Only ids are shuffled to find them; the rows are then picked by a join with that
-    id list, broadcast when it is small enough.
+    For a delivery of at most ``max_rows`` articles the stored ids are only scanned.
+    Otherwise ids alone are shuffled; the rows are then picked by a join with that id
+    list, broadcast when it is small enough.
     """
+    if max_rows is not None:
+        return anti_join_large(articles, stored_ids, ["id"], max_rows, 16)
     checkpoint_dir(articles.sparkSession)
     ids = pending_ids(articles, stored_ids).checkpoint()
     return articles.join(broadcast_if_bounded(ids, ids.count(), 16), "id", "left_semi")

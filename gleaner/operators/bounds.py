@@ -22,6 +22,19 @@ def broadcast_if_bounded(
     return F.broadcast(df) if is_bounded(max_rows, row_bytes, limit) else df
 
 
+def anti_join_large(
+    small: DataFrame, large: DataFrame, keys: list[str], max_rows: int, row_bytes: int
+) -> DataFrame:
+    """Rows of ``small`` whose keys are not in a far larger table.
+
+    The large side is first cut down to the small side's keys, so that within the
+    bound it is scanned in place instead of shuffled.
+    """
+    wanted = broadcast_if_bounded(small.select(*keys), max_rows, row_bytes)
+    known = large.select(*keys).join(wanted, keys, "left_semi")
+    return small.join(known, keys, "left_anti")
+
+
 def join_hot(
     left: DataFrame,
     right: DataFrame,

@@ -17,18 +17,23 @@ def join_keys(left: DataFrame, right: DataFrame) -> list[str]:
     return [c for c in ("bucket", "id") if c in left.columns and c in right.columns]
 
 
-def hydrate(hits: DataFrame, articles: DataFrame, max_hits: int) -> DataFrame:
+def hydrate(
+    hits: DataFrame, articles: DataFrame, max_hits: int, with_content: bool = False
+) -> DataFrame:
     """Attach article metadata to hits; hits without an article drop out.
 
     Order travels as ``rank``. ``max_hits`` is the proven bound (queries x k): within
-    it the hits are broadcast and the articles are only scanned.
+    it the hits are broadcast and the articles are only scanned. ``with_content``
+    takes the content from the same scan.
     """
     fields = ["tieu_de", "summary", "link", "ngay_dang", "nguon"]
+    content = [F.col(CONTENT_COLUMN).alias("content")] if with_content else []
     keys = join_keys(hits, articles)
-    metadata = articles.select(*keys, *fields)
+    metadata = articles.select(*keys, *fields, *content)
     small = broadcast_if_bounded(hits, max_hits, HIT_BYTES)
     return metadata.join(small, keys).select(
         *hits.columns,
+        *(["content"] if with_content else []),
         F.col("tieu_de").alias("title"),
         "summary",
         F.col("link").alias("url"),
@@ -39,19 +44,13 @@ def hydrate(hits: DataFrame, articles: DataFrame, max_hits: int) -> DataFrame:
 
 
 def lookup_content(content: DataFrame, ids: DataFrame, max_ids: int) -> DataFrame:
-    """(id, content) for an id set; reads only the id and content columns."""
+    """(id, content) for an id set; reads only the id and content columns.
+
+    Left-join its result to keep ids without content. A left join with the content
+    table itself cannot broadcast its left side and would shuffle all content.
+    """
     keys = join_keys(ids, content)
     wanted = broadcast_if_bounded(ids.select(*keys).distinct(), max_ids, ID_BYTES)
     return content.join(wanted, keys, "left_semi").select(
         "id", F.col(CONTENT_COLUMN).alias("content")
     )
-
-
-def attach_content(results: DataFrame, content: DataFrame, max_rows: int) -> DataFrame:
-    """Left join of content; ids without content get null.
-
-    The lookup comes first: a left join cannot broadcast its left side and would
-    shuffle the whole content table.
-    """
-    found = lookup_content(content, results, max_rows)
-    return results.join(found, "id", "left")

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from gleaner.functions.vectors import cosine
 from gleaner.schemas import HITS_DDL
 from gleaner.session import checkpoint_dir, ship_package
-from gleaner.settings import CANDIDATE_K, QUERY_BLOCK_ROWS
+from gleaner.settings import BROADCAST_LIMIT_BYTES, CANDIDATE_K, QUERY_BLOCK_ROWS
 
 MICRO = 10**6  # scores are held as whole millionths
 NO_SCORE = -2 * MICRO
@@ -187,24 +187,25 @@ def query_blocks(queries: DataFrame, block_rows: int) -> Iterator[QueryBlock]:
     queries = queries.select("query_id", "vector")
     head = queries.limit(block_rows + 1).toArrow()
     if head.num_rows <= block_rows:
-        if head.num_rows:
-            yield _to_block(head)
+        yield from _to_blocks(head)
         return
     checkpoint_dir(queries.sparkSession)
     pinned = queries.checkpoint()
     n_blocks = -(-2 * pinned.count() // block_rows)
     for block in range(n_blocks):
         part = pinned.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
-        rows = part.toArrow()
-        if rows.num_rows:
-            yield _to_block(rows)
+        yield from _to_blocks(part.toArrow())
 
 
-def _to_block(table: pa.Table) -> QueryBlock:
-    vectors = table["vector"].combine_chunks()
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = pa.concat_arrays(vectors.chunks)
-    return QueryBlock(table["query_id"].to_numpy(), to_matrix(vectors))
+def _to_blocks(table: pa.Table) -> Iterator[QueryBlock]:
+    """Cut further where wide vectors would make a block too large to ship."""
+    if not table.num_rows:
+        return
+    ids = table["query_id"].to_numpy()
+    matrix = to_matrix(pa.concat_arrays(table["vector"].chunks))
+    rows = max(1, BROADCAST_LIMIT_BYTES // (matrix.shape[1] * matrix.itemsize))
+    for start in range(0, len(ids), rows):
+        yield QueryBlock(ids[start : start + rows], matrix[start : start + rows])
 
 
 def to_matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:

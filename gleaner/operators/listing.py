@@ -34,12 +34,18 @@ def news_items(articles: DataFrame, *extra: str) -> DataFrame:
     return articles.select(*columns, F.lit(None).cast("string").alias("image"), *extra)
 
 
+def _page(articles: DataFrame, sort_column: str, order: list, page: Page) -> DataFrame:
+    return slice_page(news_items(articles, "seq"), sort_column, order, page).select(
+        *ITEM_FIELDS, "position"
+    )
+
+
 def latest_news(
     articles: DataFrame, page: int = 1, limit: int = DEFAULT_PAGE_LIMIT
 ) -> DataFrame:
     """Newest first by ISO date text, undated last, id decides ties."""
     order = [F.desc_nulls_last("publish_date"), F.asc("id")]
-    return slice_page(news_items(articles), order, Page.clamp(page, limit))
+    return _page(articles, "publish_date", order, Page.clamp(page, limit))
 
 
 def latest_envelope(
@@ -51,7 +57,7 @@ def latest_envelope(
 def featured_news(articles: DataFrame, limit: int = FEATURED_LIMIT) -> DataFrame:
     """Most commented first, uncounted last, id decides ties."""
     order = [F.desc_nulls_last("comments"), F.asc("id")]
-    return slice_page(news_items(articles), order, Page.clamp(1, limit))
+    return _page(articles, "comments", order, Page.clamp(1, limit))
 
 
 def featured_envelope(articles: DataFrame, limit: int = FEATURED_LIMIT) -> DataFrame:
@@ -88,8 +94,8 @@ def keyword_search(
     articles: DataFrame, query: str, page: int = 1, limit: int = DEFAULT_PAGE_LIMIT
 ) -> DataFrame:
     """One page of matches in source order."""
-    matched = news_items(keyword_matches(articles, query), "seq")
-    return slice_page(matched, [F.asc("seq")], Page.clamp(page, limit)).drop("seq")
+    matched = keyword_matches(articles, query)
+    return _page(matched, "seq", [F.asc("seq")], Page.clamp(page, limit))
 
 
 def keyword_envelope(

@@ -26,49 +26,58 @@ class Page:
 
 
 def slice_page(
-    rows: DataFrame, order: list, page: Page, top_k_rows: int = TOP_K_PAGE_ROWS
+    rows: DataFrame,
+    sort_column: str,
+    order: list,
+    page: Page,
+    top_k_rows: int = TOP_K_PAGE_ROWS,
 ) -> DataFrame:
-    """Rows ``start .. start+limit`` in the given total order, with ``position``.
+    """Rows ``start .. start+limit`` of the given total order, with ``position``.
 
-    Early pages are a distributed top-k. A page that ends beyond ``top_k_rows``
-    would make every task and the driver hold that many rows, so deep pages sort by
-    range instead and touch only the partitions the page falls into.
+    First only ``id``, ``seq`` and the sort column are read (and, for articles still
+    to be deduplicated, shuffled) to find which rows are on the page, at most
+    ``MAX_PAGE_LIMIT`` of them. Then exactly these are fetched by an id filter, which
+    reaches the scan.
+
+    Early pages are found by a distributed top-k. A page ending beyond ``top_k_rows``
+    would make every task and the driver hold that many rows, so deep pages are
+    sorted by range and only the partitions the page falls into are looked at.
     """
+    keys = rows.select(*dict.fromkeys(["id", "seq", sort_column]))
     if page.start + page.limit <= top_k_rows:
-        picked = rows.orderBy(*order).offset(page.start).limit(page.limit)
-        return picked.withColumn("position", F.monotonically_increasing_id())
-    return _deep_page(rows, order, page)
+        picked = keys.orderBy(*order).offset(page.start).limit(page.limit)
+        found = [(row["id"], row["seq"], nth) for nth, row in enumerate(picked.collect())]
+    else:
+        found = _deep_page(keys, order, page)
+
+    places = rows.sparkSession.createDataFrame(found, "id bigint, seq bigint, position bigint")
+    wanted = rows.where(F.col("id").isin([row[0] for row in found]) if found else F.lit(False))
+    return wanted.join(F.broadcast(places), ["id", "seq"]).orderBy("position")
 
 
-def _deep_page(rows: DataFrame, order: list, page: Page) -> DataFrame:
-    checkpoint_dir(rows.sparkSession)
-    ranged = rows.repartitionByRange(*order)
+def _deep_page(keys: DataFrame, order: list, page: Page) -> list[tuple[int, int, int]]:
+    checkpoint_dir(keys.sparkSession)
+    ranged = keys.repartitionByRange(*order)
     # Range bounds are sampled; the checkpoint pins them for the two passes below.
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).checkpoint()
-    counts = ranged.groupBy("_part").count().orderBy("_part").collect()
-
-    first, seen, parts = None, 0, []
-    for row in counts:
-        if seen + row["count"] > page.start and seen < page.start + page.limit:
-            first = seen if first is None else first
-            parts.append(row["_part"])
-        seen += row["count"]
-    # Position inside the partition; earlier chosen partitions add their size.
-    sizes = {row["_part"]: row["count"] for row in counts}
-    base, offset = {}, first or 0
-    for part in parts:
-        base[part] = offset
-        offset += sizes[part]
-    before = F.lit(0).cast("bigint")
-    for part, value in base.items():
-        before = F.when(F.col("_part") == part, F.lit(value)).otherwise(before)
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return (
-        ranged.where(F.col("_part").isin(parts) if parts else F.lit(False))
-        .withColumn("position", before + within - 1 - F.lit(page.start))
+    ranged = ranged.withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
+
+    # Where each overlapping partition starts, relative to the page.
+    starts, seen = {}, 0
+    for part, n in sizes:
+        if seen < page.start + page.limit and seen + n > page.start:
+            starts[part] = seen - page.start
+        seen += n
+    if not starts:
+        return []
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    begin = F.create_map([F.lit(x) for pair in starts.items() for x in pair])
+    placed = (
+        ranged.where(F.col("part").isin(list(starts)))
+        .select("id", "seq", (begin[F.col("part")] + within).alias("position"))
         .where(F.col("position").between(0, page.limit - 1))
-        .drop("_part")
     )
+    return [tuple(row) for row in placed.collect()]
 
 
 def envelope(rows: DataFrame, page: Page) -> DataFrame:

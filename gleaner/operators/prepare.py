@@ -25,7 +25,7 @@ def rejected_urls(raw: DataFrame) -> DataFrame:
 
 
 def keep_first(raw: DataFrame, order: str = "seq") -> DataFrame:
-    """The earliest row of each stripped URL.
+    """The earliest row of each stripped URL, with that URL as ``url_key``.
 
     ``row_number() = 1`` becomes a group limit that Spark also runs before the
     shuffle, so a URL holding a third of all rows reaches its reducer as one row per
@@ -38,14 +38,16 @@ def keep_first(raw: DataFrame, order: str = "seq") -> DataFrame:
         .withColumn(URL_KEY, strip("link"))
         .withColumn("_nth", F.row_number().over(window))
         .where(F.col("_nth") == 1)
-        .drop("_nth", URL_KEY)
+        .drop("_nth")
     )
 
 
 def prepare_articles(raw: DataFrame, with_content: bool = True) -> DataFrame:
     """Check columns, drop repeats, add ``id`` and ``search_blob``, coerce comments.
 
-    Needs a ``seq`` column that states the source order.
+    Needs a ``seq`` column that states the source order. ``id`` is computed from the
+    partition key of the window, so a filter on ids reaches the rows before the
+    shuffle.
     """
     require_columns(raw, [*REQUIRED_COLUMNS, "seq"])
     columns = ["seq", *REQUIRED_COLUMNS]
@@ -53,7 +55,7 @@ def prepare_articles(raw: DataFrame, with_content: bool = True) -> DataFrame:
         columns.append(CONTENT_COLUMN)
     kept = keep_first(raw.select(*columns))
     return kept.select(
-        stable_id("link").alias("id"),
+        stable_id(URL_KEY).alias("id"),
         *[
             to_nullable_long(F.col(c)).alias(c) if c == "so_binh_luan" else F.col(c)
             for c in columns

@@ -31,11 +31,13 @@ def build_vectors(
     dim: int = VECTOR_DIM,
     slices: int = 1,
     batch_size: int = ENCODE_BATCH,
+    max_rows: int | None = None,
 ) -> BuildReport:
     """Incremental: only ids the store lacks. Force: all again. Recreate: from empty.
 
     Each of ``slices`` id slices is committed on its own. A rerun after a failure
-    picks up what is missing; finished slices are not encoded again.
+    picks up what is missing; finished slices are not encoded again. ``max_rows`` says
+    that ``articles`` is a delivery of at most so many rows.
     """
     if mode not in (INCREMENTAL, FORCE, RECREATE):
         raise ValueError(f"unknown mode {mode!r}")
@@ -47,7 +49,7 @@ def build_vectors(
     already = 0 if mode == RECREATE else store.count()
     todo = articles
     if mode == INCREMENTAL and already:
-        todo = pending_articles(articles, store.ids())
+        todo = pending_articles(articles, store.ids(), max_rows)
 
     encoded = empty = 0
     for part in range(slices):

@@ -23,7 +23,7 @@ from gleaner.operators.paging import Page, slice_page
 from gleaner.plans.build_vectors import FORCE, RECREATE, build_vectors
 from gleaner.plans.semantic_search import as_list_items, list_envelopes, semantic_search
 from gleaner.schemas import CONTENT_COLUMN
-from gleaner.session import scratch_path
+from gleaner.session import checkpoint_dir, scratch_path
 from gleaner.sources.article_store import ArticleStore
 from gleaner.sources.csv import CSV_SCHEMA, read_articles_csv, write_articles_csv
 from gleaner.sources.jdbc import articles_from_news
@@ -214,8 +214,9 @@ def latest_past_end(t: Tables) -> DataFrame:
 def latest_page_deep(t: Tables) -> DataFrame:
     """A page taken by range instead of top-k."""
     order = [F.desc_nulls_last("publish_date"), F.asc("id")]
-    page = Page.clamp(4, 35)
-    return slice_page(listing.news_items(t.articles()), order, page, top_k_rows=0)
+    items = listing.news_items(t.articles(), "seq")
+    page = slice_page(items, "publish_date", order, Page.clamp(4, 35), top_k_rows=0)
+    return page.select(*listing.ITEM_FIELDS, "position")
 
 
 @query
@@ -538,7 +539,7 @@ def stream_ingest(t: Tables) -> DataFrame:
 
 def _search(t: Tables, **options) -> DataFrame:
     return semantic_search(
-        t.queries(), t.articles(), t.hashed_vectors(), embedder, t.articles(True), **options
+        t.queries(), t.articles(True), t.hashed_vectors(), embedder, **options
     )
 
 
@@ -549,7 +550,8 @@ def semantic_search_lexical(t: Tables) -> DataFrame:
 
 @query
 def semantic_search_passthrough(t: Tables) -> DataFrame:
-    return _search(t, scorer="passthrough")
+    """Not reranked, and the content kept in a table of its own."""
+    return _search(t, scorer="passthrough", content=t.articles(True).select("id", CONTENT_COLUMN))
 
 
 @query
@@ -563,7 +565,7 @@ def search_list_envelopes(t: Tables) -> DataFrame:
 
 
 class LengthScorer:
-    """Longer passages first; refuses a query with an exclamation or a comma."""
+    """Longer passages first; refuses a query with a comma."""
 
     def score(self, query: str, passages: list[str]) -> list[float]:
         if "," in query:
@@ -571,22 +573,22 @@ class LengthScorer:
         return [float(len(p)) for p in passages]
 
 
-def _candidates(t: Tables) -> DataFrame:
-    asked = embed.embed_queries(t.queries().where(~prepare.is_blank("query")), embedder)
-    hits = knn.knn_batch(t.hashed_vectors(), asked)
-    found = hydrate.hydrate(hits, t.articles(), t.queries().count() * 30)
-    return found.join(t.queries(), "query_id")
+def _rerank(t: Tables, scorer) -> DataFrame:
+    checkpoint_dir(t.spark)
+    asked = t.queries().where(~prepare.is_blank("query"))
+    n, size = asked.agg(F.count("*"), F.sum(F.octet_length("query"))).first()
+    hits = knn.knn_batch(t.hashed_vectors(), embed.embed_queries(asked, embedder))
+    return reranking.rerank(hits.checkpoint(), asked, t.articles(), n * 30, size, scorer)
 
 
 @query
 def rerank_lexical(t: Tables) -> DataFrame:
-    return reranking.rerank(_candidates(t)).select("query_id", "id", "score", "rank")
+    return _rerank(t, "lexical")
 
 
 @query
 def rerank_fallback(t: Tables) -> DataFrame:
-    ranked = reranking.rerank(_candidates(t), LengthScorer)
-    return ranked.select("query_id", "id", "score", "rank")
+    return _rerank(t, LengthScorer)
 
 
 @query

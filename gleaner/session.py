@@ -57,3 +57,9 @@ def ship_package(spark: SparkSession) -> None:
                     bundle.write(path, os.path.relpath(path, os.path.dirname(root)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system; a failed read would do but leaves error noise."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

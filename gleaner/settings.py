@@ -17,7 +17,7 @@ UNTITLED = "Không có tiêu đề"
 # A side is broadcast only when rows x bytes-per-row is proven to stay below this.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
-# Query vectors shipped to the tasks in one go (float32: 16 MB at 1024 dimensions).
+# Query vectors shipped to the tasks in one go (32 MB at 1024 dimensions).
 QUERY_BLOCK_ROWS = 4096
 
 # Keyword text compiled into one matcher.

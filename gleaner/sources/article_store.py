@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from gleaner.functions.text import strip
 from gleaner.operators.bounds import broadcast_if_bounded
 from gleaner.operators.hydrate import ID_BYTES
 from gleaner.schemas import CONTENT_COLUMN
+from gleaner.session import path_exists
 
 ARTICLE_DDL = (
     "id bigint, seq bigint, nguon string, tieu_de string, ngay_dang string, "
@@ -32,12 +32,10 @@ class ArticleStore:
         return df.withColumn("bucket", F.pmod("id", F.lit(self.buckets)).cast("int"))
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(ARTICLE_DDL + ", bucket int").parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], ARTICLE_DDL + ", bucket int")
+        schema = ARTICLE_DDL + ", bucket int"
+        if not path_exists(self.spark, self.path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def count(self) -> int:
         return self.read().count()
@@ -61,16 +59,15 @@ class ArticleStore:
         bound, with partition pruning), then compared by URL: two URLs may share an
         id, and must not hide each other.
         """
-        batch = self.with_bucket(prepared)
-        keys = broadcast_if_bounded(batch.select("bucket", "id"), max_rows, ID_BYTES)
-        known = (
-            self.read()
-            .select("bucket", "id", "link")
-            .join(keys, ["bucket", "id"], "left_semi")
-            .select("id", strip("link").alias("url_key"))
-        )
+        known = self.lookup(prepared, max_rows).select("id", strip("link").alias("url_key"))
         return (
-            batch.withColumn("url_key", strip("link"))
+            prepared.withColumn("url_key", strip("link"))
             .join(known, ["id", "url_key"], "left_anti")
-            .drop("bucket", "url_key")
+            .drop("url_key")
         )
+
+    def lookup(self, wanted: DataFrame, max_rows: int) -> DataFrame:
+        """Stored rows of at most ``max_rows`` ids."""
+        ids = self.with_bucket(wanted.select("id").distinct())
+        keys = broadcast_if_bounded(ids, max_rows, ID_BYTES)
+        return self.read().join(keys, ["bucket", "id"], "left_semi")

@@ -12,10 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 
 from gleaner.operators.bounds import broadcast_if_bounded
 from gleaner.schemas import VECTOR_DDL
+from gleaner.session import path_exists
 
 LOG_DDL = "generation int, batch int, kind string, dim int, row_count bigint"
 CREATE, APPEND, REPLACE = "create", "append", "replace"
@@ -38,12 +38,9 @@ class VectorStore:
 
     def _commits(self) -> list[Commit]:
         """Commits of the current generation: one small row per write since compaction."""
-        try:
-            log = self.spark.read.schema(LOG_DDL).parquet(f"{self.path}/log")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not path_exists(self.spark, f"{self.path}/log"):
             return []
+        log = self.spark.read.schema(LOG_DDL).parquet(f"{self.path}/log")
         latest = log.agg(F.max("generation")).scalar()
         rows = log.where(F.col("generation") == latest).orderBy("batch").collect()
         return [Commit(*row) for row in rows]

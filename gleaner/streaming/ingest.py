@@ -35,17 +35,20 @@ def ingest_batch(
     factory: Callable[[], Embedder],
     dim: int = VECTOR_DIM,
 ) -> None:
-    """One delivery: new articles first, then every article still without a vector.
+    """One delivery: new articles first, then those of its articles without a vector.
 
     The stores are the state. A replayed delivery finds its articles stored, and the
-    second step completes vectors that an earlier, broken attempt left out.
+    second step completes vectors that an earlier, broken attempt left out: it looks
+    at the stored form of every article delivered, new or not. Both steps scan the
+    stores without shuffling them.
     """
     batch = prepare_articles(raw).persist()
     try:
-        articles.append(articles.only_new(batch, batch.count()))
+        n = batch.count()
+        articles.append(articles.only_new(batch, n))
+        build_vectors(articles.lookup(batch, n), vectors, factory, dim=dim, max_rows=n)
     finally:
         batch.unpersist()
-    build_vectors(articles.read(), vectors, factory, dim=dim)
 
 
 def start_ingest(
