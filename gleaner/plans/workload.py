@@ -117,6 +117,12 @@ class Tables:
         points = embed.points_to_embed(self.articles())
         return embed.embed_column(points, "text", embedder, SEARCH_DIM).select("id", "vector")
 
+    def stored_vectors(self) -> DataFrame:
+        """Built into a store, so that several search passes only scan."""
+        store = VectorStore(self.spark, scratch_path(self.spark, "vectors"))
+        build_vectors(self.articles(), store, embedder, dim=SEARCH_DIM)
+        return store.read()
+
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -539,7 +545,7 @@ def stream_ingest(t: Tables) -> DataFrame:
 
 def _search(t: Tables, **options) -> DataFrame:
     return semantic_search(
-        t.queries(), t.articles(True), t.hashed_vectors(), embedder, **options
+        t.queries(), t.articles(True), t.stored_vectors(), embedder, **options
     )
 
 
@@ -577,7 +583,7 @@ def _rerank(t: Tables, scorer) -> DataFrame:
     checkpoint_dir(t.spark)
     asked = t.queries().where(~prepare.is_blank("query"))
     n, size = asked.agg(F.count("*"), F.sum(F.octet_length("query"))).first()
-    hits = knn.knn_batch(t.hashed_vectors(), embed.embed_queries(asked, embedder))
+    hits = knn.knn_batch(t.stored_vectors(), embed.embed_queries(asked, embedder))
     return reranking.rerank(hits.checkpoint(), asked, t.articles(), n * 30, size, scorer)
 
 
