@@ -12,6 +12,13 @@ HIT_BYTES = 48
 ID_BYTES = 24
 
 
+def with_bucket(df: DataFrame, buckets: int | None) -> DataFrame:
+    """Add the article store's partition column to rows with an id."""
+    if buckets is None:
+        return df
+    return df.withColumn("bucket", F.pmod("id", F.lit(buckets)).cast("int"))
+
+
 def join_keys(left: DataFrame, right: DataFrame) -> list[str]:
     """``bucket`` too when both sides have it, so that the scan prunes partitions."""
     return [c for c in ("bucket", "id") if c in left.columns and c in right.columns]
@@ -32,7 +39,7 @@ def hydrate(
     metadata = articles.select(*keys, *fields, *content)
     small = broadcast_if_bounded(hits, max_hits, HIT_BYTES)
     return metadata.join(small, keys).select(
-        *hits.columns,
+        *[c for c in hits.columns if c != "bucket"],
         *(["content"] if with_content else []),
         F.col("tieu_de").alias("title"),
         "summary",

@@ -123,6 +123,12 @@ def with_cell(corpus: DataFrame, planes: np.ndarray) -> DataFrame:
     return corpus.withColumn("cell", udf(F.col("vector")))
 
 
+def write_cells(corpus: DataFrame, planes: np.ndarray, path: str) -> None:
+    """Store the corpus partitioned by cell; a large cell gets several writers."""
+    cells = with_cell(corpus, planes).hint("rebalance", "cell")
+    cells.write.partitionBy("cell").parquet(path)
+
+
 def cell_of(matrix: np.ndarray, planes: np.ndarray) -> np.ndarray:
     bits = matrix @ planes.T > 0
     return (bits * (1 << np.arange(len(planes)))).sum(axis=1).astype(np.int32)

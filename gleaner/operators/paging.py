@@ -56,6 +56,8 @@ def slice_page(
 
 
 def _deep_page(keys: DataFrame, order: list, page: Page) -> list[tuple[int, int, int]]:
+    if keys.count() <= page.start:
+        return []
     checkpoint_dir(keys.sparkSession)
     ranged = keys.repartitionByRange(*order)
     # Range bounds are sampled; the checkpoint pins them for the two passes below.

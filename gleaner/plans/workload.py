@@ -425,7 +425,7 @@ def knn_best_when_empty(t: Tables) -> DataFrame:
 
 def _cells(t: Tables, planes: np.ndarray) -> DataFrame:
     path = scratch_path(t.spark, "cells")
-    knn.with_cell(t.embeddings(), planes).write.partitionBy("cell").parquet(path)
+    knn.write_cells(t.embeddings(), planes, path)
     return t.spark.read.parquet(path)
 
 

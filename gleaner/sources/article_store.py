@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import strip
 from gleaner.operators.bounds import broadcast_if_bounded
-from gleaner.operators.hydrate import ID_BYTES
+from gleaner.operators.hydrate import ID_BYTES, with_bucket
 from gleaner.schemas import CONTENT_COLUMN
 from gleaner.session import path_exists
 
@@ -27,15 +27,16 @@ class ArticleStore:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
-
-    def with_bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod("id", F.lit(self.buckets)).cast("int"))
+        if path_exists(spark, f"{path}/layout"):
+            stored = spark.read.schema("buckets int").parquet(f"{path}/layout").first()[0]
+            if stored != buckets:
+                raise ValueError(f"store has {stored} buckets, not {buckets}")
 
     def read(self) -> DataFrame:
         schema = ARTICLE_DDL + ", bucket int"
-        if not path_exists(self.spark, self.path):
+        if not path_exists(self.spark, f"{self.path}/data"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/data")
 
     def count(self) -> int:
         return self.read().count()
@@ -45,12 +46,15 @@ class ArticleStore:
         if CONTENT_COLUMN not in prepared.columns:
             prepared = prepared.withColumn(CONTENT_COLUMN, F.lit(None).cast("string"))
         columns = [c.split()[0] for c in ARTICLE_DDL.split(", ")]
-        rows = self.with_bucket(prepared.select(*columns))
+        if not path_exists(self.spark, f"{self.path}/layout"):
+            layout = self.spark.createDataFrame([(self.buckets,)], "buckets int")
+            layout.coalesce(1).write.parquet(f"{self.path}/layout")
+        rows = with_bucket(prepared.select(*columns), self.buckets)
         # One writer per bucket (more for a large one) instead of every task writing
         # every bucket.
         rows.hint("rebalance", "bucket").write.mode("append").partitionBy(
             "bucket"
-        ).parquet(self.path)
+        ).parquet(f"{self.path}/data")
 
     def only_new(self, prepared: DataFrame, max_rows: int) -> DataFrame:
         """Rows whose URL is not stored yet.
@@ -68,6 +72,6 @@ class ArticleStore:
 
     def lookup(self, wanted: DataFrame, max_rows: int) -> DataFrame:
         """Stored rows of at most ``max_rows`` ids."""
-        ids = self.with_bucket(wanted.select("id").distinct())
+        ids = with_bucket(wanted.select("id").distinct(), self.buckets)
         keys = broadcast_if_bounded(ids, max_rows, ID_BYTES)
         return self.read().join(keys, ["bucket", "id"], "left_semi")

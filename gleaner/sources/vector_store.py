@@ -125,7 +125,8 @@ class VectorStore:
         """Insert points, or replace those whose id is stored; returns rows written.
 
         ``replace=False`` is for ids known to be new, ``unique=True`` for points known
-        to hold each id once (both are so in a build); either saves work.
+        to hold each id once (both are so in a build); either saves work. Of several
+        points with one id in ``points`` one is kept, and which is not defined.
         """
         commits = self._commits()
         if not commits:

@@ -126,6 +126,20 @@ def test_article_store(spark, scratch, articles, plan):
     found = store.lookup(articles.where("seq = 3").select("id"), 1)
     assert [r["link"] for r in found.collect()] == ["u3"]
     assert "dynamicpruning" in plan(found).lower()
+    with pytest.raises(ValueError, match="4 buckets"):
+        ArticleStore(spark, store.path, buckets=8)
+
+
+def test_search_over_the_store(spark, scratch, articles, vectors):
+    store = ArticleStore(spark, scratch("articles"), buckets=4)
+    store.append(articles)
+    queries = queries_of(spark, (1, "alpha beta"), (2, "gamma"))
+    for scorer in ("lexical", "passthrough", Lengths):
+        expected = semantic_search(queries, articles, vectors, model, scorer=scorer).collect()
+        got = semantic_search(
+            queries, store.read(), vectors, model, scorer=scorer, buckets=4
+        ).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and got
 
 
 # --- build ---

@@ -120,7 +120,7 @@ def test_lsh_recall_and_exactness(spark, scratch, data):
     corpus, queries = data
     planes = knn.random_planes(5, DIM, seed=1)
     path = scratch("cells")
-    knn.with_cell(frame(spark, corpus, "id"), planes).write.partitionBy("cell").parquet(path)
+    knn.write_cells(frame(spark, corpus, "id"), planes, path)
     index = spark.read.parquet(path)
     asked = frame(spark, queries, "query_id")
     exact = brute_force(corpus, queries, 10)
@@ -133,7 +133,7 @@ def test_lsh_recall_and_exactness(spark, scratch, data):
 def test_lsh_reads_only_probed_cells(spark, scratch, data, plan):
     planes = knn.random_planes(4, DIM)
     path = scratch("cells")
-    knn.with_cell(frame(spark, data[0], "id"), planes).write.partitionBy("cell").parquet(path)
+    knn.write_cells(frame(spark, data[0], "id"), planes, path)
     one = frame(spark, data[1][:1], "query_id")
     text = plan(knn.knn_lsh(spark.read.parquet(path), one, planes, 2))
     assert "PartitionFilters" in text and "cell" in text.split("PartitionFilters")[1][:80]
