@@ -31,7 +31,9 @@ from gleaner.settings import BROADCAST_LIMIT_BYTES, CANDIDATE_K, QUERY_BLOCK_ROW
 
 MICRO = 10**6  # scores are held as whole millionths
 NO_SCORE = -2 * MICRO
-CELLS_PER_STEP = 2_000_000  # query x corpus cells scored at once
+LAST_ID = np.iinfo(np.int64).max
+ROWS_PER_STEP = 1024  # corpus rows and queries scored at once
+QUERIES_PER_STEP = 2048
 
 
 def knn_one(
@@ -233,33 +235,61 @@ def to_matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:
 class BestRows:
     """The k best (score, id) rows of each query seen so far."""
 
-    def __init__(self, n_queries: int, k: int) -> None:
+    def __init__(self, n_queries: int, k: int, threshold: float | None = None) -> None:
         self.k = k
+        self.threshold = threshold
         self.scores = np.full((n_queries, k), NO_SCORE, np.int64)
-        self.ids = np.full((n_queries, k), np.iinfo(np.int64).max, np.int64)
+        self.ids = np.full((n_queries, k), LAST_ID, np.int64)
 
-    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Merge ``scores`` (query x corpus row); ``ids`` must ascend."""
+    def cutoff(self, rows: np.ndarray, dim: int) -> np.ndarray:
+        """Single-precision cosines below this cannot enter.
+
+        The slack is one unit for the rounding of scores and the error bound of a
+        single-precision product of two unit vectors.
+        """
+        floor = NO_SCORE if self.threshold is None else self.threshold * MICRO
+        lowest = (np.maximum(self.scores[rows, -1], floor) - 1) / MICRO
+        return (lowest - (dim + 4) * 2.0**-23).astype(np.float32)
+
+    def add_all(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Merge a full block of ``scores`` (query x corpus row); ``ids`` must ascend."""
         n = len(ids)
         if n > self.k:
             # Score and position in one integer, so that ties fall to the lower id.
             keys = scores * n + np.arange(n - 1, -1, -1)
             picked = np.argpartition(keys, n - self.k, axis=1)[:, n - self.k :]
-            scores = np.take_along_axis(scores, picked, axis=1)
-            candidate_ids = ids[picked]
+            self._merge(rows, np.take_along_axis(scores, picked, axis=1), ids[picked])
         else:
-            candidate_ids = np.broadcast_to(ids, scores.shape)
+            self._merge(rows, scores, np.broadcast_to(ids, scores.shape))
+
+    def add_some(
+        self, rows: np.ndarray, nth: np.ndarray, scores: np.ndarray, ids: np.ndarray
+    ) -> None:
+        """Merge single cells; ``nth`` ascends and says which of ``rows`` each is for."""
+        counts = np.bincount(nth, minlength=len(rows))
+        active = np.nonzero(counts)[0]
+        counts = counts[active]
+        shape = (len(active), counts.max())
+        places = np.arange(len(nth)) - np.repeat(np.cumsum(counts) - counts, counts)
+        lines = np.repeat(np.arange(len(active)), counts)
+        wide_scores = np.full(shape, NO_SCORE, np.int64)
+        wide_ids = np.full(shape, LAST_ID, np.int64)
+        wide_scores[lines, places] = scores
+        wide_ids[lines, places] = ids
+        self._merge(rows[active], wide_scores, wide_ids)
+
+    def _merge(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         scores = np.concatenate([self.scores[rows], scores], axis=1)
-        candidate_ids = np.concatenate([self.ids[rows], candidate_ids], axis=1)
-        order = np.lexsort((candidate_ids, -scores), axis=1)[:, : self.k]
+        ids = np.concatenate([self.ids[rows], ids], axis=1)
+        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
         self.scores[rows] = np.take_along_axis(scores, order, axis=1)
-        self.ids[rows] = np.take_along_axis(candidate_ids, order, axis=1)
+        self.ids[rows] = np.take_along_axis(ids, order, axis=1)
 
-    def batch(self, query_ids: np.ndarray, threshold: float | None) -> pa.RecordBatch:
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
         values = self.scores / MICRO
         keep = self.scores > NO_SCORE
-        if threshold is not None:
-            keep &= values >= threshold
+        if self.threshold is not None:
+            keep &= values >= self.threshold
         rows, places = np.nonzero(keep)
         return pa.RecordBatch.from_arrays(
             [
@@ -271,41 +301,76 @@ class BestRows:
         )
 
 
-def micro_cosine(
-    queries: np.ndarray, query_sq: np.ndarray, rows: np.ndarray, rows_sq: np.ndarray
-) -> np.ndarray:
-    """Cosines in whole millionths, halves away from zero; zero vectors score 0."""
-    scale = np.sqrt(query_sq[:, None] * rows_sq[None, :])
-    products = queries @ rows.T
+def micro_cosine(products: np.ndarray, squared_norms: np.ndarray) -> np.ndarray:
+    """Cosines in whole millionths, halves away from zero; zero vectors score 0.
+
+    ``squared_norms`` is the product of both squared norms.
+    """
+    scale = np.sqrt(squared_norms)
     exact = np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
     exact *= MICRO
     return np.trunc(exact + np.copysign(0.5, exact)).astype(np.int64)
 
 
-def _score_into(best: BestRows, picked: np.ndarray, block: QueryBlock, ids, matrix) -> None:
-    """Score some queries against some rows, a bounded number of cells at a time."""
+class PreparedQueries:
+    """A query block with what every task derives from it once."""
+
+    def __init__(self, block: QueryBlock) -> None:
+        self.ids, self.vectors = block.ids, block.vectors
+        self.squared, self.unit = _squared_and_unit(block.vectors)
+
+    @property
+    def dim(self) -> int:
+        return self.vectors.shape[1]
+
+
+def _squared_and_unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    squared = np.einsum("ij,ij->i", matrix, matrix)
+    norms = np.sqrt(squared)
+    unit = matrix / np.where(norms == 0, 1, norms)[:, None]
+    return squared, unit.astype(np.float32)
+
+
+def score_into(
+    best: BestRows, picked: np.ndarray, queries: PreparedQueries, ids, matrix
+) -> None:
+    """Score some queries against some rows, a bounded number of cells at a time.
+
+    A single-precision product of unit vectors tells which cells can still enter. After the first rows these are few, and only they get their exact
+    score. Where many qualify (the first rows, or masses of equal vectors) the whole
+    block is scored and cut instead.
+    """
     order = np.argsort(ids, kind="stable")
     ids, matrix = ids[order], matrix[order]
-    rows_sq = np.einsum("ij,ij->i", matrix, matrix)
-    vectors = block.vectors[picked]
-    query_sq = np.einsum("ij,ij->i", vectors, vectors)
-    step = max(1, CELLS_PER_STEP // max(1, len(ids)))
-    for start in range(0, len(picked), step):
-        part = slice(start, start + step)
-        scores = micro_cosine(vectors[part], query_sq[part], matrix, rows_sq)
-        best.add(picked[part], scores, ids)
+    squared, unit = _squared_and_unit(matrix)
+    for start in range(0, len(ids), ROWS_PER_STEP):
+        rows = slice(start, start + ROWS_PER_STEP)
+        for first in range(0, len(picked), QUERIES_PER_STEP):
+            part = picked[first : first + QUERIES_PER_STEP]
+            near = queries.unit[part] @ unit[rows].T >= best.cutoff(part, queries.dim)[:, None]
+            hits = np.count_nonzero(near)
+            if hits > near.size // 16:
+                products = queries.vectors[part] @ matrix[rows].T
+                norms = queries.squared[part][:, None] * squared[rows][None, :]
+                best.add_all(part, micro_cosine(products, norms), ids[rows])
+            elif hits:
+                nth, row = np.nonzero(near)
+                row += start
+                asked = part[nth]
+                products = np.einsum("ij,ij->i", queries.vectors[asked], matrix[row])
+                scores = micro_cosine(products, queries.squared[asked] * squared[row])
+                best.add_some(part, nth, scores, ids[row])
 
 
 def _scorer(shared, k: int, threshold: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        dim = block.vectors.shape[1]
-        best = BestRows(len(block.ids), k)
-        everyone = np.arange(len(block.ids))
+        queries = PreparedQueries(shared.value)
+        best = BestRows(len(queries.ids), k, threshold)
+        everyone = np.arange(len(queries.ids))
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            _score_into(best, everyone, block, ids, to_matrix(batch.column(1), dim))
-        yield best.batch(block.ids, threshold)
+            matrix = to_matrix(batch.column(1), queries.dim)
+            score_into(best, everyone, queries, batch.column(0).to_numpy(), matrix)
+        yield best.batch(queries.ids)
 
     return run
 
@@ -313,17 +378,16 @@ def _scorer(shared, k: int, threshold: float | None):
 def _cell_scorer(shared, k: int, threshold: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, by_cell = shared.value
-        dim = block.vectors.shape[1]
-        best = BestRows(len(block.ids), k)
+        queries = PreparedQueries(block)
+        best = BestRows(len(queries.ids), k, threshold)
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            matrix = to_matrix(batch.column(1), dim)
+            matrix = to_matrix(batch.column(1), queries.dim)
             cells = batch.column(2).to_numpy()
             for cell in np.unique(cells):
                 here = cells == cell
-                picked = by_cell[int(cell)]
-                _score_into(best, picked, block, ids[here], matrix[here])
-        yield best.batch(block.ids, threshold)
+                score_into(best, by_cell[int(cell)], queries, ids[here], matrix[here])
+        yield best.batch(queries.ids)
 
     return run
 

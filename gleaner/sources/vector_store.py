@@ -37,13 +37,14 @@ class VectorStore:
     # --- log ---
 
     def _commits(self) -> list[Commit]:
-        """Commits of the current generation: one small row per write since compaction."""
+        """Commits of the current generation. The log has one small row per write."""
         if not path_exists(self.spark, f"{self.path}/log"):
             return []
         log = self.spark.read.schema(LOG_DDL).parquet(f"{self.path}/log")
-        latest = log.agg(F.max("generation")).scalar()
-        rows = log.where(F.col("generation") == latest).orderBy("batch").collect()
-        return [Commit(*row) for row in rows]
+        commits = [Commit(*row) for row in log.collect()]
+        latest = max(c.generation for c in commits)
+        current = (c for c in commits if c.generation == latest)
+        return sorted(current, key=lambda c: c.batch)
 
     def _commit(self, commit: Commit) -> None:
         row = (commit.generation, commit.batch, commit.kind, commit.dim, commit.row_count)

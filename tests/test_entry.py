@@ -1,7 +1,6 @@
 import pytest
 
 import __spark_entry__ as entry
-from gleaner.plans.workload import REGISTRY
 
 from conftest import SF_DIR
 
@@ -11,7 +10,15 @@ def test_every_query_but_the_approximate_one_has_sql():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("key", sorted(REGISTRY))
+# One per area; ``tools/check_oracle.py`` compares all of them.
+SAMPLE = [
+    "prepare_articles", "csv_scan", "latest_page_deep", "keyword_page_envelope",
+    "keyword_words", "display_items", "knn_exact", "knn_lsh", "index_audit",
+    "incremental_build", "semantic_search_lexical", "search_list_envelopes",
+]
+
+
+@pytest.mark.parametrize("key", SAMPLE)
 def test_query_equals_sql(spark, key):
     import duckdb
 
