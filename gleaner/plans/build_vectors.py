@@ -51,11 +51,13 @@ def build_vectors(
     if mode == INCREMENTAL and already:
         todo = pending_articles(articles, store.ids(), max_rows)
 
+    # Slices of a stored article table are made of its partitions, so each is read once.
+    key = "bucket" if "bucket" in articles.columns else "id"
     encoded = empty = 0
     for part in range(slices):
-        points = points_to_embed(todo)
-        if slices > 1:
-            points = points.where(F.pmod("id", F.lit(slices)) == part)
+        points = points_to_embed(
+            todo if slices == 1 else todo.where(F.pmod(key, F.lit(slices)) == part)
+        )
         seen = Observation()
         points = points.observe(seen, F.count_if(F.col("text") == "").alias("empty"))
         vectors = embed_column(points, "text", factory, dim, batch_size).drop("text")

@@ -65,6 +65,7 @@ FROM conversations
 
 KEYWORD = "thé"
 LSH_BITS = 6
+BUCKETS = 8
 SEARCH_DIM = 256
 STATS_THRESHOLD = 0.25
 
@@ -117,10 +118,15 @@ class Tables:
         points = embed.points_to_embed(self.articles())
         return embed.embed_column(points, "text", embedder, SEARCH_DIM).select("id", "vector")
 
-    def stored_vectors(self) -> DataFrame:
+    def stored_articles(self) -> DataFrame:
+        store = ArticleStore(self.spark, scratch_path(self.spark, "articles"), BUCKETS)
+        store.append(self.articles(with_content=True))
+        return store.read()
+
+    def built_vectors(self, articles: DataFrame) -> DataFrame:
         """Built into a store, so that several search passes only scan."""
         store = VectorStore(self.spark, scratch_path(self.spark, "vectors"))
-        build_vectors(self.articles(), store, embedder, dim=SEARCH_DIM)
+        build_vectors(articles, store, embedder, dim=SEARCH_DIM)
         return store.read()
 
 
@@ -182,7 +188,7 @@ def rdbms_metadata_scan(t: Tables) -> DataFrame:
 @query
 def article_store_append(t: Tables) -> DataFrame:
     """Stored, offered again (nothing new), read back."""
-    store = ArticleStore(t.spark, scratch_path(t.spark, "articles"), buckets=8)
+    store = ArticleStore(t.spark, scratch_path(t.spark, "articles"), BUCKETS)
     rows = t.articles(with_content=True).persist()
     for _ in range(2):
         store.append(store.only_new(rows, rows.count()))
@@ -510,7 +516,7 @@ def full_build(t: Tables) -> DataFrame:
 def incremental_build(t: Tables) -> DataFrame:
     """Half of the feed built, then the whole feed in slices, then a rerun and a forced one."""
     store = VectorStore(t.spark, scratch_path(t.spark, "vectors"))
-    articles = t.articles()
+    articles = t.stored_articles()
     dated = articles.where("ngay_dang < '2024-07-01'")
     build_vectors(dated, store, embedder, dim=SEARCH_DIM)
     build_vectors(articles, store, embedder, dim=SEARCH_DIM, slices=3)
@@ -526,7 +532,7 @@ def stream_ingest(t: Tables) -> DataFrame:
     raw = t.raw()
     for _ in range(2):
         raw.repartitionByRange(3, "seq").write.mode("append").parquet(drops)
-    articles = ArticleStore(t.spark, scratch_path(t.spark, "articles"), buckets=8)
+    articles = ArticleStore(t.spark, scratch_path(t.spark, "articles"), BUCKETS)
     vectors = VectorStore(t.spark, scratch_path(t.spark, "vectors"))
     stream = read_drops(t.spark, drops, raw.schema, max_files=2)
     start_ingest(
@@ -544,8 +550,11 @@ def stream_ingest(t: Tables) -> DataFrame:
 
 
 def _search(t: Tables, **options) -> DataFrame:
+    """Over stored articles and the vectors built from them."""
+    articles = t.stored_articles()
+    vectors = t.built_vectors(articles)
     return semantic_search(
-        t.queries(), t.articles(True), t.stored_vectors(), embedder, **options
+        t.queries(), articles, vectors, embedder, buckets=BUCKETS, **options
     )
 
 
@@ -583,8 +592,10 @@ def _rerank(t: Tables, scorer) -> DataFrame:
     checkpoint_dir(t.spark)
     asked = t.queries().where(~prepare.is_blank("query"))
     n, size = asked.agg(F.count("*"), F.sum(F.octet_length("query"))).first()
-    hits = knn.knn_batch(t.stored_vectors(), embed.embed_queries(asked, embedder))
-    return reranking.rerank(hits.checkpoint(), asked, t.articles(), n * 30, size, scorer)
+    articles = t.stored_articles()
+    vectors = t.built_vectors(articles)
+    hits = knn.knn_batch(vectors, embed.embed_queries(asked, embedder).checkpoint())
+    return reranking.rerank(hits.checkpoint(), asked, articles, n * 30, size, scorer)
 
 
 @query
