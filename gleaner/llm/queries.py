@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, sharding
+from gleaner.llm import chat, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The 50k byte-level vocabulary as installed on every node, in both forms."""
+    import public_tokenizers
+
+    return tuple(map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")))
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 1024 tokens."""
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer_files())
+
+
 PROBE_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -56,6 +68,7 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op5_pack": op5_pack,
     "op7_chat_format": op7_chat_format,
     "op8_byte_shards": op8_byte_shards,
 }
