@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, packing, sharding
+from gleaner.llm import chat, packing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +67,20 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate components of all documents."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
 REGISTRY = {
     "op5_pack": op5_pack,
     "op7_chat_format": op7_chat_format,
     "op8_byte_shards": op8_byte_shards,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE: dict[str, str] = {}
