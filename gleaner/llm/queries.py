@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, packing, sharding, simhash
+from gleaner.llm import chat, packing, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; labels of held-out rows are not learned from."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model, "doc_id").select(
+        "doc_id",
+        toxicity.is_held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def tokenizer_files() -> tuple[str, str]:
     """The 50k byte-level vocabulary as installed on every node, in both forms."""
     import public_tokenizers
@@ -77,6 +89,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op3_toxicity": op3_toxicity,
     "op5_pack": op5_pack,
     "op7_chat_format": op7_chat_format,
     "op8_byte_shards": op8_byte_shards,
