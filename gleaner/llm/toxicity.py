@@ -260,6 +260,27 @@ def _is_widespread(a: int, b: int, contexts: int, share: float, wanted: float) -
     return chance >= wanted
 
 
+def _without_loose_beginnings(counts: dict[str, tuple[int, int]]) -> list[str]:
+    """Drop a word beginning if a longer term explains it with fewer clean documents.
+
+    ``counts`` are the toxic and clean documents of each term.
+    """
+    longer: dict[str, list[str]] = {}
+    for term in counts:
+        word = term.rstrip("*")
+        for n in PREFIXES:
+            if n < len(word):
+                longer.setdefault(word[:n] + "*", []).append(term)
+    return [
+        term
+        for term, (a, b) in counts.items()
+        if not any(
+            counts[other][0] >= 0.8 * a and 2 * counts[other][1] < b
+            for other in longer.get(term, [])
+        )
+    ]
+
+
 def mine_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[list[str], float]:
     """Terms that mark toxic documents, strongest first, and the share of toxic ones."""
     known = (
@@ -311,7 +332,8 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[list[str], float]:
         .collect()  # a row per candidate at most
     )
     apart = {candidates[r["id"]]: r["count"] for r in contexts}
-    terms = [r.term for r in strong if _is_widespread(r.a, r.b, apart[r.term], toxic / n, wanted)]
+    wide = [r for r in strong if _is_widespread(r.a, r.b, apart[r.term], toxic / n, wanted)]
+    terms = _without_loose_beginnings({r.term: (r.a, r.b) for r in wide})
     return terms[:MAX_TERMS], min(max(toxic / n, 1e-3), 0.5)
 
 
