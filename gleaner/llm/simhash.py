@@ -21,7 +21,7 @@ from itertools import accumulate, combinations, permutations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.components import connected_components
@@ -57,21 +57,28 @@ def fingerprint(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(digests)).tobytes(), "big", signed=True)
 
 
-_PRINTS = "doc_id bigint, text_hash bigint, fp bigint"
-_PRINTS_ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "text_hash", "fp")])
+_PRINTS = "doc_id bigint, text_hash bigint, fp bigint, second bigint"
+_PRINTS_ARROW = pa.schema([(n.split()[0], pa.int64()) for n in _PRINTS.split(", ")])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(
+    batches: Iterator[pa.RecordBatch], width: int, second_width: int | None
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).to_pylist()
         prints = [fingerprint(t, width) for t in texts]
+        seconds = [fingerprint(t, second_width) if second_width else 0 for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(prints, pa.int64())], schema=_PRINTS_ARROW
+            [*batch.columns[:2], pa.array(prints, pa.int64()), pa.array(seconds, pa.int64())],
+            schema=_PRINTS_ARROW,
         )
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id, text_hash, fp`` per row; null texts are empty, with fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int = 4, second_width: int | None = None) -> DataFrame:
+    """``doc_id, text_hash, fp, second`` per row; null texts are empty, with fingerprint zero.
+
+    ``second`` is a fingerprint of another shingle width, or zero.
+    """
     ship_package(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -79,11 +86,14 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
         F.xxhash64(text).alias("text_hash"),
         text.cast("binary").alias("text"),
     )
-    return rows.mapInArrow(partial(_fingerprints, width=width), _PRINTS)
+    prints = partial(_fingerprints, width=width, second_width=second_width)
+    return rows.mapInArrow(prints, _PRINTS)
 
 
-_KEYS = "key bigint, probe boolean, fp bigint"
-_KEYS_ARROW = pa.schema([("key", pa.int64()), ("probe", pa.bool_()), ("fp", pa.int64())])
+_KEYS = "key bigint, probe boolean, fp bigint, second bigint"
+_KEYS_ARROW = pa.schema(
+    [("key", pa.int64()), ("probe", pa.bool_()), ("fp", pa.int64()), ("second", pa.int64())]
+)
 _PAIRS = tuple(combinations(range(3), 2))
 _ORDERED = tuple(permutations(range(3), 2))
 
@@ -120,134 +130,154 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False)
+        fp, second = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         for at in range(0, len(fp), 4096):
-            part = fp[at : at + 4096]
+            part, other = fp[at : at + 4096], second[at : at + 4096]
             key, probe, row = keys_of(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(probe), pa.array(part[row])], schema=_KEYS_ARROW
+                [pa.array(key), pa.array(probe), pa.array(part[row]), pa.array(other[row])],
+                schema=_KEYS_ARROW,
             )
 
 
-def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))
+def _near(a: np.ndarray, b: np.ndarray, second_bits: int) -> np.ndarray:
+    """Whether rows of (fp, second) link."""
+    differ = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))
+    return (differ[..., 0] <= MAX_BITS) & (differ[..., 1] <= second_bits)
 
 
-def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what links of ``MAX_BITS`` connect within one group."""
-    left, right = [], []
-    todo = fp
+def _forest(nodes: np.ndarray, second_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what links connect within one group of (fp, second)."""
+    left, right = [nodes[:0]], [nodes[:0]]
+    todo = nodes
     while len(todo):
         frontier, todo = [todo[0]], todo[1:]
         while frontier and len(todo):
             node = frontier.pop()
-            near = _distance(todo, np.full(1, node)) <= MAX_BITS
+            near = _near(todo, node, second_bits)
             if near.any():
                 found = todo[near]
-                left.append(np.full(len(found), node))
+                left.append(np.broadcast_to(node, found.shape))
                 right.append(found)
                 frontier.extend(found)
                 todo = todo[~near]
-    if not left:
-        return fp[:0], fp[:0]
     return np.concatenate(left), np.concatenate(right)
 
 
-_LINKS = "a bigint, b bigint, hot_key bigint"
-_LINKS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hot_key", pa.int64())])
+_LINKS = "fp bigint, second bigint, other_fp bigint, other_second bigint, hot_key bigint"
+_LINKS_ARROW = pa.schema([(n.split()[0], pa.int64()) for n in _LINKS.split(", ")])
 
 
-def _links_of(key: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> tuple:
+def _links_of(
+    key: np.ndarray, probe: np.ndarray, nodes: np.ndarray, second_bits: int
+) -> tuple[np.ndarray, np.ndarray]:
     """Links within groups of equal keys; rows are sorted by key, then probe."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
-    left, right = [], []
+    left, right = [nodes[:0]], [nodes[:0]]
     of_row = np.repeat(size, size)
     base = np.flatnonzero(~probe & (of_row > 1) & (of_row <= SMALL))
     shift = 1
     while len(base):
         base = base[base + shift < len(key)]
         base = base[key[base] == key[base + shift]]
-        near = _distance(fp[base], fp[base + shift]) <= MAX_BITS
-        left.append(fp[base[near]])
-        right.append(fp[base[near] + shift])
+        near = _near(nodes[base], nodes[base + shift], second_bits)
+        left.append(nodes[base[near]])
+        right.append(nodes[base[near] + shift])
         shift += 1
     for at, n in zip(first[size > SMALL], size[size > SMALL], strict=True):
-        a, b = _forest(np.unique(fp[at : at + n]))
+        a, b = _forest(np.unique(nodes[at : at + n], axis=0), second_bits)
         left.append(a)
         right.append(b)
-    return np.concatenate(left or [fp[:0]]), np.concatenate(right or [fp[:0]])
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], second_bits: int) -> Iterator[pa.RecordBatch]:
     """Links of each key's group; members of a group above ``BLOCK`` are handed on."""
     held: list[tuple] = []
     held_rows = 0
     hot = None
 
-    def out(a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
-        if key is None:
-            fresh = a != b
-            pairs = np.unique(np.stack([np.maximum(a, b)[fresh], np.minimum(a, b)[fresh]]), axis=1)
-            columns = [pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())]
-        else:
-            columns = [pa.array(a), pa.array(b), pa.array(key)]
-        return pa.RecordBatch.from_arrays(columns, schema=_LINKS_ARROW)
+    def linked(key: np.ndarray, probe: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        pairs = np.concatenate(_links_of(key, probe, nodes, second_bits), axis=1)
+        pairs = np.unique(pairs[(pairs[:, :2] != pairs[:, 2:]).any(axis=1)], axis=0)
+        columns = [pa.array(np.ascontiguousarray(c)) for c in pairs.T]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.nulls(len(pairs), pa.int64())], schema=_LINKS_ARROW
+        )
+
+    def handed_on(key: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        fp, second = (pa.array(np.ascontiguousarray(c)) for c in nodes.T)
+        return pa.RecordBatch.from_arrays([fp, second, fp, second, pa.array(key)], schema=_LINKS_ARROW)
 
     for batch in batches:
-        key, probe, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        key, probe, fp, second = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        nodes = np.stack([fp, second], axis=1)
         if hot is not None:
             same = key == hot
             if same.any():
-                yield out(fp[same], fp[same], key[same])
+                yield handed_on(key[same], nodes[same])
             if same.all():
                 continue
-            key, probe, fp, hot = key[~same], probe[~same], fp[~same], None
-        held.append((key, probe, fp))
+            key, probe, nodes, hot = key[~same], probe[~same], nodes[~same], None
+        held.append((key, probe, nodes))
         held_rows += len(key)
         if held_rows < 8 * BLOCK:
             continue
-        key, probe, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+        key, probe, nodes = (np.concatenate(c) for c in zip(*held, strict=True))
         last = int(np.searchsorted(key, key[-1]))  # the last group may go on
         if len(key) - last > BLOCK:
             hot = key[-1]
-            yield out(fp[last:], fp[last:], key[last:])
+            yield handed_on(key[last:], nodes[last:])
             held, held_rows = [], 0
         else:
-            held, held_rows = [(key[last:], probe[last:], fp[last:])], len(key) - last
+            held, held_rows = [(key[last:], probe[last:], nodes[last:])], len(key) - last
         if last:
-            yield out(*_links_of(key[:last], probe[:last], fp[:last]))
+            yield linked(key[:last], probe[:last], nodes[:last])
     if held_rows:
-        key, probe, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-        yield out(*_links_of(key, probe, fp))
+        yield linked(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
 def _split_hot(hot: DataFrame, level: int) -> DataFrame:
     """Members of large groups under every pair of blocks their own block is in."""
-    block = F.pmod(F.xxhash64("a", F.lit(level)), F.lit(SPLIT)).cast("int")
+    block = F.pmod(F.xxhash64("fp", "second", F.lit(level)), F.lit(SPLIT)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)))
     return (
-        hot.select("a", "hot_key", block.alias("i"))
+        hot.select("fp", "second", "hot_key", block.alias("i"))
         .distinct()
         .withColumn("j", other)
         .select(
             F.xxhash64("hot_key", F.least("i", "j"), F.greatest("i", "j")).alias("key"),
             F.lit(False).alias("probe"),
-            F.col("a").alias("fp"),
+            "fp",
+            "second",
         )
     )
 
 
-def link_fingerprints(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all distinct ``fp`` at most four bits apart."""
+def _node(fp: str, second: str, by_fp: bool) -> Column:
+    return F.col(fp) if by_fp else F.xxhash64(fp, second)
+
+
+def link_fingerprints(prints: DataFrame, second_bits: int | None = None) -> DataFrame:
+    """Links (a, b) of nodes that connect all fingerprints which link.
+
+    A node is the fingerprint, or a hash of it and ``second`` if that counts as well.
+    """
     checkpoint_dir(prints.sparkSession)
     ship_package(prints.sparkSession)
-    rows = prints.select("fp").distinct().mapInArrow(_key_rows, _KEYS)
+    by_fp = second_bits is None
+    nodes = prints.select("fp", "second").distinct()
+    rows = nodes.mapInArrow(_key_rows, _KEYS)
+    link = partial(_links, second_bits=64 if by_fp else second_bits)
     links, level = None, 0
     while True:
         dealt = rows.repartition("key").sortWithinPartitions("key", "probe")
-        found = dealt.mapInArrow(_links, _LINKS).checkpoint()
-        own = found.where("hot_key IS NULL").select("a", "b")
+        found = dealt.mapInArrow(link, _LINKS).checkpoint()
+        own = found.where("hot_key IS NULL").select(
+            _node("fp", "second", by_fp).alias("a"),
+            _node("other_fp", "other_second", by_fp).alias("b"),
+        )
         links = own if links is None else links.unionByName(own)
         hot = found.where("hot_key IS NOT NULL")
         if hot.isEmpty():
@@ -255,23 +285,34 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
         rows, level = _split_hot(hot, level), level + 1
 
 
-def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame,
+    width: int = 4,
+    second_width: int | None = None,
+    second_bits: int | None = None,
+) -> DataFrame:
     """``doc_id, text_hash, fp, root, component_id`` per row of ``docs``.
 
-    Fingerprints link at four or fewer differing bits; ``root`` is the smallest
-    fingerprint reachable over links and ``component_id`` the smallest doc_id of any
-    document reachable. Null and empty texts have fingerprint zero and link like any
-    other. Repeated rows stay; null ids do not count for the smallest id, and a group
-    of null ids only has a null id. An empty table gives an empty result. Other columns
-    are ignored.
+    Fingerprints of ``width``-word shingles link at four or fewer differing bits; with
+    ``second_width``, fingerprints of that width must also differ in ``second_bits`` at
+    most. ``root`` is the smallest node reachable over links (a fingerprint, or a hash
+    of both), ``component_id`` the smallest doc_id of any document reachable.
+
+    Null and empty texts have fingerprint zero and link like any other. Repeated rows
+    stay; null ids do not count for the smallest id, and a group of null ids only has a
+    null id. An empty table gives an empty result. Other columns are ignored.
     """
     checkpoint_dir(docs.sparkSession)
-    prints = fingerprints(docs, width).checkpoint()
-    roots = connected_components(link_fingerprints(prints)).withColumnRenamed("node", "fp")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")).join(roots, "fp", "left")
-    nodes = nodes.withColumn("root", F.coalesce("root", "fp")).checkpoint()
+    prints = fingerprints(docs, width, second_width).withColumn(
+        "node", _node("fp", "second", second_width is None)
+    )
+    prints = prints.checkpoint()
+    links = link_fingerprints(prints, second_bits if second_width else None)
+    roots = connected_components(links)
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(roots, "node", "left")
+    nodes = nodes.withColumn("root", F.coalesce("root", "node")).checkpoint()
     named = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = nodes.select("fp", "root").join(named, "root")
-    return prints.join(labels, "fp").select(
+    labels = nodes.select("node", "root").join(named, "root")
+    return prints.join(labels, "node").select(
         "doc_id", "text_hash", "fp", "root", "component_id"
     )
