@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, packing, sharding, simhash, toxicity
+from gleaner.llm import chat, packing, repeats, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents left after strings of 400 bytes found twice are removed."""
+    docs = _table(spark, sf_dir, "documents")
+    return repeats.remove_repeats(docs, ["doc_id"], 400, as_text=False).withColumnRenamed(
+        "kept", "kept_sha256"
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents; labels of held-out rows are not learned from."""
     docs = _table(spark, sf_dir, "documents")
@@ -89,6 +97,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_pack": op5_pack,
     "op7_chat_format": op7_chat_format,
