@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, packing, repeats, sharding, simhash, toxicity
+from gleaner.llm import chat, decontaminate, packing, repeats, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.find_leaks(docs, items)
+
+
 PROBE_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -100,6 +106,7 @@ REGISTRY = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op5_pack": op5_pack,
+    "op6_decontaminate": op6_decontaminate,
     "op7_chat_format": op7_chat_format,
     "op8_byte_shards": op8_byte_shards,
     "op9_simhash": op9_simhash,

@@ -46,12 +46,20 @@ DEPENDENT = 0.1
 _COUNTER_LIMIT = 300_000
 _CACHE_LIMIT = 200_000
 
+_CAPITALS = re.compile(r"[A-Z][A-Z][A-Z][A-Z]")
+_SHOUTED = re.compile(r"(?:\b[A-Z]{4,}\b\W+){2}")
+_MASKED = re.compile(r"[A-Za-z][*@#$]+[A-Za-z]")
+_INSULTED = re.compile(r"\b(?:you|your|you're|youre) (?:are|re|look|smell|deserve)\b")
+_SENT_OFF = re.compile(r"\b(?:go|get|shut|drop) (?:away|lost|up|dead|to hell)\b")
+
+#: Patterns on a text and its lower-case form; cheap literal tests come first.
 PATTERNS = (
-    re.compile(r"(?:\b[A-Z]{4,}\b\W+){2}"),  # shouting
-    re.compile(r"[!?]{2,}"),
-    re.compile(r"\b[A-Za-z]+[*@#$]+[A-Za-z]+\b"),  # masked letters
-    re.compile(r"\b(?:you|your|you're|youre) (?:are|re|look|smell|deserve)\b", re.I),
-    re.compile(r"\b(?:go|get|shut|drop) (?:away|lost|up|dead|to hell)\b", re.I),
+    lambda text, low: _CAPITALS.search(text) is not None and _SHOUTED.search(text) is not None,
+    lambda text, low: "!!" in text or "?!" in text or "!?" in text or "??" in text,
+    lambda text, low: any(c in text for c in "*@#$") and _MASKED.search(text) is not None,
+    lambda text, low: "you" in low and _INSULTED.search(low) is not None,
+    lambda text, low: any(w in low for w in (" away", " lost", " dead", " up", " to hell"))
+    and _SENT_OFF.search(low) is not None,
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -70,10 +78,16 @@ class TermIndex:
 
     def __init__(self, terms: list[str]) -> None:
         self.ids = {term: i for i, term in enumerate(terms)}
+        self.heads = {term.rstrip("*")[: min(PREFIXES)] for term in terms}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def _look_up(self, token: str) -> tuple[int, ...]:
-        found = tuple(self.ids[t] for t in terms_of(token) if t in self.ids)
+        ids, word = self.ids, token.rstrip(".,;:!?")
+        if word.isalpha():  # most tokens are one word
+            wanted = [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+        else:
+            wanted = terms_of(token)
+        found = tuple(ids[t] for t in wanted if t in ids)
         if len(self.cache) >= _CACHE_LIMIT:
             self.cache.clear()
         if len(token) <= 64:
@@ -82,15 +96,18 @@ class TermIndex:
 
     def hits(self, text: str) -> list[int]:
         found: set[int] = set()
-        cache = self.cache
-        for token in set(text.lower().split()):
+        cache, heads, low = self.cache, self.heads, text.lower()
+        head = min(PREFIXES)
+        for token in set(low.split()):
+            if token[:head] not in heads and token.isalpha():
+                continue
             ids = cache.get(token)
             if ids is None:
                 ids = self._look_up(token)
             if ids:
                 found.update(ids)
         n = len(self.ids)
-        found.update(n + i for i, p in enumerate(PATTERNS) if p.search(text))
+        found.update(n + i for i, fires in enumerate(PATTERNS) if fires(text, low))
         return sorted(found)
 
 
