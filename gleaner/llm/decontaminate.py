@@ -37,6 +37,7 @@ MAX_BLOCKS = 32
 BLOCK_ITEMS = 8
 SLICE_BYTES = 16 << 20
 _CACHE_LIMIT = 300_000
+MARK = "holds an item"
 _BATCH_WORDS = 40_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -259,7 +260,7 @@ def _mark(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterator[pa.Re
         leaked = [bool(index.leaks(text)) for text in batch.columns[-1].to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], pa.array(leaked, pa.bool_())],
-            names=[*batch.schema.names[:-1], "leaked"],
+            names=[*batch.schema.names[:-1], MARK],
         )
 
 
@@ -300,10 +301,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns kept, that hold no item of the benchmark."""
     ship_package(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("leaked", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(MARK, T.BooleanType())])
     for index in item_slices(benchmark):
         marked = docs.select("*", _text().alias("text to search")).mapInArrow(
             partial(_mark, index=index), schema
         )
-        docs = marked.where("NOT leaked").drop("leaked")
+        docs = marked.where(~F.col(MARK)).drop(MARK)
     return docs

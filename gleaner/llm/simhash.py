@@ -316,3 +316,22 @@ def near_duplicates(
     return prints.join(labels, "node").select(
         "doc_id", "text_hash", "fp", "root", "component_id"
     )
+
+
+def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of each group, all columns kept.
+
+    ``groups`` is the result of ``near_duplicates`` over the same rows. Rows alike in
+    id and text are one row; a null id is only kept where its group has no other.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least")
+    kept = groups.groupBy("root").agg(least).select("least.doc_id", "least.text_hash")
+    keys = [
+        F.coalesce("doc_id", F.lit(0).cast("long")).alias("key id"),
+        F.col("doc_id").isNull().alias("key null"),
+    ]
+    kept = kept.select(*keys, F.col("text_hash").alias("key hash")).distinct()
+    names = ["key id", "key null", "key hash"]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select("*", *keys, F.xxhash64(text).alias("key hash"))
+    return keyed.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)

@@ -421,7 +421,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def _score(
-    batches: Iterator[pa.RecordBatch], terms: list[str], weights: np.ndarray, bias: float
+    batches: Iterator[pa.RecordBatch],
+    name: str,
+    terms: list[str],
+    weights: np.ndarray,
+    bias: float,
 ) -> Iterator[pa.RecordBatch]:
     index = TermIndex(terms)
     for batch in batches:
@@ -429,13 +433,17 @@ def _score(
         logits = np.array([bias + weights[index.hits(t)].sum() for t in texts], dtype=float)
         scores = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
         columns = [*batch.columns[:-1], pa.array(scores, pa.float64())]
-        names = [*batch.schema.names[:-1], "score"]
+        names = [*batch.schema.names[:-1], name]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
-    """The columns ``keep`` and ``score`` (0 to 1) for every row; null text is empty."""
+def score_toxicity(
+    docs: DataFrame, model: ToxicityModel, *keep: str, score: str = "score"
+) -> DataFrame:
+    """The columns ``keep`` and a score (0 to 1) for every row; null text is empty."""
     rows = docs.select(*keep, _text().alias("text to score"))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
-    score = partial(_score, terms=model.terms, weights=model.weights, bias=model.bias)
-    return rows.mapInArrow(score, schema)
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(score, T.DoubleType())])
+    scored = partial(
+        _score, name=score, terms=model.terms, weights=model.weights, bias=model.bias
+    )
+    return rows.mapInArrow(scored, schema)
