@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontaminate, packing, repeats, sharding, simhash, toxicity
+from gleaner.llm import (
+    chat,
+    decontaminate,
+    packing,
+    repeats,
+    sharding,
+    simhash,
+    toxicity,
+    vptree,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +111,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    given = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("embedding").alias("vector")
+    )
+    return vptree.nearest(given, F.col("vec_id") % 20 == 0, k=20)
+
+
 REGISTRY = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_toxicity": op3_toxicity,
@@ -110,6 +127,7 @@ REGISTRY = {
     "op7_chat_format": op7_chat_format,
     "op8_byte_shards": op8_byte_shards,
     "op9_simhash": op9_simhash,
+    "op10_vptree": op10_vptree,
 }
 
 ORACLE: dict[str, str] = {}
