@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import (
     chat,
     decontaminate,
+    html,
     packing,
     repeats,
     sharding,
@@ -59,6 +60,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, items)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html.extract_main_text(_table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 PROBE_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -122,6 +130,7 @@ def op10_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_html_text": op4_html_text,
     "op5_pack": op5_pack,
     "op6_decontaminate": op6_decontaminate,
     "op7_chat_format": op7_chat_format,

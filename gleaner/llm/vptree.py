@@ -9,10 +9,7 @@ nearer lies there. Factor one makes the search exact; less prunes more.
 Shards meet blocks of queries in one task each; both are bounded in bytes.
 """
 
-from __future__ import annotations
-
 import math
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -196,7 +193,11 @@ def nearest(
     asked = usable.where("asked").dropDuplicates(["vec_id"]).select(
         *columns, F.lit(True).alias("asked"), each("shard", shards), dealt("block", blocks)
     )
-    search = partial(_search_group, k=k, factor=factor, longest=math.sqrt(longest))
+    length = math.sqrt(longest)
+
+    def search(table: pa.Table) -> pa.Table:
+        return _search_group(table, k, factor, length)
+
     hits = (
         candidates.unionByName(asked)
         .groupBy("width", "shard", "block")
