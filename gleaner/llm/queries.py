@@ -9,6 +9,7 @@ from gleaner.llm import (
     chat,
     decontaminate,
     html,
+    ngram_lm,
     packing,
     repeats,
     sharding,
@@ -30,6 +31,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a model of those not held out."""
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents; labels of held-out rows are not learned from."""
     docs = _table(spark, sf_dir, "documents")
@@ -129,6 +135,7 @@ def op10_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_ngram_lm": op2_ngram_lm,
     "op3_toxicity": op3_toxicity,
     "op4_html_text": op4_html_text,
     "op5_pack": op5_pack,
