@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,31 +31,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.suffixes import BASES, SuffixSorter, powers
-from gleaner.session import checkpoint_dir, scratch_path, ship_package
+from gleaner.llm.suffixes import BASES, SuffixSorter, powers, prefix_sums
+from gleaner.llm.workers import ready
+from gleaner.session import scratch_path
 
 GRAM = 32
 CHUNK = 1 << 19
 NODE = 64
 #: Bytes of stretches that a task holds; a single anchor with more is dealt again.
-TASK_BYTES = 4 << 20
+TASK_BYTES = 2 << 20
 FINER = (16, 1)
 _PLACE_BITS = 20
 
 
-@cache
-def _chunk_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(BASES[0], n)
-
-
 def stretches(data: bytes, min_bytes: int) -> Iterator[tuple[int, int, int]]:
     """(first window, windows, anchor place in the first window) of a text."""
     grams = min_bytes - GRAM + 1
     for at in range(0, max(len(data) - min_bytes + 1, 0), CHUNK):
         part = np.frombuffer(data[at : at + CHUNK + min_bytes - 1], dtype=np.uint8)
-        ups, downs = _chunk_powers(CHUNK + min_bytes)
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * downs[: len(part)], out=sums[1:])
+        ups, downs = powers(BASES[0], CHUNK + min_bytes)
+        sums = prefix_sums(part, downs)
         n = len(part) - GRAM + 1
         code = (sums[GRAM:] - sums[:n]) * ups[:n]
         code ^= code >> np.uint64(33)
@@ -264,8 +259,8 @@ def _sorted_pieces(
             parts = [(*f, None, None) for r in rows[i : i + 256] for f in _finer(r, finer, min_bytes)]
             yield _piece_batch(parts, _FOUND_ARROW)
 
-    for batch in batches:
-        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for part in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+        rows = list(zip(*(c.to_pylist() for c in part.columns), strict=True))
         if hot is not None:
             same = [r for r in rows if r[0] == hot]
             yield from handed_on(same)
@@ -307,8 +302,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     any texts, or of one, is repeated; two rows with the same text count as two texts.
     """
     spark = docs.sparkSession
-    checkpoint_dir(spark)
-    ship_package(spark)
+    ready(spark)
     path = scratch_path(spark, "stretches")
     long_ones = docs.where(F.octet_length("text") >= min_bytes)
     keyed = _keyed(long_ones)

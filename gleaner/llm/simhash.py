@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.components import connected_components
 from gleaner.llm.golay import decode, fuzzy_keys
-from gleaner.session import checkpoint_dir, ship_package
+from gleaner.llm.workers import ready
 
 SEED = 42
 MAX_BITS = 4
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int = 4, second_width: int | None = Non
 
     ``second`` is a fingerprint of another shingle width, or zero.
     """
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -264,8 +264,7 @@ def link_fingerprints(prints: DataFrame, second_bits: int | None = None) -> Data
 
     A node is the fingerprint, or a hash of it and ``second`` if that counts as well.
     """
-    checkpoint_dir(prints.sparkSession)
-    ship_package(prints.sparkSession)
+    ready(prints.sparkSession)
     by_fp = second_bits is None
     nodes = prints.select("fp", "second").distinct()
     rows = nodes.mapInArrow(_key_rows, _KEYS)
@@ -302,7 +301,7 @@ def near_duplicates(
     stay; null ids do not count for the smallest id, and a group of null ids only has a
     null id. An empty table gives an empty result. Other columns are ignored.
     """
-    checkpoint_dir(docs.sparkSession)
+    ready(docs.sparkSession)
     prints = fingerprints(docs, width, second_width).withColumn(
         "node", _node("fp", "second", second_width is None)
     )

@@ -8,12 +8,15 @@ What is reported as equal is compared byte by byte.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 #: Odd multipliers; another is tried if equal hashes turn out to belong to unequal bytes.
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
 
 
+@lru_cache(maxsize=4)
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i below n."""
     inverse = pow(base, -1, 1 << 64)
@@ -27,7 +30,10 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def prefix_sums(data: np.ndarray, downs: np.ndarray) -> np.ndarray:
     """Hashes of all prefixes, each scaled so that differences are substring hashes."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * downs[: len(data)], out=sums[1:])
+    scaled = sums[1:]
+    np.add(data, 1, out=scaled, dtype=np.uint64)
+    scaled *= downs[: len(data)]
+    np.cumsum(scaled, out=scaled)
     return sums
 
 
@@ -36,7 +42,8 @@ class SuffixSorter:
 
     def __init__(self, data: np.ndarray, base: int = BASES[0]) -> None:
         self.data = data
-        self.ups, downs = powers(base, len(data) + 1)
+        # Tables of few sizes, so that they are made once.
+        self.ups, downs = powers(base, 1 << max(len(data), 1 << 20).bit_length())
         self.sums = prefix_sums(data, downs)
 
     def common(self, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
