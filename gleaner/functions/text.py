@@ -1,7 +1,4 @@
-"""Text columns: whitespace strip, accent folding, stable ids, tokens.
-
-All of it stays in the JVM except ``fold_any_script``.
-"""
+"""Text columns: whitespace strip, accent folding, stable ids, tokens, all in the JVM."""
 
 from __future__ import annotations
 
@@ -9,7 +6,6 @@ import sys
 import unicodedata
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,18 +34,11 @@ def stable_id(url: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def fold_text(text: str) -> str:
-    """Canonical decomposition, non-spacing marks dropped, lower case (đ stays đ)."""
-    if text.isascii():
-        return text.lower()
-    parts = unicodedata.normalize("NFD", text)
-    return "".join(c for c in parts if unicodedata.category(c) != "Mn").lower()
-
-
 @cache
-def _fold_tables() -> tuple[str, str]:
-    """Arguments of ``translate``: accented letter to base letter, then marks to nothing."""
-    letters, bases, marks = [], [], []
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Arguments of ``translate``: accented letter to base letter, then marks to nothing.
+    Letters of several bases, other than Hangul syllables, come as a table of their own."""
+    letters, bases, marks, several = [], [], [], {}
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         category = unicodedata.category(char)
@@ -65,31 +54,55 @@ def _fold_tables() -> tuple[str, str]:
         if len(base) == 1:
             letters.append(char)
             bases.append(base[0])
-    return "".join(letters + marks), "".join(bases)
+        elif not HANGUL[0] <= char <= HANGUL[1]:
+            several[char] = "".join(base)
+    return "".join(letters + marks), "".join(bases), several
 
 
-def fold(col: Column | str) -> Column:
-    """Accent and case folding.
+# Fixed values of the Hangul block: syllables, and how many vowels and finals there are.
+HANGUL = ("\uac00", "\ud7a3")
+LEADS, VOWELS, FINALS = 0x1100, 0x1161, 0x11A7
+N_VOWELS, N_FINALS = 21, 28
 
-    Pure ASCII rows (byte length = character length, both cheap) skip the table.
-    Hangul syllables and a few dozen letters that decompose into several base
-    letters are left as they are; ``fold_any_script`` covers those too.
-    """
-    c = _col(col)
-    matching, replace = _fold_tables()
-    plain = F.octet_length(c) == F.char_length(c)
-    return F.when(plain, F.lower(c)).otherwise(
-        F.lower(F.translate(c, matching, replace))
-    )
 
+def _jamo(char: Column) -> Column:
+    """A Hangul syllable as its two or three letters, anything else as it is."""
+    nth = F.ascii(char) - ord(HANGUL[0])
+    final = F.pmod(nth, F.lit(N_FINALS))
+    vowel = F.pmod(F.floor(nth / N_FINALS), F.lit(N_VOWELS))
+    lead = F.floor(nth / (N_FINALS * N_VOWELS))
 
-def _fold_series(texts: pd.Series) -> pd.Series:
-    return texts.map(fold_text, na_action="ignore")
+    def letter(first: int, count: int, at: Column) -> Column:
+        return F.substring(F.lit("".join(map(chr, range(first, first + count)))), at + 1, 1)
 
+    parts = F.concat(
+        letter(LEADS, 19, lead.cast("int")),
+        letter(VOWELS, N_VOWELS, vowel.cast("int")),
+        F.when(final > 0, letter(FINALS, N_FINALS, final)).otherwise(""),
+    )
+    return F.when(char.between(*map(F.lit, HANGUL)), parts).otherwise(char)
+
+
+def fold(col: Column | str) -> Column:
+    """Accent and case folding: canonical decomposition without non-spacing marks, in
+    lower case (đ stays đ). Texts and queries are folded by this alone.
 
-def fold_any_script(col: Column | str) -> Column:
-    """Folding over every script, in Python workers (call ``ship_package`` first)."""
-    return F.pandas_udf(_fold_series, "string")(_col(col))
+    Pure ASCII rows (byte length = character length, both cheap) skip the tables.
+    Letters of several base letters are only looked for in rows that have some: Hangul
+    syllables are taken apart one by one, the few dozen others replaced.
+    """
+    c = _col(col)
+    matching, replace, several = _fold_tables()
+    plain = F.octet_length(c) == F.char_length(c)
+    one_base = F.translate(c, matching, replace)
+    replaced = one_base
+    for char, bases in several.items():
+        replaced = F.replace(replaced, F.lit(char), F.lit(bases))
+    with_several = F.when(c.rlike("[" + "".join(several) + "]"), replaced).otherwise(one_base)
+    taken_apart = F.array_join(F.transform(F.split(with_several, ""), _jamo), "")
+    hangul = c.rlike(f"[{HANGUL[0]}-{HANGUL[1]}]")
+    folded = F.when(hangul, taken_apart).otherwise(with_several)
+    return F.when(plain, F.lower(c)).otherwise(F.lower(folded))
 
 
 def tokens(col: Column | str) -> Column:

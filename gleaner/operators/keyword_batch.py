@@ -15,6 +15,7 @@ from gleaner.session import checkpoint_dir, ship_package
 from gleaner.settings import KEYWORD_BLOCK_CHARS
 
 MATCH_DDL = "query_id bigint, id bigint, seq bigint"
+TOTAL_DDL = "query_id bigint, total bigint, first_seq bigint"
 
 
 def keyword_batch(
@@ -27,6 +28,42 @@ def keyword_batch(
     are not shuffled. A block holds about ``block_chars`` characters of query text;
     larger query sets run as several blocks.
     """
+    matched = _matched(articles, queries, block_chars)
+    if matched is None:
+        return articles.sparkSession.createDataFrame([], MATCH_DDL)
+    matches, to_rep, n_queries = matched
+    if to_rep is None:
+        return matches
+    by_rep = matches.withColumnRenamed("query_id", "rep_id")
+    return join_hot(by_rep, to_rep, ["rep_id"], "id", n_queries, 24).select(
+        "query_id", "id", "seq"
+    )
+
+
+def keyword_totals(
+    articles: DataFrame, queries: DataFrame, block_chars: int = KEYWORD_BLOCK_CHARS
+) -> DataFrame:
+    """(query_id, total, first_seq) of every query with a match.
+
+    Matches are counted per distinct text before they are given to all who asked it.
+    """
+    matched = _matched(articles, queries, block_chars)
+    if matched is None:
+        return articles.sparkSession.createDataFrame([], TOTAL_DDL)
+    matches, to_rep, _ = matched
+    totals = matches.groupBy("query_id").agg(
+        F.count("*").alias("total"), F.min("seq").alias("first_seq")
+    )
+    if to_rep is None:
+        return totals
+    by_rep = totals.withColumnRenamed("query_id", "rep_id")
+    return to_rep.join(by_rep, "rep_id").select("query_id", "total", "first_seq")
+
+
+def _matched(
+    articles: DataFrame, queries: DataFrame, block_chars: int
+) -> tuple[DataFrame, DataFrame | None, int] | None:
+    """Matches per distinct text, who asked each (none if all differ), how many ask."""
     spark = articles.sparkSession
     ship_package(spark)
     members = queries.select("query_id", fold(strip("query")).alias("q")).where("q <> ''")
@@ -37,7 +74,7 @@ def keyword_batch(
         F.sum(F.char_length("q")), F.sum("n"), F.count("*")
     ).first()
     if not n_texts:
-        return spark.createDataFrame([], MATCH_DDL)
+        return None
 
     texts = articles.select("id", "seq", "search_blob")
     parts = [
@@ -46,16 +83,13 @@ def keyword_batch(
     ]
     matches = reduce(DataFrame.unionAll, parts)
     if n_texts == n_queries:
-        return matches
+        return matches, None, n_queries
     key = F.sha2("q", 256).alias("key")
     reps = distinct.select(key, "rep_id")
     to_rep = join_hot(
         members.select("query_id", key), reps, ["key"], "query_id", n_texts, 128
     ).drop("key")
-    by_rep = matches.withColumnRenamed("query_id", "rep_id")
-    return join_hot(by_rep, to_rep, ["rep_id"], "id", n_queries, 24).select(
-        "query_id", "id", "seq"
-    )
+    return matches, to_rep, n_queries
 
 
 def _query_blocks(distinct: DataFrame, n_blocks: int) -> Iterator[dict[str, int]]:

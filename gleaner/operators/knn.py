@@ -34,6 +34,7 @@ NO_SCORE = -2 * MICRO
 LAST_ID = np.iinfo(np.int64).max
 ROWS_PER_STEP = 1024  # corpus rows and queries scored at once
 QUERIES_PER_STEP = 2048
+MERGE_TASKS = 512  # lists per query that one task merges
 
 
 def knn_one(
@@ -97,8 +98,17 @@ def knn_lsh(
     return _over_blocks(index, queries, k, block_rows, plan)
 
 
-def top_k_per_query(hits: DataFrame, k: int) -> DataFrame:
-    """Rank per query; the group limit also runs before the shuffle."""
+def top_k_per_query(hits: DataFrame, k: int, tasks: int = 0) -> DataFrame:
+    """Rank per query; the group limit also runs before the shuffle.
+
+    The lists of more than ``MERGE_TASKS`` tasks are first merged in parts of a query, so
+    that no single task meets all of them.
+    """
+    if tasks > MERGE_TASKS:
+        parts = F.pmod(F.spark_partition_id(), F.lit(-(-tasks // MERGE_TASKS)))
+        part = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), F.asc("id"))
+        hits = hits.withColumn("part", parts).withColumn("rank", F.row_number().over(part))
+        hits = hits.where(F.col("rank") <= k).drop("part", "rank")
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return hits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
@@ -183,7 +193,8 @@ def _over_blocks(
     parts = [plan(block) for block in query_blocks(queries, block_rows)]
     if not parts:
         return spark.createDataFrame([], HITS_DDL + ", rank int")
-    return top_k_per_query(reduce(DataFrame.unionAll, parts), k)
+    tasks = len(parts) * corpus.rdd.getNumPartitions()
+    return top_k_per_query(reduce(DataFrame.unionAll, parts), k, tasks)
 
 
 def query_blocks(queries: DataFrame, block_rows: int) -> Iterator[QueryBlock]:
@@ -199,7 +210,7 @@ def query_blocks(queries: DataFrame, block_rows: int) -> Iterator[QueryBlock]:
         return
     checkpoint_dir(queries.sparkSession)
     pinned = queries.checkpoint()
-    n_blocks = -(-2 * pinned.count() // block_rows)
+    n_blocks = -(-pinned.count() // block_rows)
     for block in range(n_blocks):
         part = pinned.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
         yield from _to_blocks(part.toArrow())

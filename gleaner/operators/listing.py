@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import fold_text
+from gleaner.functions.text import fold, strip
 from gleaner.operators.paging import Page, envelope, slice_page
 from gleaner.settings import (
     DEFAULT_PAGE_LIMIT,
@@ -35,7 +35,8 @@ def news_items(articles: DataFrame, *extra: str) -> DataFrame:
 
 
 def _page(articles: DataFrame, sort_column: str, order: list, page: Page) -> DataFrame:
-    return slice_page(news_items(articles, "seq"), sort_column, order, page).select(
+    extra = ["seq", "bucket"] if "bucket" in articles.columns else ["seq"]
+    return slice_page(news_items(articles, *extra), sort_column, order, page).select(
         *ITEM_FIELDS, "position"
     )
 
@@ -84,10 +85,8 @@ def category_total(articles: DataFrame) -> DataFrame:
 
 def keyword_matches(articles: DataFrame, query: str) -> DataFrame:
     """Literal substring match of the folded query in the folded title and summary."""
-    folded = fold_text(query.strip())
-    if not folded:
-        return articles.where(F.lit(False))
-    return articles.where(F.contains(F.col("search_blob"), F.lit(folded)))
+    folded = fold(strip(F.lit(query)))
+    return articles.where((folded != "") & F.contains(F.col("search_blob"), folded))
 
 
 def keyword_search(

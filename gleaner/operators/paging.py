@@ -37,25 +37,32 @@ def slice_page(
     First only ``id``, ``seq`` and the sort column are read (and, for articles still
     to be deduplicated, shuffled) to find which rows are on the page, at most
     ``MAX_PAGE_LIMIT`` of them. Then exactly these are fetched by an id filter, which
-    reaches the scan.
+    reaches the scan, and by their buckets where rows have them.
 
     Early pages are found by a distributed top-k. A page ending beyond ``top_k_rows``
     would make every task and the driver hold that many rows, so deep pages are
     sorted by range and only the partitions the page falls into are looked at.
     """
-    keys = rows.select(*dict.fromkeys(["id", "seq", sort_column]))
+    bucket = ["bucket"] if "bucket" in rows.columns else []
+    keys = rows.select(*dict.fromkeys(["id", "seq", sort_column, *bucket]))
     if page.start + page.limit <= top_k_rows:
         picked = keys.orderBy(*order).offset(page.start).limit(page.limit)
-        found = [(row["id"], row["seq"], nth) for nth, row in enumerate(picked.collect())]
+        rows_found = enumerate(picked.collect())
+        found = [(row["id"], row["seq"], nth, *(row[b] for b in bucket)) for nth, row in rows_found]
     else:
-        found = _deep_page(keys, order, page)
+        found = _deep_page(keys, order, page, bucket)
 
-    places = rows.sparkSession.createDataFrame(found, "id bigint, seq bigint, position bigint")
+    places = rows.sparkSession.createDataFrame(
+        [row[:3] for row in found], "id bigint, seq bigint, position bigint"
+    )
     wanted = rows.where(F.col("id").isin([row[0] for row in found]) if found else F.lit(False))
+    if bucket and found:
+        # Ids are hashes: only the partition column can keep other files unread.
+        wanted = wanted.where(F.col("bucket").isin(sorted({row[3] for row in found})))
     return wanted.join(F.broadcast(places), ["id", "seq"]).orderBy("position")
 
 
-def _deep_page(keys: DataFrame, order: list, page: Page) -> list[tuple[int, int, int]]:
+def _deep_page(keys: DataFrame, order: list, page: Page, bucket: list[str]) -> list[tuple]:
     if keys.count() <= page.start:
         return []
     checkpoint_dir(keys.sparkSession)
@@ -76,7 +83,7 @@ def _deep_page(keys: DataFrame, order: list, page: Page) -> list[tuple[int, int,
     begin = F.create_map([F.lit(x) for pair in starts.items() for x in pair])
     placed = (
         ranged.where(F.col("part").isin(list(starts)))
-        .select("id", "seq", (begin[F.col("part")] + within).alias("position"))
+        .select("id", "seq", (begin[F.col("part")] + within).alias("position"), *bucket)
         .where(F.col("position").between(0, page.limit - 1))
     )
     return [tuple(row) for row in placed.collect()]

@@ -51,6 +51,8 @@ def build_vectors(
     if mode == INCREMENTAL and already:
         todo = pending_articles(articles, store.ids(), max_rows)
 
+    todo = _each_id_once(todo)
+
     # Slices of a stored article table are made of its partitions, so each is read once.
     key = "bucket" if "bucket" in articles.columns else "id"
     encoded = empty = 0
@@ -63,4 +65,16 @@ def build_vectors(
         vectors = embed_column(points, "text", factory, dim, batch_size).drop("text")
         encoded += store.upsert(vectors, replace=mode == FORCE and already > 0, unique=True)
         empty += seen.get["empty"]
+    if mode == FORCE and 2 * encoded >= already > 0:
+        store.compact()
     return BuildReport(encoded, empty, already)
+
+
+def _each_id_once(articles: DataFrame) -> DataFrame:
+    """Of articles whose URLs share an id, the first; only ids are grouped."""
+    shared = articles.groupBy("id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    shared = shared.where("n > 1").select("id", "first")
+    if shared.isEmpty():
+        return articles
+    first = articles.join(shared, "id", "left").where("first IS NULL OR seq = first")
+    return first.drop("first")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from gleaner.functions.text import TOKEN_PATTERN
 from gleaner.plans.workload import (
     ARTICLES_RAW,
     KEYWORD,
+    SCRIPTS,
     SEARCH_DIM,
     SEARCH_QUERIES,
     STATS_THRESHOLD,
 )
 from gleaner.settings import SCORE_THRESHOLD
 
+HASHED_NAME = "CAST(concat('0x', substr(sha256(name), 1, 15)) AS BIGINT)"
+ASKED = SEARCH_QUERIES.replace("{key}", HASHED_NAME)
+
 RAW = f"raw AS ({ARTICLES_RAW})"
 
 BLANKS = "concat(' ', chr(9), chr(10), chr(13))"
@@ -95,7 +101,7 @@ vec AS (
 
 CANDIDATES = f"""{POINTS},
 doc_norm AS (SELECT id, sum(x * x) AS n FROM doc_words GROUP BY id),
-asked AS (SELECT query_id, query FROM ({SEARCH_QUERIES}) WHERE trim(query, {BLANKS}) <> ''),
+asked AS (SELECT query_id, query FROM ({ASKED}) WHERE trim(query, {BLANKS}) <> ''),
 asked_text AS (SELECT query_id AS id, query AS text FROM asked),
 query_words AS ({BUCKETS.format(src='asked_text')}),
 query_norm AS (SELECT id, sum(x * x) AS n FROM query_words GROUP BY id),
@@ -133,6 +139,31 @@ STORED = f"""SELECT id, CAST(coalesce(sum(x), 0) AS BIGINT) AS words,
   nullif(any_value(tieu_de), '') AS title
 FROM points LEFT JOIN doc_words USING (id) GROUP BY id"""
 
+# Decomposed by tables written out: the letters of the keywords that the fold changes.
+FOLDED_SCRIPTS = [
+    "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    .lower().strip()
+    for text in SCRIPTS
+]
+
+
+def _list(texts: list[str]) -> str:
+    return "[" + ", ".join(f"'{text}'" for text in texts) + "]"
+
+
+SCRIPT_TOTALS = f"""WITH {RAW},
+kept AS (
+  SELECT seq, lower(strip_accents(concat(coalesce(tieu_de, ''), ' '))) AS head,
+    {_list(FOLDED_SCRIPTS)}[seq % {len(SCRIPTS)} + 1] AS word,
+    lower(strip_accents(coalesce(summary, ''))) AS tail
+  FROM raw WHERE trim(link, {BLANKS}) <> ''
+  QUALIFY row_number() OVER (PARTITION BY trim(link, {BLANKS}) ORDER BY seq) = 1),
+asked AS (SELECT unnest({_list(FOLDED_SCRIPTS)}) AS q,
+  CAST(unnest(range({len(SCRIPTS)})) AS INTEGER) AS nth)
+SELECT nth, count(seq) AS total, min(seq) AS first_seq
+FROM asked LEFT JOIN kept ON q <> '' AND contains(concat(head, word, ' ', tail), q)
+GROUP BY nth"""
+
 ORACLE: dict[str, str] = {
     "prepare_articles": f"WITH {ART} SELECT * FROM art",
     "csv_scan": f"""WITH {ART}
@@ -169,7 +200,21 @@ SELECT coalesce(nguon, 'Khác') AS name, count(*) AS count FROM art GROUP BY 1""
 SELECT count(DISTINCT coalesce(nguon, 'Khác')) AS total FROM art""",
     "keyword_hit": _page("ORDER BY seq", 50, 50, _holds("that the")),
     "keyword_accent": _page("ORDER BY seq", 0, 100, _holds(KEYWORD)),
-    "keyword_blank": _page("ORDER BY seq", 0, 10, "false"),
+    "keyword_scripts": SCRIPT_TOTALS,
+    "latest_page_stored": _page(LATEST, 20, 20),
+    "featured_stored": _page(FEATURED, 0, 5),
+    "keyword_stored": _page("ORDER BY seq", 50, 50, _holds("that the")),
+    "store_counts": f"""WITH {ART}
+SELECT 'articles' AS store, count(*) AS n FROM art
+UNION ALL SELECT 'vectors', count(DISTINCT id) FROM art""",
+    "build_report": f"""WITH {ART},
+half AS (SELECT count(*) AS n, count_if({TEXT} = '') AS blank FROM art
+  WHERE ngay_dang < '2024-07-01'),
+whole AS (SELECT count(*) AS n, count_if({TEXT} = '') AS blank FROM art)
+SELECT CAST(0 AS INTEGER) AS build, n AS encoded, CAST(blank AS BIGINT) AS empty_texts,
+  CAST(0 AS BIGINT) AS already_stored FROM half
+UNION ALL SELECT 1, whole.n - half.n, CAST(whole.blank - half.blank AS BIGINT), half.n
+FROM whole, half""",
     "keyword_page_envelope": _envelope(2, 100, _holds(KEYWORD), KEYWORD),
     "keyword_matches": f"WITH {ART} SELECT id, seq FROM art WHERE {_holds(KEYWORD)}",
     "keyword_passages": f"""WITH {ART},
@@ -180,7 +225,7 @@ WHERE q <> ''""",
     "keyword_words": f"""WITH {ART},
 words AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word
           FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)),
-asked AS (SELECT item_id * 10000 + pos AS query_id,
+asked AS (SELECT {_id("concat(item_id, '/', pos)")} AS query_id,
             trim(lower(strip_accents(word)), {BLANKS}) AS q FROM words)
 SELECT query_id, count(*) AS total, min(seq) AS first_seq
 FROM art JOIN asked ON contains(search_blob, q) WHERE q <> '' GROUP BY query_id""",
@@ -214,9 +259,9 @@ x AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos,
 SELECT id, CAST(pos AS INTEGER) AS pos, round(x / n, 6) AS x FROM x""",
     "hashing_embedder": f"""WITH {POINTS}
 SELECT id, CAST(pos AS INTEGER) AS pos, x FROM doc_words""",
-    "distinct_queries": f"""WITH q AS ({SEARCH_QUERIES}),
+    "distinct_queries": f"""WITH q AS ({ASKED}),
 twice AS (SELECT query_id, query FROM q
-  UNION ALL SELECT query_id + 1000000000, concat(chr(10), ' ', query) FROM q)
+  UNION ALL SELECT {_id("concat('again/', query_id)")}, concat(chr(10), ' ', query) FROM q)
 SELECT trim(query, {BLANKS}) AS memo_key, min(query_id) AS rep_id,
   arg_min(query, query_id) AS query, count(*) AS n
 FROM twice WHERE trim(query, {BLANKS}) <> '' GROUP BY 1""",
@@ -241,8 +286,13 @@ q AS (SELECT a.id, list_transform(generate_series(1, len(a.v)),
 SELECT q.id AS query_id, max(round(list_cosine_similarity(q.v, e.v), 6)) AS best_score
 FROM q, e GROUP BY q.id HAVING best_score < 0.7""",
     "upsert_latest_wins": """
-SELECT vec_id AS id, round(CASE WHEN label < 5 THEN -1 ELSE 1 END
-  * CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM embeddings""",
+SELECT id, CAST(pos AS INTEGER) AS pos, round(sign * CAST(x AS DOUBLE), 6) AS x FROM (
+  SELECT vec_id AS id, CASE WHEN label < 5 THEN -1 ELSE 1 END AS sign,
+    unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)""",
+    "upsert_order": """
+SELECT id, CAST(pos AS INTEGER) AS pos, round(CAST(x AS DOUBLE) * 4, 6) AS x FROM (
+  SELECT vec_id AS id, unnest(embedding) AS x,
+    generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)""",
     "pending_ids": f"WITH {VECTORS} SELECT id FROM art WHERE id NOT IN (SELECT id FROM vec)",
     "pending_articles": f"""WITH {VECTORS}
 SELECT id, seq, tieu_de FROM art WHERE id NOT IN (SELECT id FROM vec)""",
@@ -274,13 +324,25 @@ FROM final WHERE rank <= 10""",
 totals AS (SELECT query_id, count(*) AS n FROM final WHERE rank <= 10 GROUP BY query_id)
 SELECT query_id, query, coalesce(n, 0) AS total, CAST(1 AS INTEGER) AS page,
   coalesce(n, 10) AS "limit", CAST(1 AS INTEGER) AS total_pages
-FROM ({SEARCH_QUERIES}) LEFT JOIN totals USING (query_id)""",
+FROM ({ASKED}) LEFT JOIN totals USING (query_id)""",
     "rerank_lexical": f"""WITH {CANDIDATES}, {LEXICAL.format(where='')}
 SELECT query_id, id, score, rank FROM final""",
     "rerank_fallback": f"""WITH {CANDIDATES},
 scored AS (SELECT query_id, id, first_rank,
   CASE WHEN contains(query, ',') THEN cosine ELSE length(passage)::DOUBLE END AS score
   FROM candidates)
+SELECT query_id, id, score, CAST(row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, first_rank) AS INTEGER) AS rank FROM scored""",
+    "rerank_listwise": f"""WITH {CANDIDATES},
+scored AS (SELECT query_id, id, first_rank, CAST(count(*) OVER (PARTITION BY query_id) * 100
+  + row_number() OVER (PARTITION BY query_id ORDER BY first_rank) - 1 AS DOUBLE) AS score
+  FROM candidates)
+SELECT query_id, id, score, CAST(row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC) AS INTEGER) AS rank FROM scored""",
+    "rerank_score_shapes": f"""WITH {CANDIDATES},
+scored AS (SELECT query_id, id, first_rank,
+  CASE WHEN length(query) % 3 <> 0 THEN cosine ELSE length(passage)::DOUBLE END AS score
+  FROM candidates)
 SELECT query_id, id, score, CAST(row_number() OVER (
   PARTITION BY query_id ORDER BY score DESC, first_rank) AS INTEGER) AS rank FROM scored""",
     "content_lookup": f"""WITH {ART}

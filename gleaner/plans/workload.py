@@ -9,7 +9,7 @@ are missing.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -55,13 +55,24 @@ SELECT doc_id AS seq,
 FROM documents
 """
 
-# One query per conversation turn; system turns stand for blank input.
+# One query per conversation turn, and a blank one for each system turn. An id is a hash
+# of what names the query; only the hash is written differently on the oracle.
 SEARCH_QUERIES = """
-SELECT conv_id * 100 + turn AS query_id,
-  CASE WHEN role = 'system' THEN '  ' WHEN role = 'assistant' THEN concat(' ', text, chr(10))
-       ELSE text END AS query
-FROM conversations
+SELECT {key} AS query_id, query FROM (
+  SELECT concat(CAST(conv_id AS STRING), '/', CAST(turn AS STRING)) AS name,
+    CASE WHEN role = 'assistant' THEN concat(' ', text, chr(10)) ELSE text END AS query
+  FROM conversations
+  UNION ALL
+  SELECT concat('blank/', CAST(conv_id AS STRING), '/', CAST(turn AS STRING)), '  '
+  FROM conversations WHERE role = 'system')
 """
+HASHED_NAME = "CAST(conv(substring(sha2(name, 256), 1, 15), 16, 10) AS BIGINT)"
+
+# Keywords in several scripts, some blank. Documents get the first ones by turns.
+SCRIPTS = [
+    "한국", "하", "ভালো", "தமிழ்", "đồng", "مرحبا", "λόγος", "שלום",
+    "the", "  ", " ́ ", "동",
+]
 
 KEYWORD = "thé"
 LSH_BITS = 6
@@ -91,7 +102,7 @@ class Tables:
         return prepare.prepare_articles(self.raw(), with_content)
 
     def queries(self) -> DataFrame:
-        return self._sql(SEARCH_QUERIES, "conversations")
+        return self._sql(SEARCH_QUERIES.replace("{key}", HASHED_NAME), "conversations")
 
     def embeddings(self) -> DataFrame:
         e = self.table("embeddings")
@@ -267,8 +278,58 @@ def keyword_accent(t: Tables) -> DataFrame:
 
 
 @query
-def keyword_blank(t: Tables) -> DataFrame:
-    return listing.keyword_search(t.articles(), " ́ ")
+def keyword_scripts(t: Tables) -> DataFrame:
+    """Matches per keyword over all articles, each title with a word of some script added."""
+    word = F.get(F.array(*map(F.lit, SCRIPTS)), F.pmod("seq", F.lit(len(SCRIPTS))).cast("int"))
+    title = F.concat(F.coalesce("tieu_de", F.lit("")), F.lit(" "), word)
+    articles = prepare.prepare_articles(t.raw().withColumn("tieu_de", title))
+    totals = [
+        listing.keyword_matches(articles, query)
+        .agg(F.count("*").alias("total"), F.min("seq").alias("first_seq"))
+        .select(F.lit(nth).alias("nth"), "total", "first_seq")
+        for nth, query in enumerate(SCRIPTS)
+    ]
+    return reduce(DataFrame.unionAll, totals)
+
+
+@query
+def latest_page_stored(t: Tables) -> DataFrame:
+    """A page over the article store, which reads the buckets of the page's rows only."""
+    return listing.latest_news(t.stored_articles(), page=2, limit=20)
+
+
+@query
+def featured_stored(t: Tables) -> DataFrame:
+    return listing.featured_news(t.stored_articles())
+
+
+@query
+def keyword_stored(t: Tables) -> DataFrame:
+    return listing.keyword_search(t.stored_articles(), "THAT the", page=2, limit=50)
+
+
+@query
+def store_counts(t: Tables) -> DataFrame:
+    """Rows of an article store and of the vector store built from it, as the stores count."""
+    articles = ArticleStore(t.spark, scratch_path(t.spark, "articles"), BUCKETS)
+    articles.append(t.articles(with_content=True))
+    vectors = VectorStore(t.spark, scratch_path(t.spark, "vectors"))
+    build_vectors(articles.read(), vectors, embedder, dim=SEARCH_DIM)
+    counts = [("articles", articles.count()), ("vectors", vectors.count())]
+    return t.spark.createDataFrame(counts, "store string, n bigint")
+
+
+@query
+def build_report(t: Tables) -> DataFrame:
+    """What two builds report: half of the articles, then all of them."""
+    store = VectorStore(t.spark, scratch_path(t.spark, "vectors"))
+    articles = t.stored_articles()
+    half = articles.where("ngay_dang < '2024-07-01'")
+    told = [build_vectors(part, store, embedder, dim=SEARCH_DIM) for part in (half, articles)]
+    return t.spark.createDataFrame(
+        [(n, r.encoded, r.empty_texts, r.already_stored) for n, r in enumerate(told)],
+        "build int, encoded bigint, empty_texts bigint, already_stored bigint",
+    )
 
 
 @query
@@ -297,12 +358,9 @@ def keyword_words(t: Tables) -> DataFrame:
     words = t.table("benchmark").select(
         "item_id", F.posexplode(F.split("text", " ")).alias("pos", "query")
     )
-    asked = words.select((F.col("item_id") * 10_000 + F.col("pos")).alias("query_id"), "query")
-    return (
-        keyword_batch.keyword_batch(t.articles(), asked)
-        .groupBy("query_id")
-        .agg(F.count("*").alias("total"), F.min("seq").alias("first_seq"))
-    )
+    name = F.concat(F.col("item_id").cast("string"), F.lit("/"), F.col("pos").cast("string"))
+    asked = words.select(stable_id(name).alias("query_id"), "query")
+    return keyword_batch.keyword_totals(t.articles(), asked)
 
 
 @query
@@ -347,9 +405,10 @@ def payload(t: Tables) -> DataFrame:
 
 @query
 def mean_pool_vectors(t: Tables) -> DataFrame:
-    """Each vector cut into token vectors of 16, pooled."""
+    """Each vector cut into token vectors of 16, pooled; a rest of fewer is left out."""
+    pieces = F.floor(F.size("vector") / 16).cast("int")
     cut = F.transform(
-        F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(F.col("vector"), i * 16 + 1, 16)
+        F.sequence(F.lit(0), pieces - 1), lambda i: F.slice(F.col("vector"), i * 16 + 1, 16)
     )
     pooled = t.embeddings().select("id", F.posexplode(mean_pool(cut)).alias("pos", "x"))
     return pooled.select("id", "pos", F.round("x", 6).alias("x"))
@@ -374,7 +433,7 @@ def distinct_queries(t: Tables) -> DataFrame:
     """Every query asked twice, once with outer blanks."""
     asked = t.queries()
     again = asked.select(
-        (F.col("query_id") + 1_000_000_000).alias("query_id"),
+        stable_id(F.concat(F.lit("again/"), F.col("query_id").cast("string"))).alias("query_id"),
         F.concat(F.lit("\n "), "query").alias("query"),
     )
     return embed.distinct_queries(asked.unionAll(again))
@@ -474,7 +533,21 @@ def upsert_latest_wins(t: Tables) -> DataFrame:
     negative = F.transform("embedding", lambda x: -x).alias("vector")
     store.upsert(e.where("label < 5").select("id", negative, _point_payload()))
     store.compact()
-    return store.read().select("id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("x0"))
+    whole = store.read().select("id", F.posexplode("vector").alias("pos", "x"))
+    return whole.select("id", "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query
+def upsert_order(t: Tables) -> DataFrame:
+    """Each point given three times in one call; the one with the largest number stays."""
+    store = VectorStore(t.spark, scratch_path(t.spark, "vectors"))
+    store.ensure(64)
+    e = t.table("embeddings").withColumn("id", F.col("vec_id"))
+    times = e.withColumn("nth", F.explode(F.array(*map(F.lit, (2, 4, 1)))))
+    scaled = F.transform("embedding", lambda x: (x * F.col("nth")).cast("float"))
+    store.upsert(times.select("id", scaled.alias("vector"), _point_payload(), "nth"), order="nth")
+    whole = store.read().select("id", F.posexplode("vector").alias("pos", "x"))
+    return whole.select("id", "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 @query
@@ -608,6 +681,32 @@ def rerank_fallback(t: Tables) -> DataFrame:
     return _rerank(t, LengthScorer)
 
 
+class ListScorer:
+    """Scores by how many passages there are and by their place: one call must see all."""
+
+    def score(self, query: str, passages: list[str]) -> list[float]:
+        return [float(len(passages) * 100 + n) for n in range(len(passages))]
+
+
+@query
+def rerank_listwise(t: Tables) -> DataFrame:
+    return _rerank(t, ListScorer)
+
+
+class ShapeScorer:
+    """By the query's length: wrapped scores, one too few, or none that is a number."""
+
+    def score(self, query: str, passages: list[str]) -> list:
+        scores = [[{"score": float(len(p))}] for p in passages]
+        kind = len(query) % 3
+        return scores if kind == 0 else scores[1:] if kind == 1 else [float("nan")] * len(scores)
+
+
+@query
+def rerank_score_shapes(t: Tables) -> DataFrame:
+    return _rerank(t, ShapeScorer)
+
+
 @query
 def content_lookup(t: Tables) -> DataFrame:
     """Content of the featured hundred."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.schemas import NEWS_TABLE_COLUMNS
 
-MAX_PUSHED_URLS = 1000
+#: URLs of one IN list; longer lists are read in several.
+PUSHED_URLS = 1000
 
 
 def jdbc_options(
@@ -59,11 +62,15 @@ def require_rows(rows: DataFrame) -> DataFrame:
 def content_by_urls(
     spark: SparkSession, options: dict[str, str], urls: list[str]
 ) -> DataFrame:
-    """Content of a few articles: the URL list is pushed to the database as IN."""
-    if len(urls) > MAX_PUSHED_URLS:
-        raise ValueError(
-            f"{len(urls)} URLs are too many for one IN list; "
-            "join the content table with operators.hydrate.lookup_content instead"
-        )
-    table = spark.read.format("jdbc").options(**options).load()
-    return table.where(F.col("url").isin(urls)).select("url", "content")
+    """Content of the given articles: URLs are pushed to the database as IN lists."""
+    return content_of(spark.read.format("jdbc").options(**options).load(), urls)
+
+
+def content_of(table: DataFrame, urls: list[str]) -> DataFrame:
+    """``url, content`` of the URLs, each list of ``PUSHED_URLS`` a read of its own."""
+    distinct = list(dict.fromkeys(urls))
+    reads = [
+        table.where(F.col("url").isin(distinct[at : at + PUSHED_URLS]))
+        for at in range(0, max(len(distinct), 1), PUSHED_URLS)
+    ]
+    return reduce(DataFrame.unionAll, reads).select("url", "content")

@@ -1,14 +1,15 @@
 """Vector points as Parquet batches with a commit log.
 
-A write lands in its own folder and counts only once its log row is there, so a
-crashed write leaves no trace in reads and is overwritten by the next attempt.
+A write lands in a folder of its own attempt and counts only once its log row is there,
+so a crashed write leaves no trace in reads, and two writers do not overwrite each other.
 ``recreate`` and ``compact`` start a new generation and leave the old files to
 whoever is still reading them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from gleaner.operators.bounds import broadcast_if_bounded
 from gleaner.schemas import VECTOR_DDL
 from gleaner.session import path_exists
 
-LOG_DDL = "generation int, batch int, kind string, dim int, row_count bigint"
+LOG_DDL = (
+    "generation int, batch int, kind string, dim int, row_count bigint, attempt string"
+)
 CREATE, APPEND, REPLACE = "create", "append", "replace"
 
 
@@ -28,6 +31,7 @@ class Commit:
     kind: str
     dim: int
     row_count: int
+    attempt: str = ""
 
 
 class VectorStore:
@@ -42,17 +46,19 @@ class VectorStore:
             return []
         log = self.spark.read.schema(LOG_DDL).parquet(f"{self.path}/log")
         commits = [Commit(*row) for row in log.collect()]
+        if not commits:  # a crash before the first row was there
+            return []
         latest = max(c.generation for c in commits)
         current = (c for c in commits if c.generation == latest)
-        return sorted(current, key=lambda c: c.batch)
+        return sorted(current, key=lambda c: (c.batch, c.attempt))
 
     def _commit(self, commit: Commit) -> None:
-        row = (commit.generation, commit.batch, commit.kind, commit.dim, commit.row_count)
+        row = astuple(commit)
         log = self.spark.createDataFrame([row], LOG_DDL).coalesce(1)
         log.write.mode("append").parquet(f"{self.path}/log")
 
-    def _folder(self, generation: int, batch: int) -> str:
-        return f"{self.path}/data/generation={generation}/batch={batch}"
+    def _folder(self, generation: int, batch: int, attempt: str) -> str:
+        return f"{self.path}/data/generation={generation}/batch={batch}/attempt={attempt}"
 
     # --- life cycle ---
 
@@ -80,8 +86,10 @@ class VectorStore:
     # --- reads ---
 
     def _rows(self, commits: list[Commit]) -> DataFrame:
-        folders = [self._folder(c.generation, c.batch) for c in commits if c.row_count]
-        schema = VECTOR_DDL + ", generation int, batch int"
+        folders = [
+            self._folder(c.generation, c.batch, c.attempt) for c in commits if c.row_count
+        ]
+        schema = VECTOR_DDL + ", generation int, batch int, attempt string"
         if not folders:
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/data")
@@ -90,19 +98,19 @@ class VectorStore:
     def read(self) -> DataFrame:
         """(id, vector, payload), the latest write of each id.
 
-        Plain appends need no resolution. Replacing writes are resolved by their ids
-        alone: vectors are joined with that narrow table, not regrouped.
+        Plain appends need no resolution. Replacing writes are resolved by joining their
+        ids. Beyond the broadcast bound that join shuffles the vectors; ``compact``, which
+        a forced build of most of the store calls, takes it off later reads.
         """
         commits = self._commits()
         rows = self._rows(commits)
         replacing = [c for c in commits if c.kind == REPLACE]
         if replacing:
-            newest = (
-                self._rows(replacing).groupBy("id").agg(F.max("batch").alias("newest"))
-            )
+            write = F.struct("batch", "attempt")
+            newest = self._rows(replacing).groupBy("id").agg(F.max(write).alias("newest"))
             bound = sum(c.row_count for c in replacing)
-            rows = rows.join(broadcast_if_bounded(newest, bound, 24), "id", "left").where(
-                F.col("newest").isNull() | (F.col("batch") >= F.col("newest"))
+            rows = rows.join(broadcast_if_bounded(newest, bound, 72), "id", "left").where(
+                F.col("newest").isNull() | (write >= F.col("newest"))
             )
         return rows.select("id", "vector", "payload")
 
@@ -121,25 +129,36 @@ class VectorStore:
     # --- writes ---
 
     def upsert(
-        self, points: DataFrame, replace: bool = True, unique: bool = False
+        self,
+        points: DataFrame,
+        replace: bool = True,
+        unique: bool = False,
+        order: str | None = None,
     ) -> int:
         """Insert points, or replace those whose id is stored; returns rows written.
 
         ``replace=False`` is for ids known to be new, ``unique=True`` for points known
         to hold each id once (both are so in a build); either saves work. Of several
-        points with one id in ``points`` one is kept, and which is not defined.
+        points with one id the one with the largest ``order`` is kept (the later one of a
+        stream of points); without that column it is not defined which.
         """
         commits = self._commits()
         if not commits:
             raise ValueError("the store does not exist; call ensure first")
-        if not unique:
+        if not unique and order:
+            last_one = F.max_by(F.struct("vector", "payload"), order).alias("p")
+            points = points.groupBy("id").agg(last_one).select("id", "p.vector", "p.payload")
+        elif not unique:
             points = points.dropDuplicates(["id"])
         last = commits[-1]
-        folder = self._folder(last.generation, last.batch + 1)
-        self._checked(points, last.dim).write.mode("overwrite").parquet(folder)
+        attempt = uuid.uuid4().hex
+        folder = self._folder(last.generation, last.batch + 1, attempt)
+        self._checked(points, last.dim).write.parquet(folder)
         written = self.spark.read.schema(VECTOR_DDL).parquet(folder).count()
         kind = REPLACE if replace else APPEND
-        self._commit(Commit(last.generation, last.batch + 1, kind, last.dim, written))
+        self._commit(
+            Commit(last.generation, last.batch + 1, kind, last.dim, written, attempt)
+        )
         return written
 
     def compact(self) -> None:
@@ -148,10 +167,11 @@ class VectorStore:
         if not commits:
             return
         generation, dim = commits[0].generation + 1, commits[0].dim
-        folder = self._folder(generation, 1)
-        self.read().write.mode("overwrite").parquet(folder)
+        attempt = uuid.uuid4().hex
+        folder = self._folder(generation, 1, attempt)
+        self.read().write.parquet(folder)
         written = self.spark.read.schema(VECTOR_DDL).parquet(folder).count()
-        self._commit(Commit(generation, 1, APPEND, dim, written))
+        self._commit(Commit(generation, 1, APPEND, dim, written, attempt))
 
     def _checked(self, points: DataFrame, dim: int) -> DataFrame:
         size = F.size("vector")

@@ -7,7 +7,7 @@ from gleaner.operators.paging import Page, slice_page
 from gleaner.operators.prepare import dedupe_report, prepare_articles, rejected_urls
 from gleaner.schemas import require_columns
 from gleaner.sources.csv import read_articles_csv, write_articles_csv
-from gleaner.sources.jdbc import articles_from_news, content_by_urls, jdbc_options, require_rows
+from gleaner.sources.jdbc import articles_from_news, jdbc_options, require_rows
 from gleaner.sources.json_rows import to_json_rows, write_json
 
 
@@ -226,9 +226,31 @@ def test_news_table_mapping(spark):
         require_rows(rows.where("false"))
 
 
-def test_jdbc_options(spark):
+def test_jdbc_options():
     options = jdbc_options("jdbc:x", 1, 1000, 8, driver="d")
     assert options["partitionColumn"] == "id" and options["numPartitions"] == "8"
     assert options["driver"] == "d" and options["dbtable"] == "news"
-    with pytest.raises(ValueError, match="too many"):
-        content_by_urls(spark, options, ["u"] * 1001)
+
+def test_content_of_any_number_of_urls(spark):
+    from gleaner.sources.jdbc import content_of
+
+    table = spark.range(1500).selectExpr("concat('u', id) AS url", "concat('c', id) AS content")
+    got = content_of(table, [f"u{i}" for i in range(1001)] + ["u3", "missing"]).collect()
+    assert sorted(r.url for r in got) == sorted(f"u{i}" for i in range(1001))
+    assert content_of(table, []).count() == 0
+
+
+def test_csv_order_follows_file_names(spark, scratch):
+    import os
+
+    from gleaner.sources.csv import read_articles_csv
+
+    path = scratch("csv").removeprefix("file://")
+    os.makedirs(path)
+    names = "nguon,tieu_de,ngay_dang,tac_gia,summary,so_binh_luan,link,noi_dung"
+    for n, rows in ((1, 3), (2, 400), (3, 20)):
+        with open(f"{path}/part-{n}.csv", "w") as f:
+            f.write(names + "\n")
+            f.writelines(f"s,file {n} row {i:03},2024-01-01,a,b,1,http://x/{i},c\n" for i in range(rows))
+    read = read_articles_csv(spark, path).orderBy("seq").select("tieu_de").collect()
+    assert [r.tieu_de for r in read] == sorted(r.tieu_de for r in read) and len(read) == 423

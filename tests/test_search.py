@@ -103,12 +103,57 @@ def test_wrong_dimension_is_not_stored(spark, store):
 
 def test_uncommitted_write_is_invisible(spark, store):
     store.ensure(2)
-    points(spark, [(9, 9.0)]).write.parquet(store._folder(0, 1))
+    points(spark, [(9, 9.0)]).write.parquet(store._folder(0, 1, "crashed"))
     assert stored(store) == {}
     store.upsert(points(spark, [(1, 1.0)]))
     assert stored(store) == {1: 1}
 
 
+def test_store_survives_a_crash_in_its_first_commit(spark, store):
+    import os
+
+    os.makedirs(f"{store.path}/log/_temporary")
+    assert not store.exists() and store.count() == 0
+    store.ensure(2)
+    store.upsert(points(spark, [(1, 1.0)]))
+    assert stored(store) == {1: 1}
+
+
+def test_last_point_of_a_call_wins(spark, store):
+    store.ensure(2)
+    many = points(spark, [(1, 1.0), (1, 3.0), (1, 2.0), (2, 5.0)])
+    store.upsert(many.withColumn("nth", F.element_at("vector", 1)), order="nth")
+    assert stored(store) == {1: 3, 2: 5}
+
+
+def test_scorer_sees_all_candidates_of_a_query(spark):
+    from gleaner.operators.rerank import _score_in_tasks
+
+    class Counting:
+        def score(self, query, passages):
+            return [float(len(passages))] * len(passages)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(q, f"query {q}", f"p{i}", i) for q in range(12) for i in range(5 + q)]
+        pairs = spark.createDataFrame(rows, "query_id bigint, query string, passage string, rank int")
+        scored = _score_in_tasks(pairs, Counting).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(scored) == len(rows)
+    assert all(r.new_score == 5 + r.query_id for r in scored)
+
+
+def test_stored_pages_read_the_buckets_of_their_rows(spark, scratch, articles, plan):
+    from gleaner.operators.listing import latest_news
+
+    store = ArticleStore(spark, scratch("articles"), buckets=8)
+    store.append(articles)
+    text = plan(latest_news(store.read(), limit=2))
+    scans = [line for line in text.splitlines() if "PartitionFilters" in line]
+    assert any("bucket" in line.split("PartitionFilters:")[1].split("]")[0] for line in scans)
+
+
 def test_id_scan_reads_ids_only(spark, store, plan):
     store.ensure(2)
     store.upsert(points(spark, [(1, 1.0)]), replace=False)
