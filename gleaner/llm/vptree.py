@@ -4,7 +4,9 @@ The largest inner product becomes the smallest distance once every vector gets o
 coordinate that brings it to the length of the longest. Each shard's tree halves its
 vectors by their distance from a vantage point. A query leaves out a half if the triangle
 inequality, with the distance of its worst hit so far times ``factor``, says that nothing
-nearer lies there. Factor one makes the search exact; less prunes more.
+nearer lies there. Factor one makes the search exact; less prunes more. How much less
+depends on the vectors, so by default each task takes the least of ``FACTORS`` that finds
+``TUNED_RECALL`` of the true neighbours of a few of its queries.
 
 Shards meet blocks of queries in one task each; both are bounded in bytes.
 """
@@ -19,9 +21,12 @@ from pyspark.sql import functions as F
 from gleaner.llm.workers import ready
 
 LEAF = 128
-FACTOR = 0.25
+FACTORS = (0.1, 0.15, 0.25, 0.4, 0.6, 0.8)
+#: So many queries of a task are answered by brute force as well to choose its factor.
+TUNING_QUERIES = 64
+TUNED_RECALL = 0.97
 SHARD_BYTES = 32 << 20
-MIN_SHARD_ROWS = 2048
+MIN_SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
 
 
@@ -103,6 +108,25 @@ class VpTree:
         self.rows[active] = np.where(np.isneginf(self.scores[active]), -1, which)
 
 
+def tuned_factor(
+    tree: VpTree, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int
+) -> float:
+    """The least factor with enough recall on a few evenly spaced queries; one if none has."""
+    some = np.linspace(0, len(queries) - 1, min(len(queries), TUNING_QUERIES)).astype(int)
+    queries, own = queries[some], own[some]
+    wanted = tree.search(queries, own, ids, k, 1.0)[0]
+    total = np.isfinite(wanted).sum()
+    for factor in FACTORS:
+        found = tree.search(queries, own, ids, k, factor)[0]
+        # Scores stand for rows: equal scores are equally near.
+        hits = sum(
+            (np.isin(f, w) & np.isfinite(f)).sum() for f, w in zip(found, wanted, strict=True)
+        )
+        if hits >= TUNED_RECALL * total:
+            return factor
+    return 1.0
+
+
 _HITS = "query_id bigint, vec_id bigint, score double"
 _HITS_ARROW = pa.schema(
     [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
@@ -115,7 +139,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.ascontiguousarray(values, dtype=np.float64).reshape(len(flat), -1)
 
 
-def _search_group(table: pa.Table, k: int, factor: float, longest: float) -> pa.Table:
+def _search_group(table: pa.Table, k: int, factor: float | None, longest: float) -> pa.Table:
     """Hits of a block of queries in a shard."""
     asked = table["asked"].to_numpy()
     ids, vectors = table["vec_id"].to_numpy(), _matrix(table["vector"])
@@ -127,6 +151,8 @@ def _search_group(table: pa.Table, k: int, factor: float, longest: float) -> pa.
     missing = np.maximum(longest**2 - np.einsum("ij,ij->i", vectors, vectors), 0.0)
     tree = VpTree(np.column_stack([vectors, np.sqrt(missing)]))
     wide = np.column_stack([queries, np.zeros(len(queries))])
+    if factor is None:
+        factor = tuned_factor(tree, wide, query_ids, ids, k)
     _, rows = tree.search(wide, query_ids, ids, k, factor)
     query, place = np.nonzero(rows >= 0)
     row = rows[query, place]
@@ -144,12 +170,13 @@ def _is_usable(vector: Column) -> Column:
 
 
 def nearest(
-    vectors: DataFrame, queries: Column, k: int = 20, factor: float = FACTOR
+    vectors: DataFrame, queries: Column, k: int = 20, factor: float | None = None
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found for each query row.
 
     ``vectors`` has vec_id and vector (array of numbers); ``queries`` is the condition that
-    makes a row a query. Nearness is the largest inner product, in double precision; ties
+    makes a row a query. ``factor`` is tuned on a few queries of each task if not given.
+    Nearness is the largest inner product, in double precision; ties
     go to the smaller id. A query's own id is no candidate.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, nor do
