@@ -38,6 +38,8 @@ BLOCK_ITEMS = 8
 SLICE_BYTES = 16 << 20
 _CACHE_LIMIT = 300_000
 MARK = "holds an item"
+#: One, less what rounding takes off a score, and off a bound of single-precision maxima.
+ENOUGH, SURE = 1 - 1e-9, 1 - 1e-4
 _BATCH_WORDS = 40_000
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -126,7 +128,7 @@ class ItemIndex:
         return found
 
     def search(self, terms: list[int], first: int, last: int) -> dict[int, float]:
-        """Parts from ``first`` to before ``last`` with a score of one at least."""
+        """Parts from ``first`` to before ``last`` with a score of one, up to rounding."""
         cursors = []  # [part, place, term, highest impact]
         for t in terms:
             place = bisect_left(self.numbers[t], first)
@@ -139,7 +141,7 @@ class ItemIndex:
             bound, pivot = 0.0, -1
             for i, c in enumerate(cursors):
                 bound += c[3]
-                if bound >= 1:
+                if bound >= SURE:
                     pivot = i
                     break
             if pivot < 0:
@@ -149,7 +151,7 @@ class ItemIndex:
                 pivot += 1
             block = part // BLOCK_ITEMS
             can = sum(self.narrow_max[c[2]].get(block, 0.0) for c in cursors[: pivot + 1])
-            if can < 1:
+            if can < SURE:
                 # No part of this block before the next cursor's can do.
                 to = (block + 1) * BLOCK_ITEMS
                 if pivot + 1 < len(cursors):
@@ -158,7 +160,7 @@ class ItemIndex:
                 moving = cursors[: pivot + 1]
             elif cursors[0][0] == part:
                 score = sum(self.impacts[c[2]][c[1]] for c in cursors[: pivot + 1])
-                if score >= 1:
+                if score >= ENOUGH:
                     hits[part] = score
                 to, moving = part + 1, cursors[: pivot + 1]
             else:
@@ -177,12 +179,12 @@ class ItemIndex:
         starts = np.arange(0, max(len(terms) - PART, 1), PART)
         ends = np.minimum(starts + 2 * PART, len(terms))
         # Repeated words count each time here, which only raises the bound.
-        reach = (sums[ends] - sums[starts] >= 1 - 1e-4).any(axis=1)
+        reach = (sums[ends] - sums[starts] >= SURE).any(axis=1)
         for passage in np.flatnonzero(reach).tolist():
             inside = np.unique(terms[starts[passage] : ends[passage]])
             inside = inside[inside < len(self.ids)]
             bound = self.block_max[inside].sum(axis=0, dtype=np.float64)
-            blocks = np.flatnonzero(bound >= 1 - 1e-4).tolist()
+            blocks = np.flatnonzero(bound >= SURE).tolist()
             if blocks:
                 yield passage, inside.tolist(), blocks
 

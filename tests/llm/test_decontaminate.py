@@ -60,7 +60,7 @@ def test_leaks_equal_brute_force(spark):
         got = {index.items[i][0] for i in index.leaks(text or "")}
         assert got >= _brute(text, items)
         for i, figures in index.leaks(text or "").items():
-            assert figures[0] >= 1 and min(figures[1:3]) >= dc.MIN_OVERLAP
+            assert figures[0] >= dc.ENOUGH and min(figures[1:3]) >= dc.MIN_OVERLAP
 
 
 def test_wand_finds_all_that_plain_scoring_finds():
@@ -75,7 +75,7 @@ def test_wand_finds_all_that_plain_scoring_finds():
             for p, x in zip(index.numbers[t], index.impacts[t], strict=True):
                 scores[p] += x
         got = index.search(terms, 0, parts)
-        assert set(got) == set(np.flatnonzero(scores >= 1).tolist())
+        assert set(got) == set(np.flatnonzero(scores >= dc.ENOUGH).tolist())
         assert all(abs(scores[p] - s) < 1e-9 for p, s in got.items())
 
 
