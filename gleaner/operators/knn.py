@@ -406,6 +406,18 @@ def _cell_scorer(shared, k: int, threshold: float | None):
 # --- score reports ---------------------------------------------------------------
 
 
+def search_diagnostics(hits: DataFrame, threshold: float) -> DataFrame:
+    """Per query of an unfiltered top-k: hits at the threshold, their least and highest
+    score, and the best score of all, also where none reaches the threshold."""
+    good = F.when(F.col("score") >= threshold, F.col("score"))
+    return hits.groupBy("query_id").agg(
+        F.count(good).alias("n_hits"),
+        F.min(good).alias("min_score"),
+        F.max(good).alias("max_score"),
+        F.max("score").alias("best_score"),
+    )
+
+
 def score_stats(hits: DataFrame) -> DataFrame:
     """Candidates per query: count, lowest and highest score."""
     return hits.groupBy("query_id").agg(

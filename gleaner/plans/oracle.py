@@ -8,10 +8,13 @@ from gleaner.functions.text import TOKEN_PATTERN
 from gleaner.plans.workload import (
     ARTICLES_RAW,
     KEYWORD,
+    LSH_PLANES,
+    LSH_PROBES,
     SCRIPTS,
     SEARCH_DIM,
     SEARCH_QUERIES,
     STATS_THRESHOLD,
+    STRICT_THRESHOLD,
 )
 from gleaner.settings import SCORE_THRESHOLD
 
@@ -78,7 +81,7 @@ BUCKETS = f"""
   GROUP BY ALL"""
 
 POINTS = f"""{ART},
-points AS (SELECT id, tieu_de, summary, {TEXT} AS text FROM art),
+points AS (SELECT id, tieu_de, summary, ngay_dang, {TEXT} AS text FROM art),
 doc_words AS ({BUCKETS.format(src='points')})"""
 
 EMB = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"""
@@ -135,9 +138,31 @@ CUT = LEXICAL.format(where=f" WHERE cosine >= {SCORE_THRESHOLD}")
 RESULT = """query_id, rank, id, tieu_de AS title, summary, noi_dung AS content, link AS url,
   CAST(NULL AS VARCHAR) AS image, ngay_dang AS date, nguon AS source, score"""
 
-STORED = f"""SELECT id, CAST(coalesce(sum(x), 0) AS BIGINT) AS words,
-  nullif(any_value(tieu_de), '') AS title
-FROM points LEFT JOIN doc_words USING (id) GROUP BY id"""
+ENTRIES = """entries AS (
+  SELECT p.id, CAST(pos AS INTEGER) AS pos, x, nullif(tieu_de, '') AS title,
+    nullif(ngay_dang, '') AS publish_date
+  FROM points p JOIN doc_words USING (id))"""
+
+PLANES = "[" + ", ".join(str(plane.tolist()) for plane in LSH_PLANES) + "]"
+LSH = f"""WITH {EMB},
+planes AS (SELECT unnest({PLANES}) AS p, unnest(range({len(LSH_PLANES)})) AS b),
+projected AS (SELECT id, b, list_inner_product(v, p) AS x FROM e, planes),
+placed AS (
+  SELECT id, sum(CASE WHEN x > 0 THEN 1 << b ELSE 0 END) AS cell FROM projected GROUP BY id),
+costs AS (
+  SELECT id AS query_id, cell,
+    sum(CASE WHEN (x > 0) <> ((cell >> b) & 1 = 1) THEN x * x ELSE 0 END) AS cost
+  FROM projected, (SELECT unnest(range({2 ** len(LSH_PLANES)})) AS cell) GROUP BY ALL),
+probed AS (
+  SELECT query_id, cell FROM costs
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cost, cell) <= {LSH_PROBES}),
+scored AS (
+  SELECT query_id, c.id, round(list_cosine_similarity(q.v, c.v), 6) AS score
+  FROM probed JOIN placed USING (cell) JOIN e c ON c.id = placed.id JOIN e q ON q.id = query_id),
+near AS (
+  SELECT *, CAST(row_number() OVER (
+    PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank
+  FROM scored QUALIFY rank <= 30)"""
 
 # Decomposed by tables written out: the letters of the keywords that the fold changes.
 FOLDED_SCRIPTS = [
@@ -307,9 +332,25 @@ UNION ALL SELECT 'repeated_article_ids', count(*) - count(DISTINCT id) FROM art
 UNION ALL SELECT 'repeated_vector_ids', count(*) - count(DISTINCT id) FROM vec
 UNION ALL SELECT 'empty_texts', count(*) FROM art WHERE {TEXT} = ''
 UNION ALL SELECT 'wrong_dimension', count(*) FROM vec WHERE len(embedding) <> 64""",
-    "full_build": f"WITH {POINTS} {STORED}",
-    "incremental_build": f"WITH {POINTS} {STORED}",
-    "stream_ingest": f"WITH {ART} SELECT id, true AS has_vector FROM art",
+    "full_build": f"WITH {POINTS}, {ENTRIES} SELECT * FROM entries",
+    "incremental_build": f"WITH {POINTS}, {ENTRIES} SELECT * FROM entries",
+    "stream_ingest": f"""WITH {POINTS}, {ENTRIES}
+SELECT * FROM (SELECT id, seq, link FROM art) LEFT JOIN entries USING (id)""",
+    "knn_lsh": LSH + " SELECT * FROM near",
+    "knn_lsh_recall": LSH
+    + """,
+every AS (
+  SELECT q.id AS query_id, c.id, round(list_cosine_similarity(q.v, c.v), 6) AS score
+  FROM e q, e c),
+best AS (SELECT query_id, id FROM every
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30)
+SELECT count(*) AS neighbours, count(near.id) AS found
+FROM best LEFT JOIN near ON near.query_id = best.query_id AND near.id = best.id""",
+    "search_diagnostics": KNN
+    + f"""SELECT query_id, count(*) FILTER (score >= {STRICT_THRESHOLD}) AS n_hits,
+  min(score) FILTER (score >= {STRICT_THRESHOLD}) AS min_score,
+  max(score) FILTER (score >= {STRICT_THRESHOLD}) AS max_score, max(score) AS best_score
+FROM ranked WHERE rank <= 30 AND id <> query_id GROUP BY query_id""",
     "semantic_search_lexical": f"WITH {CANDIDATES}, {CUT} SELECT {RESULT} FROM final WHERE rank <= 10",
     "semantic_search_passthrough": f"""WITH {CANDIDATES},
 final AS (SELECT *, CAST(first_rank AS INTEGER) AS rank, cosine AS score FROM candidates

@@ -79,6 +79,9 @@ LSH_BITS = 6
 BUCKETS = 8
 SEARCH_DIM = 256
 STATS_THRESHOLD = 0.25
+STRICT_THRESHOLD = 0.45
+LSH_PLANES = knn.random_planes(LSH_BITS, 64)
+LSH_PROBES = 2 ** (LSH_BITS - 1)
 
 embedder = partial(embed.HashingEmbedder, SEARCH_DIM)
 
@@ -475,6 +478,14 @@ def knn_score_stats(t: Tables) -> DataFrame:
     )
 
 
+@query
+def search_diagnostics(t: Tables) -> DataFrame:
+    """Counts and scores at a threshold few neighbours reach, from one pass."""
+    hits = knn.knn_batch(t.embeddings(), t.embedding_queries())
+    others = hits.where("id <> query_id")
+    return knn.search_diagnostics(others, STRICT_THRESHOLD)
+
+
 @query
 def knn_best_when_empty(t: Tables) -> DataFrame:
     """Queries: vectors minus their neighbour in number, so that few reach the threshold."""
@@ -497,9 +508,19 @@ def _cells(t: Tables, planes: np.ndarray) -> DataFrame:
 @query
 def knn_lsh(t: Tables) -> DataFrame:
     """Approximate: half of the cells probed."""
-    planes = knn.random_planes(LSH_BITS, 64)
     return knn.knn_lsh(
-        _cells(t, planes), t.embedding_queries(), planes, probes=2 ** (LSH_BITS - 1)
+        _cells(t, LSH_PLANES), t.embedding_queries(), LSH_PLANES, probes=LSH_PROBES
+    )
+
+
+@query
+def knn_lsh_recall(t: Tables) -> DataFrame:
+    """How many of the true 30 neighbours the probed cells give, over all queries."""
+    columns = ["query_id", "id"]
+    true = knn.knn_batch(t.embeddings(), t.embedding_queries()).select(*columns)
+    found = knn_lsh(t).select(*columns).withColumn("hit", F.lit(1))
+    return true.join(found, columns, "left").agg(
+        F.count("*").alias("neighbours"), F.count("hit").alias("found")
     )
 
 
@@ -571,10 +592,11 @@ def index_audit(t: Tables) -> DataFrame:
     return audit.index_audit(t.articles(), t.article_vectors(), 64)
 
 
-def _stored_summary(store: VectorStore) -> DataFrame:
-    total = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x)
-    return store.read().select(
-        "id", total.cast("bigint").alias("words"), F.col("payload.title").alias("title")
+def _stored_entries(store: VectorStore) -> DataFrame:
+    """Non-zero coordinates of every stored vector, with the payload."""
+    entries = store.read().select("id", "payload", F.posexplode("vector").alias("pos", "x"))
+    return entries.where("x <> 0").select(
+        "id", "pos", F.col("x").cast("bigint").alias("x"), "payload.title", "payload.publish_date"
     )
 
 
@@ -582,7 +604,7 @@ def _stored_summary(store: VectorStore) -> DataFrame:
 def full_build(t: Tables) -> DataFrame:
     store = VectorStore(t.spark, scratch_path(t.spark, "vectors"))
     build_vectors(t.articles(), store, embedder, RECREATE, SEARCH_DIM)
-    return _stored_summary(store)
+    return _stored_entries(store)
 
 
 @query
@@ -595,7 +617,7 @@ def incremental_build(t: Tables) -> DataFrame:
     build_vectors(articles, store, embedder, dim=SEARCH_DIM, slices=3)
     build_vectors(articles, store, embedder, dim=SEARCH_DIM)
     build_vectors(dated, store, embedder, FORCE, dim=SEARCH_DIM)
-    return _stored_summary(store)
+    return _stored_entries(store)
 
 
 @query
@@ -603,20 +625,18 @@ def stream_ingest(t: Tables) -> DataFrame:
     """Three drops delivered twice; what is stored equals the batch result."""
     drops = scratch_path(t.spark, "drops")
     raw = t.raw()
-    for _ in range(2):
-        raw.repartitionByRange(3, "seq").write.mode("append").parquet(drops)
+    third = (raw.agg(F.max("seq")).first()[0] or 0) // 3 + 1
+    for part in (0, 1, 2) * 2:
+        # One after the other: files are taken in the order they were written.
+        drop = raw.where(F.floor(F.col("seq") / third) == part)
+        drop.coalesce(1).write.mode("append").parquet(drops)
     articles = ArticleStore(t.spark, scratch_path(t.spark, "articles"), BUCKETS)
     vectors = VectorStore(t.spark, scratch_path(t.spark, "vectors"))
     stream = read_drops(t.spark, drops, raw.schema, max_files=2)
     start_ingest(
         stream, articles, vectors, embedder, scratch_path(t.spark, "progress"), SEARCH_DIM
     ).awaitTermination()
-    stored = vectors.ids().withColumn("has_vector", F.lit(True))
-    return (
-        articles.read()
-        .join(stored, "id", "left")
-        .select("id", F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
-    )
+    return articles.read().select("id", "seq", "link").join(_stored_entries(vectors), "id", "left")
 
 
 # --- search ---

@@ -5,9 +5,9 @@ import __spark_entry__ as entry
 from conftest import SF_DIR
 
 
-def test_every_query_but_the_approximate_one_has_sql():
+def test_every_query_has_sql():
     own = set(entry.queries()) - set(entry.LLM_REGISTRY)
-    assert own - set(entry.oracle_sql()) == {"knn_lsh"}
+    assert own - set(entry.oracle_sql()) == set()
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
