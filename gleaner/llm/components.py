@@ -1,8 +1,8 @@
 """Connected components of links, by alternating large and small stars.
 
 Each round replaces the links by links to the smallest neighbour; nothing but two
-aggregates per round reaches the driver. A node with very many links is a single row
-after the map-side minimum, and its join partition is split by adaptive execution.
+aggregates per round reaches the driver. The minimum over a node with very many links is
+taken before the shuffle; the join that follows streams its links past that one row.
 """
 
 from __future__ import annotations

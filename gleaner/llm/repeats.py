@@ -314,6 +314,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
         .agg(F.count("*").alias("n"), (F.min("ctx") == F.max("ctx")).alias("alike"))
         .where("n > 1")
         .select("gram", "alike")
+        .checkpoint()  # with an exchange on both sides the join can split a hot anchor
     )
     again = rows.join(found_again, "gram").checkpoint()
     span = [F.col("place").alias("start"), (F.col("place") + F.col("windows") - 1 + min_bytes).alias("end")]

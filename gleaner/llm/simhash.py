@@ -310,7 +310,8 @@ def near_duplicates(
     roots = connected_components(links)
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least_id")).join(roots, "node", "left")
     nodes = nodes.withColumn("root", F.coalesce("root", "node")).checkpoint()
-    named = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # Checkpointed, the join below has an exchange on both sides and can split a hot root.
+    named = nodes.groupBy("root").agg(F.min("least_id").alias("component_id")).checkpoint()
     labels = nodes.select("node", "root").join(named, "root")
     return prints.join(labels, "node").select(
         "doc_id", "text_hash", "fp", "root", "component_id"
