@@ -15,6 +15,7 @@ from gleaner.settings import (
     UNTITLED,
 )
 
+# The public field names of a list item.
 ITEM_COLUMNS = {
     "id": "id",
     "tieu_de": "title",

@@ -17,7 +17,7 @@ REQUIRED_COLUMNS = [
 ]
 CONTENT_COLUMN = "noi_dung"
 
-# Relational column -> article column.
+# Relational column -> article column.
 NEWS_TABLE_COLUMNS = {
     "source": "nguon",
     "title": "tieu_de",
