@@ -43,6 +43,8 @@ NOISE_WORDS = frozenset(
     "notice notices alert popup modal overlay newsletter subscribe signup login share sharing "
     "social related recommended widget widgets pagination pager toolbar".split()
 )
+#: Readers' words stay noise however long they are.
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
 NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert menu".split()
 )
@@ -61,16 +63,20 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold text of their own rather than other blocks.
 LEAVES = HEADINGS | frozenset("p li pre blockquote td th dt dd figcaption caption tr".split())
 ENOUGH = 0.75
+#: Unmarked characters of a page that may be an article.
+ARTICLE_CHARS = 200
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("chars", "content", "depth", "header", "links", "noise", "parent", "tag", "title")
+    __slots__ = (
+        "chars", "comments", "content", "depth", "header", "links", "noise", "parent", "tag", "title",
+    )
 
     def __init__(self, tag: str, title: str, parent: int, depth: int) -> None:
         self.tag, self.title, self.parent, self.depth = tag, title, parent, depth
-        self.noise = self.header = self.content = False
+        self.noise = self.header = self.content = self.comments = False
         self.chars = self.links = 0
 
 
@@ -145,6 +151,7 @@ class PageReader(HTMLParser):
             classes = sorted(_DIGITS.sub("#", (named.get("class") or "").lower()).split())
             node = Node(tag, ".".join([tag, *classes]), parent, above.depth + 1)
             node.noise = tag in NOISE_TAGS or noisy
+            node.comments = bool(words & COMMENT_WORDS)
             node.header = tag == "header" or "header" in words
             node.content = (
                 tag in ("article", "main")
@@ -187,12 +194,23 @@ class PageReader(HTMLParser):
             every[number] += len(text)
         for i in range(len(nodes) - 1, 0, -1):
             every[nodes[i].parent] += every[i]
-        # Names mislead: what holds most of the page's text is no advert.
+        # Names mislead: what holds most of the page's text is no advert, unless an article
+        # may be outside it.
         body = max((every[i] for i, n in enumerate(nodes) if n.tag == "body"), default=every[0])
+        marked, holds = [False] * len(nodes), [False] * len(nodes)
+        for i in range(1, len(nodes)):
+            node, top = nodes[i], nodes[i].tag in ("html", "body")
+            marked[i] = marked[node.parent] or (not top and (node.noise or node.header))
+        plain = sum(len(text) for number, text, _ in self.blocks if not marked[number])
+        for i in range(len(nodes) - 1, 0, -1):
+            article = nodes[i].content and not nodes[i].noise
+            holds[nodes[i].parent] = holds[nodes[i].parent] or article or holds[i]
         in_article = [False] * len(nodes)
         for i in range(1, len(nodes)):
             node, above = nodes[i], nodes[nodes[i].parent]
-            if node.noise and node.tag not in NOISE_TAGS and 2 * every[i] > body:
+            alone = plain < ARTICLE_CHARS and not node.comments
+            wraps = holds[i] or alone or node.tag in ("html", "body")
+            if node.noise and node.tag not in NOISE_TAGS and 2 * every[i] > body and wraps:
                 node.noise = False
             if node.header and 2 * every[i] > body:
                 node.header = False

@@ -75,3 +75,12 @@ def test_given_pages(spark, sf_dir="/root/testdata/sf0.001"):
         lines = [" ".join(entities.unescape(p).split()) for p in parts]
         expected = "\n".join(line for line in lines if line)
         assert out[page.page_id].text == expected and out[page.page_id].n_chars == len(expected)
+
+
+def test_longer_comments_are_not_the_article():
+    article, remark = "The article itself. " * 20, "<p>A remark of some reader.</p>" * 60
+    for name in ("comments", "sidebar", "related"):
+        for page in ("<article><p>%s</p><div class=%s>%s</div></article>", "<div><p>%s</p></div><div class=%s>%s</div>"):
+            assert _text("<body>" + page % (article, name, remark) + "</body>") == article.strip()
+    wrapped = "<body class=comments-open><div class=comments-on><article><p>%s</p></article></div></body>"
+    assert _text(wrapped % article) == article.strip()
