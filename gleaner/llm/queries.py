@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import (
     chat,
+    collocations,
     decontaminate,
+    filter_audit,
     html,
     ngram_lm,
     packing,
@@ -16,7 +18,10 @@ from gleaner.llm import (
     simhash,
     toxicity,
     vptree,
+    warc,
 )
+from gleaner.llm.oracle import ORACLE  # noqa: F401
+from gleaner.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,6 +138,27 @@ def op10_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(given, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from the documents of each language, in all 120 orders."""
+    return filter_audit.audit_filters(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language of all documents."""
+    return collocations.mine_collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back from them."""
+    folder = scratch_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"
+    )
+
+
 REGISTRY = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_ngram_lm": op2_ngram_lm,
@@ -144,6 +170,7 @@ REGISTRY = {
     "op8_byte_shards": op8_byte_shards,
     "op9_simhash": op9_simhash,
     "op10_vptree": op10_vptree,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
+    "op13_warc": op13_warc,
 }
-
-ORACLE: dict[str, str] = {}
