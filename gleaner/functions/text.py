@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from functools import cache
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,35 +35,36 @@ def stable_id(url: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
+# Fixed values of the Hangul block: syllables, and how many vowels and finals there are.
+HANGUL = ("\uac00", "\ud7a3")
+LEADS, VOWELS, FINALS = 0x1100, 0x1161, 0x11A7
+N_VOWELS, N_FINALS = 21, 28
+
+# What str_to_map parts pairs and their halves by; no letter decomposes into these.
+PAIR, HALF = "\x01", "\x02"
+
+
 @cache
-def _fold_tables() -> tuple[str, str, dict[str, str]]:
+def _fold_tables() -> tuple[str, str, str, str]:
     """Arguments of ``translate``: accented letter to base letter, then marks to nothing.
-    Letters of several bases, other than Hangul syllables, come as a table of their own."""
+    Letters of several bases, other than Hangul syllables, come as a class and as pairs."""
     letters, bases, marks, several = [], [], [], {}
-    for code in range(0x80, sys.maxunicode + 1):
-        char = chr(code)
-        category = unicodedata.category(char)
-        if category in ("Cs", "Cn", "Co"):
+    # The planes of letters, and the marks that select variants.
+    for char in map(chr, chain(range(0x80, 0x30000), range(0xE0000, 0xE0200))):
+        if HANGUL[0] <= char <= HANGUL[1]:
             continue
-        if category == "Mn":
+        if unicodedata.category(char) == "Mn":
             marks.append(char)
-            continue
-        decomposed = unicodedata.normalize("NFD", char)
-        if decomposed == char:
-            continue
-        base = [c for c in decomposed if unicodedata.category(c) != "Mn"]
-        if len(base) == 1:
-            letters.append(char)
-            bases.append(base[0])
-        elif not HANGUL[0] <= char <= HANGUL[1]:
-            several[char] = "".join(base)
-    return "".join(letters + marks), "".join(bases), several
-
-
-# Fixed values of the Hangul block: syllables, and how many vowels and finals there are.
-HANGUL = ("\uac00", "\ud7a3")
-LEADS, VOWELS, FINALS = 0x1100, 0x1161, 0x11A7
-N_VOWELS, N_FINALS = 21, 28
+        elif unicodedata.decomposition(char)[:1] not in ("", "<"):
+            decomposed = unicodedata.normalize("NFD", char)
+            base = [c for c in decomposed if unicodedata.category(c) != "Mn"]
+            if len(base) == 1:
+                letters.append(char)
+                bases.append(base[0])
+            else:
+                several[char] = "".join(base)
+    pairs = PAIR.join(f"{char}{HALF}{base}" for char, base in several.items())
+    return "".join(letters + marks), "".join(bases), "".join(several), pairs
 
 
 def _jamo(char: Column) -> Column:
@@ -87,21 +89,20 @@ def fold(col: Column | str) -> Column:
     """Accent and case folding: canonical decomposition without non-spacing marks, in
     lower case (đ stays đ). Texts and queries are folded by this alone.
 
-    Pure ASCII rows (byte length = character length, both cheap) skip the tables.
-    Letters of several base letters are only looked for in rows that have some: Hangul
-    syllables are taken apart one by one, the few dozen others replaced.
+    Pure ASCII rows (byte length = character length, both cheap) skip the tables. Rows
+    with a letter of several base letters (Hangul syllables and a few dozen others) are
+    taken apart character by character.
     """
     c = _col(col)
-    matching, replace, several = _fold_tables()
+    matching, replace, several, pairs = _fold_tables()
     plain = F.octet_length(c) == F.char_length(c)
     one_base = F.translate(c, matching, replace)
-    replaced = one_base
-    for char, bases in several.items():
-        replaced = F.replace(replaced, F.lit(char), F.lit(bases))
-    with_several = F.when(c.rlike("[" + "".join(several) + "]"), replaced).otherwise(one_base)
-    taken_apart = F.array_join(F.transform(F.split(with_several, ""), _jamo), "")
-    hangul = c.rlike(f"[{HANGUL[0]}-{HANGUL[1]}]")
-    folded = F.when(hangul, taken_apart).otherwise(with_several)
+    known = F.str_to_map(F.lit(pairs), F.lit(PAIR), F.lit(HALF))
+    taken_apart = F.array_join(
+        F.transform(F.split(one_base, ""), lambda x: F.coalesce(F.try_element_at(known, x), _jamo(x))), ""
+    )
+    composed = c.rlike(f"[{HANGUL[0]}-{HANGUL[1]}{several}]")
+    folded = F.when(composed, taken_apart).otherwise(one_base)
     return F.when(plain, F.lower(c)).otherwise(F.lower(folded))
 
 

@@ -1,140 +1,284 @@
-"""Keyword search for many queries in one pass over the articles."""
+"""Keyword search for many queries at once: an inverted join of words, then a check.
+
+A query matches where its folded text is a substring of an article's search text. Words
+are what single blanks part, so a word inside a query (neither its first nor its last)
+must stand in the article as it is: the longest such word is the query's anchor, and
+articles are joined with queries on it. A query of one or two words has no inner word;
+the distinct words of all articles that contain its longest part take that place. They
+are found in the vocabulary by a join on short character strings. What is joined is
+then tested for the whole query.
+
+Queries below a proven size are broadcast and articles stay where they are; otherwise
+words and queries are shuffled, with the rows of frequent words spread by a salt.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import fold, strip
-from gleaner.operators.bounds import join_hot
-from gleaner.session import checkpoint_dir, ship_package
-from gleaner.settings import KEYWORD_BLOCK_CHARS
+from gleaner.operators.bounds import broadcast_if_bounded, expand_to_members, join_hot
+from gleaner.operators.listing import ITEM_FIELDS, news_items
+from gleaner.operators.paging import Page
+from gleaner.session import checkpoint_dir
+from gleaner.settings import BROADCAST_LIMIT_BYTES, DEFAULT_PAGE_LIMIT
+
+#: Characters of a part that the vocabulary is joined on; shorter parts use what they have.
+GRAM = 3
+#: What a row of a broadcast table costs besides its texts.
+ROW_BYTES = 64
 
 MATCH_DDL = "query_id bigint, id bigint, seq bigint"
 TOTAL_DDL = "query_id bigint, total bigint, first_seq bigint"
 
 
+@dataclass
+class Asked:
+    """Distinct folded texts, who asked them, and how many there are."""
+
+    texts: DataFrame  # rep_id, q, anchor, part (one of both is null)
+    members: DataFrame  # query_id, rep_id, n
+    n_texts: int
+    n_queries: int
+    text_bytes: int
+    part_sizes: list[int]  # lengths of the strings that parts are looked up by
+
+
 def keyword_batch(
-    articles: DataFrame, queries: DataFrame, block_chars: int = KEYWORD_BLOCK_CHARS
+    articles: DataFrame, queries: DataFrame, broadcast_bytes: int = BROADCAST_LIMIT_BYTES
 ) -> DataFrame:
-    """Every (query, article) match: the same literal substring test for all queries.
-
-    Distinct folded queries are compiled into one multi-pattern matcher per block,
-    so an article is read once per block however many queries there are, and articles
-    are not shuffled. A block holds about ``block_chars`` characters of query text;
-    larger query sets run as several blocks.
-    """
-    matched = _matched(articles, queries, block_chars)
-    if matched is None:
+    """Every (query, article) match: the same literal substring test for all queries."""
+    asked = _ask(queries)
+    if not asked.n_texts:
         return articles.sparkSession.createDataFrame([], MATCH_DDL)
-    matches, to_rep, n_queries = matched
-    if to_rep is None:
-        return matches
-    by_rep = matches.withColumnRenamed("query_id", "rep_id")
-    return join_hot(by_rep, to_rep, ["rep_id"], "id", n_queries, 24).select(
-        "query_id", "id", "seq"
-    )
+    matches = _matches(articles, asked, broadcast_bytes)
+    if asked.n_texts == asked.n_queries:
+        return matches.withColumnRenamed("rep_id", "query_id")
+    return join_hot(
+        matches, asked.members, ["rep_id"], "id", asked.n_queries, 24, broadcast_bytes
+    ).select("query_id", "id", "seq")
 
 
 def keyword_totals(
-    articles: DataFrame, queries: DataFrame, block_chars: int = KEYWORD_BLOCK_CHARS
+    articles: DataFrame, queries: DataFrame, broadcast_bytes: int = BROADCAST_LIMIT_BYTES
 ) -> DataFrame:
     """(query_id, total, first_seq) of every query with a match.
 
     Matches are counted per distinct text before they are given to all who asked it.
     """
-    matched = _matched(articles, queries, block_chars)
-    if matched is None:
+    asked = _ask(queries)
+    if not asked.n_texts:
         return articles.sparkSession.createDataFrame([], TOTAL_DDL)
-    matches, to_rep, _ = matched
-    totals = matches.groupBy("query_id").agg(
-        F.count("*").alias("total"), F.min("seq").alias("first_seq")
+    totals = (
+        _matches(articles, asked, broadcast_bytes)
+        .groupBy("rep_id")
+        .agg(F.count("*").alias("total"), F.min("seq").alias("first_seq"))
+    )
+    return join_hot(
+        asked.members, totals, ["rep_id"], "query_id", asked.n_texts, 24, broadcast_bytes
+    ).select("query_id", "total", "first_seq")
+
+
+def keyword_pages(
+    articles: DataFrame,
+    queries: DataFrame,
+    page: int = 1,
+    limit: int = DEFAULT_PAGE_LIMIT,
+    broadcast_bytes: int = BROADCAST_LIMIT_BYTES,
+) -> DataFrame:
+    """The same page of every query's matches in source order, each with its envelope.
+
+    ``query_id, query, total, page, limit, total_pages``, then ``position`` and the item.
+    A query with no item on the page (no match, blank, past the end) has one row with a
+    null position. Matches are dealt by ranges of the source order and counted per query
+    and range; the running sum of these counts says which ranges the page falls into, so
+    only they are ranked, and no task meets all matches of a query.
+    """
+    spark, at = articles.sparkSession, Page.clamp(page, limit)
+    asked = _ask(queries)
+    named = queries.select("query_id", "query")
+    if asked.n_texts:
+        checkpoint_dir(spark)
+        ranged = (
+            _matches(articles, asked, broadcast_bytes)
+            .repartitionByRange("seq")
+            # Range bounds are sampled; the checkpoint pins them.
+            .withColumn("part", F.spark_partition_id())
+            .checkpoint()
+        )
+        items, totals = _page_of_each(articles, ranged, asked, at, broadcast_bytes)
+        told = join_hot(
+            asked.members, totals, ["rep_id"], "query_id", asked.n_texts, 24, broadcast_bytes
+        ).select("query_id", "total")
+        envelopes = named.join(told, "query_id", "left")
+    else:
+        envelopes = named.withColumn("total", F.lit(0).cast("bigint"))
+        empty = news_items(articles.where(F.lit(False)))
+        items = empty.select(
+            F.lit(0).cast("bigint").alias("query_id"), F.lit(0).cast("bigint").alias("position"), "*"
+        )
+    total = F.coalesce("total", F.lit(0).cast("bigint"))
+    pages = F.greatest(F.lit(1), F.ceil(total / F.lit(at.limit))).cast("bigint")
+    return envelopes.select(
+        "query_id",
+        "query",
+        total.alias("total"),
+        F.lit(at.page).alias("page"),
+        F.lit(at.limit).alias("limit"),
+        pages.alias("total_pages"),
+    ).join(items, "query_id", "left")
+
+
+def _page_of_each(
+    articles: DataFrame, ranged: DataFrame, asked: Asked, at: Page, broadcast_bytes: int
+) -> tuple[DataFrame, DataFrame]:
+    """Items of the page per query, and the number of matches per distinct text."""
+    cells = ranged.groupBy("rep_id", "part").agg(F.count("*").alias("n"))
+    earlier = (
+        Window.partitionBy("rep_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    # Each range on the page has a row on it, so there are at most ``limit`` per text.
+    reached = (
+        cells.withColumn("before", before)
+        .where((F.col("before") < at.start + at.limit) & (F.col("before") + F.col("n") > at.start))
+        .drop("n")
     )
-    if to_rep is None:
-        return totals
-    by_rep = totals.withColumnRenamed("query_id", "rep_id")
-    return to_rep.join(by_rep, "rep_id").select("query_id", "total", "first_seq")
-
-
-def _matched(
-    articles: DataFrame, queries: DataFrame, block_chars: int
-) -> tuple[DataFrame, DataFrame | None, int] | None:
-    """Matches per distinct text, who asked each (none if all differ), how many ask."""
-    spark = articles.sparkSession
-    ship_package(spark)
+    most = asked.n_texts * at.limit
+    reached = broadcast_if_bounded(reached, most, ROW_BYTES, broadcast_bytes)
+    within = Window.partitionBy("rep_id", "part").orderBy("seq", "id")
+    position = F.col("before") + F.row_number().over(within) - 1 - at.start
+    placed = (
+        ranged.join(reached, ["rep_id", "part"])
+        .withColumn("position", position)
+        .where(F.col("position").between(0, at.limit - 1))
+        .select("rep_id", "id", "seq", "position")
+    )
+    placed = broadcast_if_bounded(placed, most, ROW_BYTES, broadcast_bytes)
+    found = news_items(articles, "seq").join(placed, ["id", "seq"]).drop("seq")
+    items = expand_to_members(found.withColumnRenamed("rep_id", "query_id"), asked.members)
+    totals = cells.groupBy("rep_id").agg(F.sum("n").alias("total"))
+    return items.select("query_id", "position", *ITEM_FIELDS), totals
+
+
+# --- queries ---------------------------------------------------------------------
+
+
+def _longest(words: Column) -> Column:
+    return F.array_max(F.transform(words, lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+
+
+def _ask(queries: DataFrame) -> Asked:
     members = queries.select("query_id", fold(strip("query")).alias("q")).where("q <> ''")
     distinct = members.groupBy("q").agg(
         F.min("query_id").alias("rep_id"), F.count("*").alias("n")
     )
-    chars, n_queries, n_texts = distinct.agg(
-        F.sum(F.char_length("q")), F.sum("n"), F.count("*")
+    words = F.split("q", " ")
+    inner = F.filter(
+        F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""
+    )
+    # A text of blanks only is looked for in every article: all hold the empty word.
+    anchor = F.when(F.trim("q") == "", "").otherwise(_longest(inner))
+    texts = distinct.select("rep_id", "n", "q", anchor.alias("anchor")).withColumn(
+        "part", F.when(F.col("anchor").isNull(), _longest(words))
+    )
+    size = F.least(F.length("part"), F.lit(GRAM))
+    told = texts.agg(
+        F.count("*"),
+        F.sum("n"),
+        F.sum(2 * F.octet_length("q") + ROW_BYTES),
+        F.collect_set(size),  # at most GRAM numbers
     ).first()
-    if not n_texts:
-        return None
-
-    texts = articles.select("id", "seq", "search_blob")
-    parts = [
-        texts.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), MATCH_DDL)
-        for block in _query_blocks(distinct, -(-chars // block_chars))
-    ]
-    matches = reduce(DataFrame.unionAll, parts)
-    if n_texts == n_queries:
-        return matches, None, n_queries
     key = F.sha2("q", 256).alias("key")
-    reps = distinct.select(key, "rep_id")
-    to_rep = join_hot(
-        members.select("query_id", key), reps, ["key"], "query_id", n_texts, 128
-    ).drop("key")
-    return matches, to_rep, n_queries
-
-
-def _query_blocks(distinct: DataFrame, n_blocks: int) -> Iterator[dict[str, int]]:
-    """Distinct query texts with their representative's id, in bounded blocks."""
-    texts = distinct.select("q", "rep_id")
-    if n_blocks > 1:
-        checkpoint_dir(texts.sparkSession)
-        texts = texts.checkpoint()
-    for block in range(n_blocks):
-        part = texts
-        if n_blocks > 1:
-            part = texts.where(F.pmod(F.xxhash64("q"), F.lit(n_blocks)) == block)
-        by_text = dict(map(tuple, part.toLocalIterator()))
-        if by_text:
-            yield by_text
-
-
-def _matcher(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = build_finder(list(shared.value))
-        by_text = shared.value
-        for batch in batches:
-            ids, seqs, blobs = (column.to_pylist() for column in batch.columns)
-            out: tuple[list, list, list] = ([], [], [])
-            for article_id, seq, blob in zip(ids, seqs, blobs):
-                for text in find(blob):
-                    out[0].append(by_text[text])
-                    out[1].append(article_id)
-                    out[2].append(seq)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(column, pa.int64()) for column in out],
-                names=["query_id", "id", "seq"],
+    reps = texts.select(key, "rep_id", "n")
+    who = join_hot(members.select("query_id", key), reps, ["key"], "query_id", told[0], 128)
+    return Asked(
+        texts.drop("n"),
+        who.drop("key"),
+        told[0],
+        told[1] or 0,
+        told[2] or 0,
+        sorted(told[3]),
+    )
+
+
+# --- matching --------------------------------------------------------------------
+
+
+def _words(articles: DataFrame, *carried: str) -> DataFrame:
+    words = F.array_distinct(F.concat(F.split("search_blob", " "), F.array(F.lit(""))))
+    return articles.select(*carried, F.explode(words).alias("anchor"))
+
+
+def _anchors(
+    articles: DataFrame, asked: Asked, broadcast_bytes: int
+) -> tuple[DataFrame, int, int]:
+    """``anchor, rep_id, q, sure``: words to look for, their number and bytes.
+
+    ``sure`` says that an article with the word needs no further test.
+    """
+    inner = asked.texts.where(F.col("anchor").isNotNull()).select(
+        "anchor", "rep_id", "q", F.lit(False).alias("sure")
+    )
+    if not asked.part_sizes:
+        return inner, asked.n_texts, asked.text_bytes
+    gram = F.substring("part", 1, GRAM)
+    parts = asked.texts.where(F.col("part").isNotNull()).select(
+        gram.alias("gram"), "part", "rep_id", "q"
+    )
+    vocabulary = _words(articles).distinct().where("anchor <> ''")
+    last = F.length("anchor")
+    grams = F.array_distinct(
+        F.flatten(
+            F.array(
+                *(
+                    F.when(
+                        last >= size,
+                        F.transform(
+                            F.sequence(F.lit(1), F.greatest(last - size + 1, F.lit(1))),
+                            _cut(size),
+                        ),
+                    ).otherwise(F.array().cast("array<string>"))
+                    for size in asked.part_sizes
+                )
             )
+        )
+    )
+    spelled = vocabulary.select("anchor", F.explode(grams).alias("gram"))
+    found = join_hot(
+        spelled, parts, ["gram"], "anchor", 1, asked.text_bytes, broadcast_bytes
+    ).where(F.contains("anchor", "part"))
+    checkpoint_dir(articles.sparkSession)
+    # Pinned: its size decides how it is joined.
+    outer = found.select("anchor", "rep_id", "q", (F.col("part") == F.col("q")).alias("sure"))
+    outer = outer.checkpoint()
+    size = F.octet_length("q") + F.octet_length("anchor") + ROW_BYTES
+    n, total = outer.agg(F.count("*"), F.sum(size)).first()
+    return inner.unionByName(outer), asked.n_texts + n, asked.text_bytes + (total or 0)
+
 
-    return run
+def _cut(size: int):
+    return lambda at: F.substring(F.col("anchor"), at, F.lit(size))
 
 
-def build_finder(patterns: list[str]):
-    """A function: text to the set of patterns that occur in it."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {p for p in patterns if p in text}
-    automaton = ahocorasick.Automaton()
-    for pattern in patterns:
-        automaton.add_word(pattern, pattern)
-    automaton.make_automaton()
-    return lambda text: {pattern for _, pattern in automaton.iter(text)}
+def _matches(articles: DataFrame, asked: Asked, broadcast_bytes: int) -> DataFrame:
+    """(rep_id, id, seq) of every match of a distinct text."""
+    anchors, n, size = _anchors(articles, asked, broadcast_bytes)
+    holds = F.col("sure") | F.contains("search_blob", "q")
+    if size <= broadcast_bytes:
+        words = _words(articles, "id", "seq", "search_blob")
+        found = words.join(F.broadcast(anchors), "anchor").where(holds)
+    else:
+        near = join_hot(
+            _words(articles, "id", "seq"), anchors, ["anchor"], "id", n, size, broadcast_bytes
+        )
+        texts = articles.select("id", "seq", "search_blob")
+        tested = near.where(~F.col("sure")).join(texts, ["id", "seq"]).where(holds)
+        found = near.where("sure").select("rep_id", "id", "seq").unionByName(
+            tested.select("rep_id", "id", "seq")
+        )
+    # An article may hold several words of a text; they meet in one task before the shuffle.
+    return found.groupBy("rep_id", "id", "seq").agg(F.lit(1).alias("one")).drop("one")

@@ -7,6 +7,7 @@ import unicodedata
 from gleaner.functions.text import TOKEN_PATTERN
 from gleaner.plans.workload import (
     ARTICLES_RAW,
+    ASKED_PAGES,
     KEYWORD,
     LSH_PLANES,
     LSH_PROBES,
@@ -21,6 +22,8 @@ from gleaner.settings import SCORE_THRESHOLD
 HASHED_NAME = "CAST(concat('0x', substr(sha256(name), 1, 15)) AS BIGINT)"
 ASKED = SEARCH_QUERIES.replace("{key}", HASHED_NAME)
 
+PAGED = ASKED_PAGES.replace("{key}", HASHED_NAME).replace("explode(sequence(0, 15))", "unnest(range(16))")
+
 RAW = f"raw AS ({ARTICLES_RAW})"
 
 BLANKS = "concat(' ', chr(9), chr(10), chr(13))"
@@ -254,6 +257,21 @@ asked AS (SELECT {_id("concat(item_id, '/', pos)")} AS query_id,
             trim(lower(strip_accents(word)), {BLANKS}) AS q FROM words)
 SELECT query_id, count(*) AS total, min(seq) AS first_seq
 FROM art JOIN asked ON contains(search_blob, q) WHERE q <> '' GROUP BY query_id""",
+    "keyword_batch_spread": f"""WITH {ART},
+asked AS (SELECT query_id, trim(lower(strip_accents(query)), {BLANKS}) AS q FROM ({PAGED}))
+SELECT query_id, id, seq FROM art JOIN asked ON contains(search_blob, q) WHERE q <> ''""",
+    "keyword_batch_pages": f"""WITH {ART},
+asked AS (SELECT query_id, query, trim(lower(strip_accents(query)), {BLANKS}) AS q FROM ({PAGED})),
+found AS (
+  SELECT query_id, art.*, row_number() OVER (PARTITION BY query_id ORDER BY seq) - 6 AS position
+  FROM art JOIN asked ON contains(search_blob, q) WHERE q <> ''),
+totals AS (SELECT query_id, count(*) AS n FROM found GROUP BY query_id),
+page AS (SELECT query_id, {ITEM}, position FROM found WHERE position BETWEEN 0 AND 4)
+SELECT asked.query_id, query, coalesce(n, 0) AS total, CAST(2 AS INTEGER) AS page,
+  CAST(5 AS INTEGER) AS "limit",
+  CAST(greatest(1, ceil(coalesce(n, 0) / 5::DOUBLE)) AS BIGINT) AS total_pages,
+  position, page.* EXCLUDE (query_id, summary, position)
+FROM asked LEFT JOIN totals USING (query_id) LEFT JOIN page ON page.query_id = asked.query_id""",
     "display_items": f"""WITH {ART}
 SELECT * REPLACE (
   coalesce(strftime(TRY_CAST(publish_date AS DATE), '%d/%m/%Y'), publish_date, '')

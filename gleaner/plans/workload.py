@@ -66,6 +66,15 @@ SELECT {key} AS query_id, query FROM (
   SELECT concat('blank/', CAST(conv_id AS STRING), '/', CAST(turn AS STRING)), '  '
   FROM conversations WHERE role = 'system')
 """
+# Queries of one, two and many words; every passage stands for itself and for a blank.
+ASKED_PAGES = """
+SELECT {key} AS query_id, query FROM (
+  SELECT concat(CAST(item_id AS STRING), '/', CAST(k AS STRING)) AS name,
+    CASE WHEN k = 0 THEN text WHEN k = 1 THEN '  ' WHEN k < 12 THEN split_part(text, ' ', k)
+      ELSE concat(' ', split_part(text, ' ', k - 9), ' ', split_part(text, ' ', k - 8)) END
+      AS query
+  FROM benchmark, (SELECT explode(sequence(0, 15)) AS k))
+"""
 HASHED_NAME = "CAST(conv(substring(sha2(name, 256), 1, 15), 16, 10) AS BIGINT)"
 
 # Keywords in several scripts, some blank. Documents get the first ones by turns.
@@ -366,6 +375,24 @@ def keyword_words(t: Tables) -> DataFrame:
     return keyword_batch.keyword_totals(t.articles(), asked)
 
 
+def _asked_pages(t: Tables) -> DataFrame:
+    """Words of the benchmark passages, neighbouring words, whole passages, blanks."""
+    return t._sql(ASKED_PAGES.replace("{key}", HASHED_NAME), "benchmark")
+
+
+@query
+def keyword_batch_pages(t: Tables) -> DataFrame:
+    """The second page of every query with its envelope."""
+    pages = keyword_batch.keyword_pages(t.articles(), _asked_pages(t), page=2, limit=5)
+    return pages.drop("summary")
+
+
+@query
+def keyword_batch_spread(t: Tables) -> DataFrame:
+    """The same matches, all of them, with words and queries shuffled instead of broadcast."""
+    return keyword_batch.keyword_batch(t.articles(), _asked_pages(t), broadcast_bytes=0)
+
+
 @query
 def display_items(t: Tables) -> DataFrame:
     return listing.display_items(listing.news_items(t.articles()))

@@ -20,9 +20,6 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 # Query vectors shipped to the tasks in one go (32 MB at 1024 dimensions).
 QUERY_BLOCK_ROWS = 4096
 
-# Keyword text compiled into one matcher.
-KEYWORD_BLOCK_CHARS = 4 * 1024 * 1024
-
 # Pages ending beyond this row leave the top-k plan (see operators.paging).
 TOP_K_PAGE_ROWS = 100_000
 

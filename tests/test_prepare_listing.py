@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import listing
-from gleaner.operators.keyword_batch import build_finder, keyword_batch
+from gleaner.operators.keyword_batch import keyword_batch, keyword_pages, keyword_totals
 from gleaner.operators.paging import Page, slice_page
 from gleaner.operators.prepare import dedupe_report, prepare_articles, rejected_urls
 from gleaner.schemas import require_columns
@@ -147,27 +147,76 @@ def test_keyword_search(articles):
     assert (envelope["query"], envelope["total"]) == (" TIN ", 25)
 
 
-@pytest.mark.parametrize("block_chars", [1_000_000, 6])
-def test_keyword_batch_equals_single(spark, articles, block_chars):
-    texts = ["tin 2", "Tin 2 ", "ĐỒNG", "dong", "", "n 1", "tin 13", "ti"]
-    queries = spark.createDataFrame(list(enumerate(texts)), "query_id bigint, query string")
-    found = keyword_batch(articles, queries, block_chars).collect()
-    expected = {
-        (nth, r["id"])
+# Parts of words, whole words, several blanks, marks only, texts across title and summary.
+ASKED = [
+    "tin 2", "Tin 2 ", "ĐỒNG", "dong", "", "n 1", "tin 13", "ti", "t", "in 2 đ", "tin 2 đồng",
+    "tin  2", "2", "tin 999 đồng", "\u0301 \u0301", "a\u0301 \u0301", "  ", "1 đồng", "ồn",
+]
+
+
+def _asked(spark, texts=ASKED):
+    return spark.createDataFrame(list(enumerate(texts)), "query_id bigint, query string")
+
+
+def _singly(articles, texts=ASKED):
+    return {
+        (nth, r["id"], r["seq"])
         for nth, text in enumerate(texts)
         for r in listing.keyword_matches(articles, text).collect()
     }
-    assert {(r["query_id"], r["id"]) for r in found} == expected
-    assert len(found) == len(expected)
 
 
-def test_keyword_batch_without_queries(spark, articles):
-    queries = spark.createDataFrame([(1, " ")], "query_id bigint, query string")
-    assert keyword_batch(articles, queries).count() == 0
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_keyword_batch_equals_single(spark, articles, broadcast_bytes):
+    found = keyword_batch(articles, _asked(spark), broadcast_bytes).collect()
+    assert {tuple(r) for r in found} == _singly(articles) and len(found) == len(set(found))
+    totals = keyword_totals(articles, _asked(spark), broadcast_bytes).collect()
+    expected = {}
+    for nth, _, seq in _singly(articles):
+        n, first = expected.get(nth, (0, seq))
+        expected[nth] = (n + 1, min(first, seq))
+    assert {r["query_id"]: (r["total"], r["first_seq"]) for r in totals} == expected
+
+
+def test_keyword_batch_on_odd_texts(spark, raw_rows):
+    titles = ["a b", "ab", "b  a", " a", "b ", "", None, "aa b a", "x\ty z", "é a", "a.b c"]
+    rows = [{"link": f"u{n}", "tieu_de": t, "summary": s} for n, (t, s) in
+            enumerate((t, s) for t in titles for s in (None, "", "a", "b a b", "z x\ty"))]
+    articles = prepare_articles(raw_rows(rows)).persist()
+    texts = ["a", "b", "ab", "a b", "b a", "a  b", "b  a", "a b a", "a a b", "x\ty", "y z x",
+             "a  ", "e a", "b a b", "  b", "zz", "a.b", ".b c a"]
+    for limit in (1 << 20, 0):
+        found = keyword_batch(articles, _asked(spark, texts), limit).collect()
+        assert {tuple(r) for r in found} == _singly(articles, texts)
+
+
+def test_keyword_pages_equal_single_searches(spark, articles):
+    for page, limit, size in ((1, 10, 1 << 20), (2, 4, 0), (9, 3, 1 << 20), (0, 500, 1 << 20)):
+        got = keyword_pages(articles, _asked(spark), page, limit, size).collect()
+        for nth, text in enumerate(ASKED):
+            rows = sorted((r for r in got if r["query_id"] == nth), key=lambda r: r["position"] or 0)
+            envelope = listing.keyword_envelope(articles, text, page, limit).first()
+            items = listing.keyword_search(articles, text, page, limit).collect()
+            assert {tuple(r)[:6] for r in rows} == {(nth, *envelope)}
+            assert [r["id"] for r in rows if r["position"] is not None] == [r["id"] for r in items]
+            assert len(rows) == max(1, len(items))
+
+
+def test_keyword_batch_plan(spark, articles, plan):
+    """Matching is a join on words in the JVM: no Python, and no pairs but through a key."""
+    for limit, join in ((1 << 20, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        text = plan(keyword_batch(articles, _asked(spark), limit))
+        assert join in text and "Python" not in text and "Arrow" not in text
+        assert "Cartesian" not in text and "NestedLoop" not in text
 
 
-def test_finder_reports_patterns_inside_patterns():
-    assert build_finder(["ab", "abc", "b", "x"])("zabcz") == {"ab", "abc", "b"}
+def test_keyword_batch_without_queries(spark, articles):
+    blank = _asked(spark, [" "])
+    assert keyword_batch(articles, blank).count() == keyword_totals(articles, blank).count() == 0
+    assert [tuple(r)[:7] for r in keyword_pages(articles, blank).collect()] == [(0, " ", 0, 1, 10, 1, None)]
+    assert keyword_pages(articles, blank.limit(0)).count() == 0
+    none = keyword_pages(articles.where("false"), _asked(spark, ["t"])).collect()
+    assert [tuple(r)[:7] for r in none] == [(0, "t", 0, 1, 10, 1, None)]
 
 
 def test_page_document_and_json(spark, articles, scratch):
