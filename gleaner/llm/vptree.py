@@ -8,10 +8,14 @@ nearer lies there. Factor one makes the search exact; less prunes more. How much
 depends on the vectors, so by default each task takes the least of ``FACTORS`` that finds
 ``TUNED_RECALL`` of the true neighbours of a few of its queries.
 
-Shards meet blocks of queries in one task each; both are bounded in bytes.
+A task holds one shard (bounded in bytes), builds its tree once and lets the queries
+stream past it. Shards are made of vectors of like magnitude, so that a very long vector
+takes no precision from short ones; each shard scales its own.
 """
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ TUNED_RECALL = 0.97
 SHARD_BYTES = 32 << 20
 MIN_SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
+#: Powers of two of the largest component that one shard spans.
+BAND = 32
 
 
 class VpTree:
@@ -133,31 +139,71 @@ _HITS_ARROW = pa.schema(
 )
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    values = flat.flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(values, dtype=np.float64).reshape(len(flat), -1)
-
-
-def _search_group(table: pa.Table, k: int, factor: float | None, longest: float) -> pa.Table:
-    """Hits of a block of queries in a shard."""
-    asked = table["asked"].to_numpy()
-    ids, vectors = table["vec_id"].to_numpy(), _matrix(table["vector"])
-    query_ids, queries = ids[asked], vectors[asked]
-    order = np.argsort(ids[~asked], kind="stable")
-    ids, vectors = ids[~asked][order], vectors[~asked][order]
-    if not len(ids) or not len(queries):
-        return _HITS_ARROW.empty_table()
-    missing = np.maximum(longest**2 - np.einsum("ij,ij->i", vectors, vectors), 0.0)
-    tree = VpTree(np.column_stack([vectors, np.sqrt(missing)]))
-    wide = np.column_stack([queries, np.zeros(len(queries))])
-    if factor is None:
-        factor = tuned_factor(tree, wide, query_ids, ids, k)
-    _, rows = tree.search(wide, query_ids, ids, k, factor)
-    query, place = np.nonzero(rows >= 0)
-    row = rows[query, place]
-    scores = np.einsum("ij,ij->i", queries[query], vectors[row])
-    return pa.table([query_ids[query], ids[row], scores], schema=_HITS_ARROW)
+def _matrix(column: pa.Array) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return np.ascontiguousarray(values, dtype=np.float64).reshape(len(column), -1)
+
+
+class Shard:
+    """The vectors of one shard and their tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        # Scaled, squares neither overflow nor vanish; scores come from the originals.
+        scaled = self.vectors / np.abs(self.vectors).max()
+        squares = np.einsum("ij,ij->i", scaled, scaled)
+        missing = np.maximum(squares.max() - squares, 0.0)
+        self.tree = VpTree(np.column_stack([scaled, np.sqrt(missing)]))
+        self.factor: float | None = None
+
+    def search(
+        self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float | None
+    ) -> pa.RecordBatch:
+        scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+        wide = np.column_stack([scaled, np.zeros(len(scaled))])
+        if factor is None:
+            if self.factor is None:
+                self.factor = tuned_factor(self.tree, wide, query_ids, self.ids, k)
+            factor = self.factor
+        _, rows = self.tree.search(wide, query_ids, self.ids, k, factor)
+        query, place = np.nonzero(rows >= 0)
+        row = rows[query, place]
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = np.einsum("ij,ij->i", queries[query], self.vectors[row])
+        columns = [query_ids[query], self.ids[row], scores]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(columns, _HITS_ARROW, strict=True)], schema=_HITS_ARROW
+        )
+
+
+_KEY = ("width", "band", "shard")
+
+
+def _search(
+    batches: Iterator[pa.RecordBatch], k: int, factor: float | None
+) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard, the vectors of a shard before its queries."""
+    held_key, parts, shard = None, [], None
+    for batch in batches:
+        keys = np.column_stack([batch.column(c).to_numpy() for c in (*_KEY, "asked")])
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            part = batch.slice(int(a), int(b - a))
+            key = tuple(keys[a][:-1])
+            if key != held_key:
+                held_key, parts, shard = key, [], None
+            ids, vectors = part.column("vec_id").to_numpy(), _matrix(part.column("vector"))
+            if not keys[a][-1]:
+                parts.append((ids, vectors))
+                continue
+            if parts:
+                shard = Shard(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                parts = []
+            if shard is not None:
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    block = slice(at, at + QUERY_BLOCK)
+                    yield shard.search(ids[block], vectors[block], k, factor)
 
 
 def _is_usable(vector: Column) -> Column:
@@ -190,11 +236,13 @@ def nearest(
         F.col("vector").cast("array<double>").alias("vector"),
         queries.alias("asked"),
     ).where(F.col("vec_id").isNotNull() & _is_usable(F.col("vector")))
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    top = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    usable = usable.withColumn("band", F.floor(F.log2(top) / BAND).cast("int"))
+    # At most 66 bands: a double has some 2,100 powers of two.
     figures = usable.agg(
-        F.count("*"), F.count_if("asked"), F.max(square), F.max(F.size("vector"))
+        F.count("*"), F.count_if("asked"), F.collect_set("band"), F.max(F.size("vector"))
     ).first()
-    n, n_asked, longest, width = figures
+    n, n_asked, bands, width = figures
     if not n_asked:
         return usable.select(
             F.col("vec_id").alias("query_id"),
@@ -205,31 +253,19 @@ def nearest(
     largest = max(SHARD_BYTES // (8 * width), MIN_SHARD_ROWS)
     spread = min(4 * vectors.sparkSession.sparkContext.defaultParallelism, n // MIN_SHARD_ROWS)
     shards = max(math.ceil(n / largest), spread, 1)
-    blocks = math.ceil(n_asked / QUERY_BLOCK)
-
-    def dealt(name: str, count: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(count)).cast("int").alias(name)
-
-    def each(name: str, count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-
     columns = [F.size("vector").alias("width"), "vec_id", "vector"]
-    candidates = usable.select(
-        *columns, F.lit(False).alias("asked"), dealt("shard", shards), each("block", blocks)
-    )
-    asked = usable.where("asked").dropDuplicates(["vec_id"]).select(
-        *columns, F.lit(True).alias("asked"), each("shard", shards), dealt("block", blocks)
-    )
-    length = math.sqrt(longest)
-
-    def search(table: pa.Table) -> pa.Table:
-        return _search_group(table, k, factor, length)
-
-    hits = (
-        candidates.unionByName(asked)
-        .groupBy("width", "shard", "block")
-        .applyInArrow(search, _HITS)
+    dealt = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")
+    candidates = usable.select(*columns, "band", dealt, F.lit(0).alias("asked"))
+    asked = (
+        usable.where("asked")
+        .dropDuplicates(["vec_id"])
+        .select(*columns, F.explode(F.array(*map(F.lit, sorted(bands)))).alias("band"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        .withColumn("asked", F.lit(1))
     )
+    together = candidates.unionByName(asked).repartition(shards * len(bands), *_KEY)
+    ordered = together.sortWithinPartitions(*_KEY, "asked")
+    hits = ordered.mapInArrow(partial(_search, k=k, factor=factor), _HITS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -81,3 +81,18 @@ def test_query_recall(spark, sf_dir="/root/testdata/sf0.001"):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     expected = _brute(rows, 20)
     assert np.mean([len(got[q] & set(e)) / 20 for q, e in expected.items()]) >= 0.9
+
+
+def test_magnitudes_far_apart(spark):
+    """One very long vector, and very short ones, leave the others their neighbours."""
+    random = np.random.default_rng(5)
+    vectors = [random.normal(size=6) for _ in range(300)] + [np.array([1e160, 0, 0, 0, 0, 0])]
+    vectors += [random.normal(size=6) * 1e-200 for _ in range(29)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, vector array<double>")
+    got = {}
+    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, 20, 1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(0, 330, 20))
+    for q, found in got.items():
+        scores = [(-float(vectors[q] @ v), i) for i, v in enumerate(vectors) if i != q]
+        assert found == [i for _, i in sorted(scores)[:20]]
