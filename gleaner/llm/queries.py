@@ -29,11 +29,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of all documents left after strings of 400 bytes found twice are removed."""
+    """Bytes of all documents left after strings of 400 bytes found twice are removed.
+
+    The last column is what is left, as text.
+    """
     docs = _table(spark, sf_dir, "documents")
-    return repeats.remove_repeats(docs, ["doc_id"], 400, as_text=False).withColumnRenamed(
-        "kept", "kept_sha256"
-    )
+    cut = repeats.remove_repeats(docs, ["doc_id"], 400, digest=True)
+    return cut.withColumnRenamed("kept", "text")
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,10 +365,10 @@ def _merge(spans: list[dict]) -> list[list[int]]:
     return merged
 
 
-def _cut(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     """The columns before ``bytes, spans``, then what is left of the bytes."""
     for batch in batches:
-        left, figures = [], []
+        left, hashes, figures = [], [], []
         data_column, span_column = (c.to_pylist() for c in batch.columns[-2:])
         for data, spans in zip(data_column, span_column, strict=True):
             runs, kept, at = _merge(spans or []), [], 0
@@ -377,25 +377,28 @@ def _cut(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.Record
                 at = b
             rest = b"".join([*kept, data[at:]])
             figures.append((len(data), len(data) - len(rest), len(runs)))
-            if as_text:
-                left.append(rest.decode("utf-8", errors="ignore"))
-            else:
-                left.append(hashlib.sha256(rest).hexdigest())
+            left.append(rest.decode("utf-8", errors="ignore"))
+            if digest:
+                hashes.append(hashlib.sha256(rest).hexdigest())
         columns = [pa.array([f[i] for f in figures], pa.int64()) for i in range(3)]
+        columns += [pa.array(hashes, pa.string())] * digest
+        names = ["n_bytes", "n_removed", "n_spans", *["kept_sha256"] * digest, "kept"]
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-2], *columns, pa.array(left, pa.string())],
-            names=[*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept"],
+            names=[*batch.schema.names[:-2], *names],
         )
 
 
 def remove_repeats(
-    docs: DataFrame, columns: list[str], min_bytes: int = 400, as_text: bool = True
+    docs: DataFrame, columns: list[str], min_bytes: int = 400, digest: bool = False
 ) -> DataFrame:
     """``columns`` of every row, ``n_bytes, n_removed, n_spans`` and ``kept``.
 
+    With ``digest``, ``kept_sha256`` stands before ``kept``: the hex SHA-256 of the bytes left.
+
     Every byte covered by a string of ``min_bytes`` bytes that also starts at another
     place, in any row or the same, is removed; ``kept`` is the rest as text (a character
-    cut in two goes) or, without ``as_text``, the hex SHA-256 of its bytes.
+    cut in two goes).
 
     Null texts count as empty and shorter texts than ``min_bytes`` stay whole. Repeated
     rows repeat each other; ids may be null or repeated. An empty table gives an empty
@@ -403,9 +406,10 @@ def remove_repeats(
     """
     kinds = docs.select(*columns).schema.fields
     extra = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
-    schema = T.StructType([*kinds, *extra, T.StructField("kept", T.StringType())])
+    texts = [T.StructField(n, T.StringType()) for n in [*["kept_sha256"] * digest, "kept"]]
+    schema = T.StructType([*kinds, *extra, *texts])
     renamed = [F.col(c).alias(f"column {i}") for i, c in enumerate(columns)]
     rows = _keyed(docs, *renamed).join(repeated_spans(docs, min_bytes), ["t1", "t2"], "left")
     given = [F.col(f"column {i}").alias(c) for i, c in enumerate(columns)]
-    cut = partial(_cut, as_text=as_text)
+    cut = partial(_cut, digest=digest)
     return rows.select(*given, F.col("bytes"), F.col("spans")).mapInArrow(cut, schema)

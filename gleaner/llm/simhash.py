@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.components import connected_components
 from gleaner.llm.golay import decode, fuzzy_keys
-from gleaner.llm.workers import ready
+from gleaner.llm.workers import free_name, ready
 
 SEED = 42
 MAX_BITS = 4
@@ -326,12 +326,12 @@ def one_of_each_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least")
     kept = groups.groupBy("root").agg(least).select("least.doc_id", "least.text_hash")
+    names = [free_name(docs, f"key {part}") for part in ("id", "null", "hash")]
     keys = [
-        F.coalesce("doc_id", F.lit(0).cast("long")).alias("key id"),
-        F.col("doc_id").isNull().alias("key null"),
+        F.coalesce("doc_id", F.lit(0).cast("long")).alias(names[0]),
+        F.col("doc_id").isNull().alias(names[1]),
     ]
-    kept = kept.select(*keys, F.col("text_hash").alias("key hash")).distinct()
-    names = ["key id", "key null", "key hash"]
+    kept = kept.select(*keys, F.col("text_hash").alias(names[2])).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("*", *keys, F.xxhash64(text).alias("key hash"))
+    keyed = docs.select("*", *keys, F.xxhash64(text).alias(names[2]))
     return keyed.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from gleaner.llm.workers import ready
+from gleaner.llm.workers import free_name, ready
 
 
 #: At most about so many labelled documents are mined for the lexicon.
@@ -408,7 +408,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         else:
             both[i, j] = k
     model = fit_label_model(n, np.diag(both).copy(), both, prior)
-    sample = _sampled(docs, MAX_TRAINING, "text").select(_text())
+    sample = _sampled(docs, MAX_TRAINING, "doc_id", "text").select(_text())
     hits = [
         list(r.hits)
         for r in sample.mapInArrow(partial(_hit_lists, terms=terms), "hits array<int>").collect()
@@ -441,7 +441,7 @@ def score_toxicity(
     docs: DataFrame, model: ToxicityModel, *keep: str, score: str = "score"
 ) -> DataFrame:
     """The columns ``keep`` and a score (0 to 1) for every row; null text is empty."""
-    rows = docs.select(*keep, _text().alias("text to score"))
+    rows = docs.select(*keep, _text().alias(free_name(docs, "text to score")))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(score, T.DoubleType())])
     scored = partial(
         _score, name=score, terms=model.terms, weights=model.weights, bias=model.bias

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.session import checkpoint_dir, ship_package
 
@@ -18,3 +18,11 @@ def ready(spark: SparkSession) -> None:
     now = spark.conf.get(_BATCH_CONF, None)
     if now is None or int(now.rstrip("bB") or 0) > BATCH_BYTES:
         spark.conf.set(_BATCH_CONF, f"{BATCH_BYTES}b")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has a column of that name (in any case)."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -48,8 +48,8 @@ def _texts(random, n=60, alphabet="abcdefgh éß"):
 
 def _removed(spark, texts, size):
     df = spark.createDataFrame([(i, t, 1, "") for i, t in enumerate(texts)], DOCS)
-    rows = repeats.remove_repeats(df, ["doc_id"], size, as_text=False).collect()
-    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in rows}
+    rows = repeats.remove_repeats(df, ["doc_id"], size, digest=True).collect()
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
 
 
 @pytest.mark.parametrize("size", [100, 400])
