@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, near_copies, packing, repeats, simhash, toxicity
+from gleaner.llm import decontaminate, packing, repeats, simhash, toxicity
 from gleaner.llm.queries import tokenizer_files
+from gleaner.llm.workers import free_name
 from gleaner.session import scratch_path
 
 #: Shorter than the operator's own 400: a passage of 50 words has about 250 bytes.
@@ -16,7 +17,7 @@ MIN_REPEAT_BYTES = 240
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half."""
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    name = "toxicity of text"
+    name = free_name(docs, "toxicity of text")
     scored = toxicity.score_toxicity(docs, model, *docs.columns, score=name)
     return scored.where(F.col(name) < 0.5).drop(name)
 
@@ -24,10 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Near copies have a Jaccard similarity of 0.8 or more of their five-word shingles,
-    which is verified for each link.
+    Fingerprints of four-word shingles link at four or fewer differing bits.
     """
-    return simhash.one_of_each_group(docs, near_copies.near_copies(docs))
+    return simhash.one_of_each_group(docs, simhash.near_duplicates(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
