@@ -5,18 +5,21 @@ so every path returns the same rows whatever the summation order.
 
 * ``knn_one``: one query vector, column expressions only, top-k plan.
 * ``knn_batch``: many queries; matrix products inside the tasks, exact.
-* ``knn_lsh``: as ``knn_batch`` but only against the cells a query probes.
+* ``knn_grid``: more queries than one block; both sides meet in groups, exact.
+* ``knn_lsh``: as ``knn_grid`` but only against the cells a query probes.
 
-In the batch forms the corpus is never shuffled and no pair is ever emitted: a task
-keeps the k best rows per query while it streams its part of the corpus, and only
-those k rows leave it. A vector repeated a million times costs nothing extra.
+No pair is ever emitted: only the k best rows of a query and task or group leave it. One
+block of queries is shipped to the tasks and the corpus stays where it is. More queries
+never pass the driver: a task holds one group of corpus rows (bounded) and the queries
+of that group stream past it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.vectors import cosine
+from gleaner.operators.bounds import broadcast_if_bounded
 from gleaner.schemas import HITS_DDL
 from gleaner.session import checkpoint_dir, ship_package
 from gleaner.settings import BROADCAST_LIMIT_BYTES, CANDIDATE_K, QUERY_BLOCK_ROWS
@@ -35,6 +39,8 @@ LAST_ID = np.iinfo(np.int64).max
 ROWS_PER_STEP = 1024  # corpus rows and queries scored at once
 QUERIES_PER_STEP = 2048
 MERGE_TASKS = 512  # lists per query that one task merges
+LISTED_CELLS = 4096
+GROUP_BYTES = 64 << 20  # corpus rows that a task holds, as doubles
 
 
 def knn_one(
@@ -61,14 +67,57 @@ def knn_batch(
     block_rows: int = QUERY_BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, id, score, rank): exact, for a table of query vectors."""
+    spark = corpus.sparkSession
+    ship_package(spark)
+    head = queries.select("query_id", "vector").limit(block_rows + 1).toArrow()
+    if not head.num_rows:
+        return spark.createDataFrame([], HITS_DDL + ", rank int")
+    if head.num_rows > block_rows or head.nbytes > BROADCAST_LIMIT_BYTES:
+        return knn_grid(corpus, queries, k, threshold)
+    block = QueryBlock(head["query_id"].to_numpy(), to_matrix(_whole(head["vector"])))
+    shared = spark.sparkContext.broadcast(block)
+    hits = corpus.select("id", "vector").mapInArrow(_scorer(shared, k, threshold), HITS_DDL)
+    return top_k_per_query(hits, k, corpus.rdd.getNumPartitions())
 
-    def plan(block: QueryBlock) -> DataFrame:
-        shared = corpus.sparkSession.sparkContext.broadcast(block)
-        return corpus.select("id", "vector").mapInArrow(
-            _scorer(shared, k, threshold), HITS_DDL
-        )
 
-    return _over_blocks(corpus, queries, k, block_rows, plan)
+def knn_grid(
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int = CANDIDATE_K,
+    threshold: float | None = None,
+    group_bytes: int = GROUP_BYTES,
+) -> DataFrame:
+    """As ``knn_batch`` for any number of queries, none of which passes the driver.
+
+    The corpus is dealt into groups of about ``group_bytes``. Of g groups, the first √g are
+    searched by all queries alone; the k-th score found there is a floor that a row of the
+    other groups must reach, so that far less than k rows per group leave them.
+    """
+    ship_package(corpus.sparkSession)
+    checkpoint_dir(corpus.sparkSession)
+    n, width = corpus.agg(F.count("*"), F.max(F.size("vector"))).first()
+    groups = max(1, math.ceil(n * 8 * (width or 1) / group_bytes))
+    first = math.ceil(math.sqrt(groups))
+    dealt = F.pmod(F.xxhash64("id"), F.lit(groups))
+    rows = corpus.select(dealt.alias("cell"), F.lit(0).alias("part"), "id", "vector")
+    asked = queries.select(F.col("query_id").alias("id"), "vector")
+
+    def search(floors: DataFrame, start: int, stop: int) -> DataFrame:
+        every = F.sequence(F.lit(start).cast("long"), F.lit(stop - 1).cast("long"))
+        there = floors.withColumn("cell", F.explode(every)).withColumn("part", F.lit(0))
+        here = rows.where(F.col("cell").between(start, stop - 1))
+        return _stream_past(here, there, k, threshold, stop - start)
+
+    no_floor = F.lit(None).cast("double").alias("floor")
+    sampled = top_k_per_query(search(asked.select("*", no_floor), 0, first), k, first)
+    if first == groups:
+        return sampled
+    sampled = sampled.checkpoint()
+    worst = sampled.where(F.col("rank") == k).select(
+        F.col("query_id").alias("id"), F.col("score").alias("floor")
+    )
+    rest = search(asked.join(worst, "id", "left"), first, groups)
+    return top_k_per_query(sampled.drop("rank").unionByName(rest), k, groups)
 
 
 def knn_lsh(
@@ -78,24 +127,76 @@ def knn_lsh(
     probes: int,
     k: int = CANDIDATE_K,
     threshold: float | None = None,
-    block_rows: int = QUERY_BLOCK_ROWS,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Approximate: score only index rows whose cell is among a query's best probes.
 
     ``index`` has ``cell`` from :func:`with_cell`; when it is a partition column, the
-    scan reads only cells some query probes. A cell holding a third of all rows is
-    scanned by as many tasks as it has splits. ``probes = 2**bits`` is exact.
+    scan reads only cells some query probes. Tasks find the cells of their queries, and
+    queries and rows meet by cell; a cell of more than ``group_bytes`` is split into parts,
+    each of which meets all queries of the cell. ``probes = 2**bits`` is exact.
     """
+    spark = index.sparkSession
+    ship_package(spark)
+    checkpoint_dir(spark)
+    asked = (
+        queries.select("query_id", "vector")
+        .mapInArrow(_prober(planes, probes), "cell bigint, id bigint, vector array<double>")
+        .checkpoint()
+    )
+    wanted = asked.select("cell").distinct()
+    n_cells = wanted.count()
+    if n_cells <= LISTED_CELLS:
+        # As values they keep the folders of other cells unread.
+        rows = index.where(F.col("cell").isin([row["cell"] for row in wanted.collect()]))
+    else:
+        rows = index.join(broadcast_if_bounded(wanted, n_cells, 32), "cell", "left_semi")
+    rows = rows.select(F.col("cell").cast("long").alias("cell"), "id", "vector")
+    most = max(1, group_bytes // (8 * planes.shape[1]))
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > most).select(
+        "cell", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("parts")
+    )
+    large = large.checkpoint()
+    n_large = large.count()
+
+    def split(df: DataFrame) -> DataFrame:
+        told = df.join(broadcast_if_bounded(large, n_large, 32), "cell", "left")
+        return told.withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+    here = split(rows).select(
+        "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "vector"
+    )
+    there = split(asked).select(
+        "cell",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        "id",
+        "vector",
+        F.lit(None).cast("double").alias("floor"),
+    )
+    tasks = max(n_cells + n_large, 1)
+    return top_k_per_query(_stream_past(here, there, k, threshold, tasks), k)
 
-    def plan(block: QueryBlock) -> DataFrame:
-        by_cell = probe_cells(block.vectors, planes, probes)
-        shared = index.sparkSession.sparkContext.broadcast((block, by_cell))
-        probed = index.where(F.col("cell").isin([int(c) for c in by_cell]))
-        return probed.select("id", "vector", "cell").mapInArrow(
-            _cell_scorer(shared, k, threshold), HITS_DDL
-        )
 
-    return _over_blocks(index, queries, k, block_rows, plan)
+def _stream_past(
+    rows: DataFrame, queries: DataFrame, k: int, threshold: float | None, groups: int
+) -> DataFrame:
+    """Hits of ``queries`` (cell, part, id, vector, floor) among ``rows`` of their group.
+
+    A group is a (cell, part); a task takes its groups one after the other.
+    """
+    spark = rows.sparkSession
+    doubles = F.col("vector").cast("array<double>").alias("vector")
+    none = F.lit(None).cast("double").alias("floor")
+    columns = ["cell", "part", "side", "id", "vector", "floor"]
+    both = (
+        rows.withColumn("side", F.lit(0))
+        .select("cell", "part", "side", "id", doubles, none)
+        .unionByName(queries.withColumn("side", F.lit(1)).select("cell", "part", "side", "id", doubles, "floor"))
+    )
+    tasks = min(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = both.repartition(max(tasks, 1), "cell", "part").sortWithinPartitions(*columns[:3])
+    return ordered.mapInArrow(_grid_scorer(k, threshold), HITS_DDL)
 
 
 def top_k_per_query(hits: DataFrame, k: int, tasks: int = 0) -> DataFrame:
@@ -118,8 +219,8 @@ def top_k_per_query(hits: DataFrame, k: int, tasks: int = 0) -> DataFrame:
 
 def random_planes(bits: int, dim: int, seed: int = 0) -> np.ndarray:
     """Hyperplanes through the origin; the signs of the projections name the cell."""
-    if not 1 <= bits <= 20:
-        raise ValueError("bits must be between 1 and 20")
+    if not 1 <= bits <= 62:
+        raise ValueError("bits must be between 1 and 62")
     return np.random.default_rng(seed).standard_normal((bits, dim))
 
 
@@ -128,10 +229,10 @@ def with_cell(corpus: DataFrame, planes: np.ndarray) -> DataFrame:
     ship_package(corpus.sparkSession)
 
     def assign(vectors: pa.Array) -> pa.Array:
-        return pa.array(cell_of(to_matrix(vectors, planes.shape[1]), planes), pa.int32())
+        return pa.array(cell_of(to_matrix(vectors, planes.shape[1]), planes), pa.int64())
 
     assign.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
-    udf = F.arrow_udf(assign, T.IntegerType())
+    udf = F.arrow_udf(assign, T.LongType())
     return corpus.withColumn("cell", udf(F.col("vector")))
 
 
@@ -143,33 +244,47 @@ def write_cells(corpus: DataFrame, planes: np.ndarray, path: str) -> None:
 
 def cell_of(matrix: np.ndarray, planes: np.ndarray) -> np.ndarray:
     bits = matrix @ planes.T > 0
-    return (bits * (1 << np.arange(len(planes)))).sum(axis=1).astype(np.int32)
+    return (bits * (1 << np.arange(len(planes), dtype=np.int64))).sum(axis=1)
 
 
-def probe_cells(
-    vectors: np.ndarray, planes: np.ndarray, probes: int
-) -> dict[int, np.ndarray]:
-    """Cell -> rows of ``vectors`` that look there.
+def best_cells(projected: np.ndarray, probes: int) -> list[int]:
+    """The cells that cost a query least, cheapest first, its own before all.
 
-    A query probes the cells that cost least to reach, where crossing a hyperplane
-    costs the squared distance to it.
+    Crossing a hyperplane costs the squared distance to it. Sets of planes to cross come
+    out of a heap by their cost: with planes ordered by distance, each set leads to the one
+    with its farthest plane replaced by the next and the one with the next added.
     """
-    cells = np.arange(1 << len(planes))
-    cell_bits = (cells[:, None] >> np.arange(len(planes))) & 1
-    by_cell: dict[int, list[int]] = {}
-    for start in range(0, len(vectors), 256):
-        projected = vectors[start : start + 256] @ planes.T
-        own = projected > 0
-        # cost[q, c] = sum over bits that differ of projection squared
-        squared = projected**2
-        cost = (squared * own).sum(axis=1)[:, None] + (
-            squared * np.where(own, -1.0, 1.0)
-        ) @ cell_bits.T
-        best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-        for offset, row in enumerate(best):
-            for cell in row:
-                by_cell.setdefault(int(cell), []).append(start + offset)
-    return {cell: np.asarray(rows) for cell, rows in by_cell.items()}
+    own = sum(1 << int(bit) for bit in np.flatnonzero(projected > 0))
+    order = np.argsort(np.abs(projected), kind="stable")
+    cost = (projected[order] ** 2).tolist()
+    flips = [1 << int(bit) for bit in order]
+    cells, heap = [own], [(cost[0], 0, flips[0])]
+    while heap and len(cells) < probes:
+        total, last, mask = heapq.heappop(heap)
+        cells.append(own ^ mask)
+        if last + 1 < len(flips):
+            added = total + cost[last + 1]
+            heapq.heappush(heap, (added, last + 1, mask | flips[last + 1]))
+            swapped = mask ^ flips[last] | flips[last + 1]
+            heapq.heappush(heap, (added - cost[last], last + 1, swapped))
+    return cells
+
+
+def _prober(planes: np.ndarray, probes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matrix = to_matrix(batch.column(1), planes.shape[1])
+            for at, projected in enumerate(matrix @ planes.T):
+                cells = best_cells(projected, probes)
+                row = pa.array([matrix[at]], pa.list_(pa.float64()))
+                columns = [
+                    pa.array(cells, pa.int64()),
+                    pa.array(np.full(len(cells), batch.column(0)[at].as_py()), pa.int64()),
+                    row.take(pa.array(np.zeros(len(cells), dtype=np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "id", "vector"])
+
+    return run
 
 
 # --- query blocks ----------------------------------------------------------------
@@ -181,50 +296,8 @@ class QueryBlock:
     vectors: np.ndarray
 
 
-def _over_blocks(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int,
-    block_rows: int,
-    plan: Callable[[QueryBlock], DataFrame],
-) -> DataFrame:
-    spark = corpus.sparkSession
-    ship_package(spark)
-    parts = [plan(block) for block in query_blocks(queries, block_rows)]
-    if not parts:
-        return spark.createDataFrame([], HITS_DDL + ", rank int")
-    tasks = len(parts) * corpus.rdd.getNumPartitions()
-    return top_k_per_query(reduce(DataFrame.unionAll, parts), k, tasks)
-
-
-def query_blocks(queries: DataFrame, block_rows: int) -> Iterator[QueryBlock]:
-    """Query vectors in blocks small enough to ship to every task.
-
-    One bounded read answers the usual case. A larger set is pinned by a checkpoint
-    and read block by block, each block scoring the corpus in its own pass.
-    """
-    queries = queries.select("query_id", "vector")
-    head = queries.limit(block_rows + 1).toArrow()
-    if head.num_rows <= block_rows:
-        yield from _to_blocks(head)
-        return
-    checkpoint_dir(queries.sparkSession)
-    pinned = queries.checkpoint()
-    n_blocks = -(-pinned.count() // block_rows)
-    for block in range(n_blocks):
-        part = pinned.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
-        yield from _to_blocks(part.toArrow())
-
-
-def _to_blocks(table: pa.Table) -> Iterator[QueryBlock]:
-    """Cut further where wide vectors would make a block too large to ship."""
-    if not table.num_rows:
-        return
-    ids = table["query_id"].to_numpy()
-    matrix = to_matrix(pa.concat_arrays(table["vector"].chunks))
-    rows = max(1, BROADCAST_LIMIT_BYTES // (matrix.shape[1] * matrix.itemsize))
-    for start in range(0, len(ids), rows):
-        yield QueryBlock(ids[start : start + rows], matrix[start : start + rows])
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks)
 
 
 def to_matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -246,9 +319,17 @@ def to_matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:
 class BestRows:
     """The k best (score, id) rows of each query seen so far."""
 
-    def __init__(self, n_queries: int, k: int, threshold: float | None = None) -> None:
+    def __init__(
+        self,
+        n_queries: int,
+        k: int,
+        threshold: float | None = None,
+        floors: np.ndarray | None = None,
+    ) -> None:
         self.k = k
         self.threshold = threshold
+        # Whole millionths that a row of each query must reach.
+        self.floors = np.full(n_queries, NO_SCORE, np.int64) if floors is None else floors
         self.scores = np.full((n_queries, k), NO_SCORE, np.int64)
         self.ids = np.full((n_queries, k), LAST_ID, np.int64)
 
@@ -258,7 +339,9 @@ class BestRows:
         The slack is one unit for the rounding of scores and the error bound of a
         single-precision product of two unit vectors.
         """
-        floor = NO_SCORE if self.threshold is None else self.threshold * MICRO
+        floor = self.floors[rows]
+        if self.threshold is not None:
+            floor = np.maximum(floor, self.threshold * MICRO)
         lowest = (np.maximum(self.scores[rows, -1], floor) - 1) / MICRO
         return (lowest - (dim + 4) * 2.0**-23).astype(np.float32)
 
@@ -298,7 +381,7 @@ class BestRows:
 
     def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
         values = self.scores / MICRO
-        keep = self.scores > NO_SCORE
+        keep = (self.scores > NO_SCORE) & (self.scores >= self.floors[:, None])
         if self.threshold is not None:
             keep &= values >= self.threshold
         rows, places = np.nonzero(keep)
@@ -342,35 +425,41 @@ def _squared_and_unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return squared, unit.astype(np.float32)
 
 
+class PreparedRows:
+    """Corpus rows in order of their ids, with what scoring derives from them once."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], matrix[order]
+        self.squared, self.unit = _squared_and_unit(self.vectors)
+
+
 def score_into(
-    best: BestRows, picked: np.ndarray, queries: PreparedQueries, ids, matrix
+    best: BestRows, picked: np.ndarray, queries: PreparedQueries, rows: PreparedRows
 ) -> None:
     """Score some queries against some rows, a bounded number of cells at a time.
 
-    A single-precision product of unit vectors tells which cells can still enter. After the first rows these are few, and only they get their exact
-    score. Where many qualify (the first rows, or masses of equal vectors) the whole
-    block is scored and cut instead.
+    A single-precision product of unit vectors tells which cells can still enter. After the
+    first rows these are few, and only they get their exact score. Where many qualify (the
+    first rows, or masses of equal vectors) the whole block is scored and cut instead.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, matrix = ids[order], matrix[order]
-    squared, unit = _squared_and_unit(matrix)
-    for start in range(0, len(ids), ROWS_PER_STEP):
-        rows = slice(start, start + ROWS_PER_STEP)
+    for start in range(0, len(rows.ids), ROWS_PER_STEP):
+        step = slice(start, start + ROWS_PER_STEP)
         for first in range(0, len(picked), QUERIES_PER_STEP):
             part = picked[first : first + QUERIES_PER_STEP]
-            near = queries.unit[part] @ unit[rows].T >= best.cutoff(part, queries.dim)[:, None]
+            near = queries.unit[part] @ rows.unit[step].T >= best.cutoff(part, queries.dim)[:, None]
             hits = np.count_nonzero(near)
             if hits > near.size // 16:
-                products = queries.vectors[part] @ matrix[rows].T
-                norms = queries.squared[part][:, None] * squared[rows][None, :]
-                best.add_all(part, micro_cosine(products, norms), ids[rows])
+                products = queries.vectors[part] @ rows.vectors[step].T
+                norms = queries.squared[part][:, None] * rows.squared[step][None, :]
+                best.add_all(part, micro_cosine(products, norms), rows.ids[step])
             elif hits:
                 nth, row = np.nonzero(near)
                 row += start
                 asked = part[nth]
-                products = np.einsum("ij,ij->i", queries.vectors[asked], matrix[row])
-                scores = micro_cosine(products, queries.squared[asked] * squared[row])
-                best.add_some(part, nth, scores, ids[row])
+                products = np.einsum("ij,ij->i", queries.vectors[asked], rows.vectors[row])
+                scores = micro_cosine(products, queries.squared[asked] * rows.squared[row])
+                best.add_some(part, nth, scores, rows.ids[row])
 
 
 def _scorer(shared, k: int, threshold: float | None):
@@ -380,25 +469,43 @@ def _scorer(shared, k: int, threshold: float | None):
         everyone = np.arange(len(queries.ids))
         for batch in batches:
             matrix = to_matrix(batch.column(1), queries.dim)
-            score_into(best, everyone, queries, batch.column(0).to_numpy(), matrix)
+            score_into(best, everyone, queries, PreparedRows(batch.column(0).to_numpy(), matrix))
         yield best.batch(queries.ids)
 
     return run
 
 
-def _cell_scorer(shared, k: int, threshold: float | None):
+def _grid_scorer(k: int, threshold: float | None):
+    """Rows come sorted by group, the corpus rows of a group before its queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, by_cell = shared.value
-        queries = PreparedQueries(block)
-        best = BestRows(len(queries.ids), k, threshold)
+        group, parts, rows = None, [], None
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            matrix = to_matrix(batch.column(1), queries.dim)
-            cells = batch.column(2).to_numpy()
-            for cell in np.unique(cells):
-                here = cells == cell
-                score_into(best, by_cell[int(cell)], queries, ids[here], matrix[here])
-        yield best.batch(queries.ids)
+            keys = np.column_stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if tuple(keys[a, :2]) != group:
+                    group, parts, rows = tuple(keys[a, :2]), [], None
+                part = batch.slice(a, b - a)
+                ids, matrix = part.column(3).to_numpy(), to_matrix(part.column(4))
+                if keys[a, 2] == 0:
+                    parts.append((ids, matrix))
+                    continue
+                if parts:
+                    rows = PreparedRows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    parts = []
+                if rows is None:
+                    continue
+                if matrix.shape[1] != rows.vectors.shape[1]:
+                    raise ValueError("vectors differ in dimension")
+                floors = part.column(5).to_numpy(zero_copy_only=False).astype(np.float64)
+                floors = np.where(np.isnan(floors), NO_SCORE, np.rint(floors * MICRO))
+                for at in range(0, len(ids), QUERIES_PER_STEP):
+                    step = slice(at, at + QUERIES_PER_STEP)
+                    queries = PreparedQueries(QueryBlock(ids[step], matrix[step]))
+                    best = BestRows(len(queries.ids), k, threshold, floors[step].astype(np.int64))
+                    score_into(best, np.arange(len(queries.ids)), queries, rows)
+                    yield best.batch(queries.ids)
 
     return run
 

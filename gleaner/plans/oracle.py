@@ -8,6 +8,8 @@ from gleaner.functions.text import TOKEN_PATTERN
 from gleaner.plans.workload import (
     ARTICLES_RAW,
     ASKED_PAGES,
+    FINE_PLANES,
+    FINE_PROBES,
     KEYWORD,
     LSH_PLANES,
     LSH_PROBES,
@@ -167,6 +169,36 @@ near AS (
     PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank
   FROM scored QUALIFY rank <= 30)"""
 
+# The same without a table of all cells: sets of up to three crossed planes, which hold the
+# eight cheapest (a fourth plane costs more than its three subsets of two and itself).
+FINE = f"""WITH {EMB},
+planes AS (SELECT unnest({[plane.tolist() for plane in FINE_PLANES]}) AS p,
+  CAST(unnest(range({len(FINE_PLANES)})) AS BIGINT) AS b),
+projected AS (SELECT id, b, list_inner_product(v, p) AS x FROM e, planes),
+placed AS (
+  SELECT id, CAST(sum(CASE WHEN x > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS cell
+  FROM projected GROUP BY id),
+near_planes AS (
+  SELECT id, 1 << b AS flip, x * x AS cost FROM projected
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY abs(x)) <= {FINE_PROBES}),
+sets AS (
+  SELECT id, 0 AS flip, 0.0 AS cost FROM placed
+  UNION ALL SELECT id, flip, cost FROM near_planes
+  UNION ALL SELECT a.id, a.flip | b.flip, a.cost + b.cost
+  FROM near_planes a JOIN near_planes b ON a.id = b.id AND a.flip < b.flip
+  UNION ALL SELECT a.id, a.flip | b.flip | c.flip, a.cost + b.cost + c.cost
+  FROM near_planes a JOIN near_planes b ON a.id = b.id AND a.flip < b.flip
+    JOIN near_planes c ON a.id = c.id AND b.flip < c.flip),
+probed AS (
+  SELECT sets.id AS query_id, xor(placed.cell, sets.flip) AS cell
+  FROM sets JOIN placed USING (id)
+  QUALIFY row_number() OVER (PARTITION BY sets.id ORDER BY cost) <= {FINE_PROBES}),
+scored AS (
+  SELECT query_id, c.id, round(list_cosine_similarity(q.v, c.v), 6) AS score
+  FROM probed JOIN placed USING (cell) JOIN e c ON c.id = placed.id JOIN e q ON q.id = query_id)
+SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank
+FROM scored QUALIFY rank = 1"""
+
 # Decomposed by tables written out: the letters of the keywords that the fold changes.
 FOLDED_SCRIPTS = [
     "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
@@ -354,6 +386,7 @@ UNION ALL SELECT 'wrong_dimension', count(*) FROM vec WHERE len(embedding) <> 64
     "incremental_build": f"WITH {POINTS}, {ENTRIES} SELECT * FROM entries",
     "stream_ingest": f"""WITH {POINTS}, {ENTRIES}
 SELECT * FROM (SELECT id, seq, link FROM art) LEFT JOIN entries USING (id)""",
+    "knn_lsh_fine": FINE,
     "knn_lsh": LSH + " SELECT * FROM near",
     "knn_lsh_recall": LSH
     + """,

@@ -91,6 +91,7 @@ STATS_THRESHOLD = 0.25
 STRICT_THRESHOLD = 0.45
 LSH_PLANES = knn.random_planes(LSH_BITS, 64)
 LSH_PROBES = 2 ** (LSH_BITS - 1)
+FINE_PLANES, FINE_PROBES = knn.random_planes(24, 64), 8
 
 embedder = partial(embed.HashingEmbedder, SEARCH_DIM)
 
@@ -489,8 +490,8 @@ def knn_blocked(t: Tables) -> DataFrame:
 
 @query
 def knn_blocked_passes(t: Tables) -> DataFrame:
-    """The same with the queries split into several passes."""
-    return knn.knn_batch(t.embeddings(), t.embedding_queries(), block_rows=200)
+    """The same with more queries than one block and the corpus in many groups."""
+    return knn.knn_grid(t.embeddings(), t.embedding_queries(), group_bytes=20_000)
 
 
 @query
@@ -528,7 +529,10 @@ def knn_best_when_empty(t: Tables) -> DataFrame:
 
 def _cells(t: Tables, planes: np.ndarray) -> DataFrame:
     path = scratch_path(t.spark, "cells")
-    knn.write_cells(t.embeddings(), planes, path)
+    if len(planes) > 12:  # too many folders; the cell is a column like any other
+        knn.with_cell(t.embeddings(), planes).write.parquet(path)
+    else:
+        knn.write_cells(t.embeddings(), planes, path)
     return t.spark.read.parquet(path)
 
 
@@ -551,6 +555,14 @@ def knn_lsh_recall(t: Tables) -> DataFrame:
     )
 
 
+@query
+def knn_lsh_fine(t: Tables) -> DataFrame:
+    """More planes than cells could be counted for; most rows have a cell of their own."""
+    return knn.knn_lsh(
+        _cells(t, FINE_PLANES), t.embedding_queries(), FINE_PLANES, probes=FINE_PROBES, k=1
+    )
+
+
 @query
 def knn_lsh_all_cells(t: Tables) -> DataFrame:
     """Every cell probed, which is exact."""

@@ -64,22 +64,68 @@ def test_batch_equals_brute_force(spark, data, k, threshold):
     assert as_set(found) == brute_force(corpus, queries, k, threshold)
 
 
-def test_passes_and_small_batches_change_nothing(spark, data, monkeypatch):
+@pytest.mark.parametrize("group_bytes", [1 << 20, 3000, 8 * DIM * 7])
+def test_groups_and_small_batches_change_nothing(spark, data, group_bytes):
     corpus, queries = data
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
-        found = knn.knn_batch(
-            frame(spark, corpus, "id"), frame(spark, queries, "query_id"), 30, block_rows=10
-        )
-        assert as_set(found) == brute_force(corpus, queries, 30)
+        for threshold in (None, 0.4):
+            found = knn.knn_grid(
+                frame(spark, corpus, "id"), frame(spark, queries, "query_id"), 30, threshold, group_bytes
+            )
+            assert as_set(found) == brute_force(corpus, queries, 30, threshold)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_wide_blocks_are_cut(spark, data, monkeypatch):
-    monkeypatch.setattr(knn, "BROADCAST_LIMIT_BYTES", 8 * DIM * 5)
-    blocks = list(knn.query_blocks(frame(spark, data[1], "query_id"), 4096))
-    assert [len(b.ids) for b in blocks] == [5] * 7 + [2]
+def test_more_queries_than_a_block_stay_out_of_the_driver(spark, data, plan, monkeypatch):
+    corpus, queries = frame(spark, data[0], "id"), frame(spark, data[1], "query_id")
+    fetched = []
+    whole = type(queries).toArrow
+    monkeypatch.setattr(type(queries), "toArrow", lambda df: fetched.append(whole(df)) or fetched[-1])
+    found = knn.knn_batch(corpus, queries, block_rows=10)
+    assert as_set(found) == brute_force(*data, 30)
+    assert [t.num_rows for t in fetched] == [11]  # only to see that there are more
+    text = plan(found)
+    assert "Broadcast" not in text and "Cartesian" not in text
+
+
+def test_floors_keep_rows_in(spark, data):
+    """A floor is the score a row must reach, ties included."""
+    from gleaner.operators.knn import BestRows, PreparedQueries, PreparedRows, QueryBlock, score_into
+
+    corpus, queries = data
+    exact = sorted(brute_force(corpus, queries[:1], 30), key=lambda r: r[3])
+    floor = np.array([round(exact[9][2] * 10**6)])
+    best = BestRows(1, 30, None, floor)
+    asked = PreparedQueries(QueryBlock(np.array([0]), queries[:1].astype(float)))
+    score_into(best, np.array([0]), asked, PreparedRows(np.arange(len(corpus)) * 10, corpus.astype(float)))
+    assert set(best.batch(np.array([0])).column(1).to_pylist()) == {r[1] for r in exact if r[2] >= exact[9][2]}
+
+
+def test_best_cells_equal_all_cells_sorted():
+    random = np.random.default_rng(4)
+    for bits in (1, 2, 5, 9):
+        projected = random.normal(size=bits)
+        own = sum(1 << i for i in range(bits) if projected[i] > 0)
+        cost = lambda c: sum(projected[i] ** 2 for i in range(bits) if (c ^ own) >> i & 1)  # noqa: B023, E731
+        cells = sorted(range(2**bits), key=cost)
+        assert knn.best_cells(projected, 2**bits) == cells
+        assert knn.best_cells(projected, 3) == cells[:3]
+    many = knn.best_cells(random.normal(size=60), 5000)
+    assert len(set(many)) == 5000
+
+
+def test_large_cells_are_split(spark, data, monkeypatch):
+    corpus, queries = data
+    planes = knn.random_planes(2, DIM)
+    index = knn.with_cell(frame(spark, corpus, "id"), planes)
+    for listed in (100, 0):
+        monkeypatch.setattr(knn, "LISTED_CELLS", listed)
+        found = knn.knn_lsh(
+            index, frame(spark, queries, "query_id"), planes, 4, 10, group_bytes=8 * DIM * 9
+        )
+        assert as_set(found) == brute_force(corpus, queries, 10)
 
 
 def test_one_equals_batch(spark, data):
@@ -112,6 +158,8 @@ def test_no_queries_or_no_corpus(spark, data):
 
 def test_ragged_vectors_are_an_error(spark, data):
     bad = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id bigint, vector array<float>")
+    with pytest.raises(Exception, match="dimension"):
+        knn.knn_grid(bad, frame(spark, data[1], "query_id")).collect()
     with pytest.raises(Exception, match="dimension"):
         knn.knn_batch(bad.coalesce(1), frame(spark, data[1], "query_id")).collect()
 
