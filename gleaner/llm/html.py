@@ -1,10 +1,15 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
-Every page names its best container: the deepest one that holds most of the text outside
-menus, adverts, comments and the like, with a preference for article elements. Its path of
-tags and classes, digits generalised, is a vote for its host; the votes are counted in
-Spark. Then every page is read again with the winning path of its host, and with its own
-container where that path finds nothing.
+Every page names its best container: its article elements, if they hold at least half of the
+prose outside menus, adverts, comments and the like, or else the deepest container with all of
+that prose; then the least one around it that has the page's title as well. Prose are texts of
+some length or with the end of a sentence, few links in them. The container's path of tags and
+classes, digits generalised, is a vote for its host; the votes are counted in Spark. Then every
+page is read again with the winning path of its host, and with its own container where that
+path finds nothing.
+
+A class or id made of noise words and of words for boxes marks noise wherever it stands. Other
+names with a noise word in them (``no-ads``, ``alert-level``) do so only for a box without prose.
 
 Votes are summed before they are shuffled. The winners are broadcast only if they are small,
 otherwise joined, so pages are not shuffled unless there are very many hosts.
@@ -14,7 +19,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -43,8 +49,17 @@ NOISE_WORDS = frozenset(
     "notice notices alert popup modal overlay newsletter subscribe signup login share sharing "
     "social related recommended widget widgets pagination pager toolbar".split()
 )
-#: Readers' words stay noise however long they are.
-COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: What a name may have beside a noise word and still be one of noise.
+BOX_WORDS = frozenset(
+    "site page top bottom left right main inner outer center middle global sticky fixed mobile "
+    "desktop primary secondary block blocks box boxes container wrapper wrap area zone section "
+    "sections slot slots unit units list lists item items link links button buttons bar bars "
+    "strip icon icons group row col column panel pane card cards grid form forms field text "
+    "title heading image img content article articles post posts entry entries story stories "
+    "body user reader readers news email mail follow tool tools media policy message prompt "
+    "cta google js module component placeholder holder feed stream thread meta info sign up".split()
+)
+NEGATIONS = frozenset("no not non is has with without hide".split())
 NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert menu".split()
 )
@@ -62,22 +77,42 @@ ENDS = {
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold text of their own rather than other blocks.
 LEAVES = HEADINGS | frozenset("p li pre blockquote td th dt dd figcaption caption tr".split())
-ENOUGH = 0.75
-#: Unmarked characters of a page that may be an article.
-ARTICLE_CHARS = 200
+#: Least length of prose, and of prose that ends like a sentence.
+PROSE_CHARS, SENTENCE_CHARS = 25, 12
+SENTENCE_ENDS = frozenset(".!?…。！？\"”’»")
+_IMPRINT = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+@lru_cache(maxsize=4096)
+def judge_names(names: str) -> tuple[frozenset[str], bool, bool, bool]:
+    """Words of class names; whether they mark noise, may mark it, mark a header."""
+    words: set[str] = set()
+    noise = maybe = header = False
+    for name in names.split():
+        parts = {w.lower() for w in _NAME_PARTS.findall(name)}
+        words |= parts
+        rest = {w for w in parts - NOISE_WORDS - BOX_WORDS if len(w) > 2 or w in NEGATIONS}
+        if parts & NOISE_WORDS:
+            noise, maybe = noise or rest <= {"header"}, True
+        header = header or ("header" in parts and rest <= {"header"})
+    return frozenset(words), noise, maybe and not noise, header
+
+
+def is_prose(text: str, link_chars: int) -> bool:
+    if 2 * link_chars > len(text) or _IMPRINT.search(text):
+        return False
+    return len(text) >= PROSE_CHARS or (len(text) >= SENTENCE_CHARS and text[-1] in SENTENCE_ENDS)
+
+
 class Node:
-    __slots__ = (
-        "chars", "comments", "content", "depth", "header", "links", "noise", "parent", "tag", "title",
-    )
+    __slots__ = ("chars", "content", "header", "maybe", "noise", "parent", "tag", "title")
 
-    def __init__(self, tag: str, title: str, parent: int, depth: int) -> None:
-        self.tag, self.title, self.parent, self.depth = tag, title, parent, depth
-        self.noise = self.header = self.content = self.comments = False
-        self.chars = self.links = 0
+    def __init__(self, tag: str, title: str, parent: int) -> None:
+        self.tag, self.title, self.parent = tag, title, parent
+        self.noise = self.maybe = self.header = self.content = False
+        self.chars = 0
 
 
 class PageReader(HTMLParser):
@@ -85,7 +120,7 @@ class PageReader(HTMLParser):
 
     def __init__(self, page: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes = [Node("", "", -1, 0)]
+        self.nodes = [Node("", "", -1)]
         self.blocks: list[tuple[int, str, int]] = []
         self.stack: list[tuple[str, int]] = [("", 0)]
         self.open = Counter()
@@ -134,8 +169,8 @@ class PageReader(HTMLParser):
             return
         named = dict(attrs)
         names = f"{named.get('class') or ''} {named.get('id') or ''}"
-        words = {w.lower() for w in _NAME_PARTS.findall(names)} if names != " " else set()
-        noisy = bool(words & NOISE_WORDS) or named.get("role") in NOISE_ROLES
+        words, noisy, maybe, header = judge_names(names)
+        noisy = noisy or named.get("role") in NOISE_ROLES
         noisy = noisy or "hidden" in named or named.get("aria-hidden") == "true"
         parent = self.stack[-1][1]
         number = parent
@@ -147,12 +182,11 @@ class PageReader(HTMLParser):
                 self._end_open(("p",), ("td", "th", "li", "div", "section", "article", "body"))
             parent = self.stack[-1][1]
             number = len(self.nodes)
-            above = self.nodes[parent]
             classes = sorted(_DIGITS.sub("#", (named.get("class") or "").lower()).split())
-            node = Node(tag, ".".join([tag, *classes]), parent, above.depth + 1)
+            node = Node(tag, ".".join([tag, *classes]), parent)
             node.noise = tag in NOISE_TAGS or noisy
-            node.comments = bool(words & COMMENT_WORDS)
-            node.header = tag == "header" or "header" in words
+            node.maybe = maybe and tag not in LEAVES
+            node.header = tag == "header" or header
             node.content = (
                 tag in ("article", "main")
                 or named.get("role") == "main"
@@ -189,29 +223,30 @@ class PageReader(HTMLParser):
 
     def _sum_up(self) -> None:
         nodes = self.nodes
-        every = [0] * len(nodes)
-        for number, text, _ in self.blocks:
+        prose = [
+            nodes[number].tag not in HEADINGS and is_prose(text, links)
+            for number, text, links in self.blocks
+        ]
+        every, proper = [0] * len(nodes), [0] * len(nodes)
+        for (number, text, _), is_one in zip(self.blocks, prose, strict=True):
             every[number] += len(text)
+            proper[number] += is_one
+        holds = [False] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
-            every[nodes[i].parent] += every[i]
-        # Names mislead: what holds most of the page's text is no advert, unless an article
-        # may be outside it.
+            above = nodes[i].parent
+            every[above] += every[i]
+            proper[above] += proper[i]
+            holds[above] = holds[above] or holds[i] or (nodes[i].content and not nodes[i].noise)
         body = max((every[i] for i, n in enumerate(nodes) if n.tag == "body"), default=every[0])
-        marked, holds = [False] * len(nodes), [False] * len(nodes)
-        for i in range(1, len(nodes)):
-            node, top = nodes[i], nodes[i].tag in ("html", "body")
-            marked[i] = marked[node.parent] or (not top and (node.noise or node.header))
-        plain = sum(len(text) for number, text, _ in self.blocks if not marked[number])
-        for i in range(len(nodes) - 1, 0, -1):
-            article = nodes[i].content and not nodes[i].noise
-            holds[nodes[i].parent] = holds[nodes[i].parent] or article or holds[i]
         in_article = [False] * len(nodes)
         for i in range(1, len(nodes)):
             node, above = nodes[i], nodes[nodes[i].parent]
-            alone = plain < ARTICLE_CHARS and not node.comments
-            wraps = holds[i] or alone or node.tag in ("html", "body")
+            # Names mislead: what holds most of the page's text and an article is no advert.
+            wraps = holds[i] or node.tag in ("html", "body")
             if node.noise and node.tag not in NOISE_TAGS and 2 * every[i] > body and wraps:
                 node.noise = False
+            if node.maybe and not proper[i] and not wraps:
+                node.noise = True
             if node.header and 2 * every[i] > body:
                 node.header = False
             named = node.content or node.title.endswith("+")
@@ -219,32 +254,85 @@ class PageReader(HTMLParser):
             # A header of the page is noise, one inside an article keeps its headings.
             node.header = node.header or above.header
             node.noise = node.noise or above.noise or (node.header and not in_article[i])
-        for number, text, links in self.blocks:
-            if self._counts(number):
-                nodes[number].chars += len(text)
-                nodes[number].links += links
+        self.counted = [i for i, block in enumerate(self.blocks) if self._counts(block[0])]
+        self.prose = [i for i in self.counted if prose[i]]
+        for i in self.counted:
+            nodes[self.blocks[i][0]].chars += len(self.blocks[i][1])
         for i in range(len(nodes) - 1, 0, -1):
             nodes[nodes[i].parent].chars += nodes[i].chars
-            nodes[nodes[i].parent].links += nodes[i].links
 
     def _counts(self, number: int) -> bool:
         node = self.nodes[number]
         return not node.noise and (not node.header or node.tag in HEADINGS)
 
+    def _around(self, numbers: Iterable[int]) -> int:
+        """The deepest container with all these nodes in it."""
+        held = [0] * len(self.nodes)
+        for number in numbers:
+            held[number] += 1
+        for i in range(len(held) - 1, 0, -1):
+            held[self.nodes[i].parent] += held[i]
+        return max(i for i, n in enumerate(held) if n == held[0] and self.nodes[i].tag not in LEAVES)
+
+    def _inside(self, containers: set[int]) -> list[bool]:
+        inside = [False] * len(self.nodes)
+        for i, node in enumerate(self.nodes):
+            inside[i] = i in containers or (node.parent >= 0 and inside[node.parent])
+        return inside
+
+    def _articles(self, wanted: list[int], plain: bool) -> int | None:
+        """The container of the article elements, if these hold half of the wanted blocks' text."""
+        nodes = self.nodes
+        marked = {i for i, n in enumerate(nodes) if n.content and (n.tag == "article") is plain and n.chars}
+        if not marked:
+            return None
+        inside = self._inside(marked)
+        mine = [i for i in wanted if inside[self.blocks[i][0]]]
+        size, whole = (sum(len(self.blocks[i][1]) for i in some) for some in (mine, wanted))
+        if not mine or 2 * size < whole:
+            return None
+        # Elements without any of it (teasers of links alone) are left out.
+        tops = set()
+        for i in mine:
+            at, top = self.blocks[i][0], 0
+            while at:
+                top = at if at in marked else top
+                at = nodes[at].parent
+            tops.add(top)
+        return self._around(tops)
+
     def best(self) -> int:
         """The container of the article; 0 is the whole page."""
-        whole = self.nodes[0].chars - self.nodes[0].links
-        top, chosen = 0.0, 0
-        for i, node in enumerate(self.nodes):
-            if i and (node.noise or node.tag in LEAVES):
-                continue
-            share = (node.chars - node.links) / whole if whole > 0 else 0.0
-            score = min(share / ENOUGH, 1.0) + 0.001 * min(node.depth, 100)
-            if share > 0:
-                score += 0.5 if node.content else 0.2 * node.title.endswith("+")
-            if score > top:
-                top, chosen = score, i
-        return chosen
+        wanted = self.prose or self.counted
+        if not wanted:
+            return 0
+        chosen = self._articles(wanted, True)
+        if chosen is None:
+            chosen = self._articles(wanted, False)
+        if chosen is None:
+            chosen = self._around(self.blocks[i][0] for i in wanted)
+        return self._with_title(chosen)
+
+    def _with_title(self, chosen: int) -> int:
+        """The least container around this one with the page's title, if little else is added."""
+        tag_of = {i: self.nodes[self.blocks[i][0]].tag for i in self.counted}
+        level = min((t for t in tag_of.values() if t in HEADINGS), default=None)
+        inside = self._inside({chosen})
+        own = [i for i in self.counted if inside[self.blocks[i][0]]]
+        if level is None or any(tag_of[i] == level for i in own):
+            return chosen
+        titles = [i for i in self.counted if tag_of[i] == level and i < own[0]]
+        if not titles:
+            return chosen
+        wider = self._around([chosen, self.blocks[titles[-1]][0]])
+        within = self._inside({wider})
+        added = [
+            i
+            for i in self.counted
+            if tag_of[i] not in HEADINGS and within[self.blocks[i][0]] and not inside[self.blocks[i][0]]
+        ]
+        chars, links = (sum(f(self.blocks[i]) for i in added) for f in (lambda b: len(b[1]), lambda b: b[2]))
+        return chosen if 2 * links > chars or set(added) & set(self.prose) else wider
 
     def path(self, number: int) -> str:
         names = []
@@ -254,12 +342,9 @@ class PageReader(HTMLParser):
         return ">".join(reversed(names))
 
     def text(self, containers: set[int]) -> str:
-        inside = [False] * len(self.nodes)
-        for i, node in enumerate(self.nodes):
-            inside[i] = i in containers or (node.parent >= 0 and inside[node.parent])
-        return "\n".join(
-            text for number, text, _ in self.blocks if inside[number] and self._counts(number)
-        )
+        inside = self._inside(containers)
+        blocks = (self.blocks[i] for i in self.counted)
+        return "\n".join(text for number, text, _ in blocks if inside[number])
 
     def at_path(self, path: str) -> set[int]:
         """The nodes with this path; it is compared level by level, from the root."""

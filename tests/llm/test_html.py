@@ -84,3 +84,55 @@ def test_longer_comments_are_not_the_article():
             assert _text("<body>" + page % (article, name, remark) + "</body>") == article.strip()
     wrapped = "<body class=comments-open><div class=comments-on><article><p>%s</p></article></div></body>"
     assert _text(wrapped % article) == article.strip()
+
+
+def _prose(n, word="words"):
+    return " ".join(f"{word} number {i} of the text." for i in range(n))
+
+
+def test_no_part_of_an_article_is_left_out():
+    lead, rest = _prose(8, "lead"), _prose(32, "rest")
+    for page in (
+        "<div class=page><div class=lead>%s</div><div class=rest>%s</div></div><nav>a b c</nav>",
+        "<div><section><p>%s</p></section><section><p>%s</p></section></div><div class=ad>Buy this now.</div>",
+        "<main><p>%s</p><div class=post-body><p>%s</p></div></main><div class=menu>One, two, three.</div>",
+    ):
+        assert _text("<body>" + page % (lead, rest) + "</body>") == f"{lead}\n{rest}"
+    page = "<div class=post><h1>Title</h1><p>%s</p><div class=post-body><p>%s</p></div></div>"
+    assert _text("<body><div>Site</div>" + page % (lead, rest)) == f"Title\n{lead}\n{rest}"
+    titled = "<body><div>Site</div><div><h1>Title</h1><p>By me</p><div><p>%s</p><p>%s</p></div></div></body>"
+    assert _text(titled % (lead, rest)) == f"Title\nBy me\n{lead}\n{rest}"
+    assert _text(f"<body><h1>T</h1><article><p>{lead}</p></article></body>") == f"T\n{lead}"
+
+
+def test_short_article_beside_a_long_sidebar():
+    page = "<body><div class=story>%s</div><div class=sidebar><p>%s</p></div></body>"
+    assert _text(page % ("It rained all day long.", _prose(40))) == "It rained all day long."
+    assert _text(page % ("Rain", _prose(40))) == "Rain"
+    assert _text("<body><nav>a</nav><div class=sidebar>" + _prose(5) + "</div></body>") == ""
+
+
+def test_names_that_only_sound_like_noise():
+    page = (
+        "<article><p>%s</p><div class=no-ads><p>Kept one, as it is text.</p></div><p class=alert-level>Level three</p>"
+        "<p>The <span class=alert-level>third</span> one.</p><div class=ad-slot>Buy this now, it is cheap.</div>"
+        "<div class=ad-level-x>Buy</div></article>"
+    )
+    text = _prose(3)
+    assert _text(page % text).split("\n") == [text, "Kept one, as it is text.", "Level three", "The third one."]
+
+
+def test_links_and_imprints_do_not_widen_the_container():
+    links = "".join(f"<p><a href=/{i}>Another story that one may read next.</a></p>" for i in range(9))
+    page = f"<body><div>{links}</div><div class=x><p>{_prose(4)}</p></div><div>© 2020 Us. All rights reserved.</div></body>"
+    assert _text(page) == _prose(4)
+
+
+def test_host_with_pages_of_two_makes(spark):
+    one = "<body><div class=a><p>%s</p></div><div class=z><p><a href=x>Read this other story of today.</a></p></div></body>"
+    two = "<body><div class=b><h1>T</h1><section>%s</section><section>%s</section></div></body>"
+    rows = [(i, "http://h.example/x", one % _prose(i + 2)) for i in range(5)]
+    rows += [(i, "http://h.example/x", two % (_prose(2, "m"), _prose(i))) for i in range(5, 9)]
+    got = _extract(spark, rows)
+    assert all(got[i] == _prose(i + 2) for i in range(5))
+    assert all(got[i] == f"T\n{_prose(2, 'm')}\n{_prose(i)}" for i in range(5, 9))
