@@ -71,30 +71,58 @@ def format_chats(turns: DataFrame) -> DataFrame:
         )
 
     pieces = sorted_turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"),
+
+    def sizes(p: Column) -> Column:
+        body = F.length(p["body"]).cast("long")
+        return F.struct(
+            F.length(p["head"]).cast("long").alias("head"),
+            body.alias("body"),
+            (F.length(p["head"]) + body + F.length(p["tail"])).alias("whole"),
+            p["loss"].alias("loss"),
+        )
+
+    whole = F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"]))
+    sized = pieces.select(
+        "conv_id", F.array_join(whole, "").alias("formatted"), F.transform("pieces", sizes).alias("sizes")
     )
+    # Positions run over pieces within short runs, and over runs by their totals: neither
+    # the growing list of spans nor the sum is copied or taken again for every piece.
+    in_runs = sized.select("conv_id", "formatted", _runs(F.col("sizes")).alias("runs"))
+    total = F.transform("runs", lambda r: F.aggregate(r, _zero(), lambda s, p: s + p["whole"]))
+    totals = in_runs.select("*", total.alias("totals"))
 
     def step(state: Column, p: Column) -> Column:
-        at = state["at"] + F.length(p["head"])
-        length = F.length(p["body"]).cast("long")
-        span = F.struct(at.alias("start"), length.alias("length"))
+        span = F.struct((state["at"] + p["head"]).alias("start"), p["body"].alias("length"))
         return F.struct(
-            (at + length + F.length(p["tail"])).alias("at"),
+            (state["at"] + p["whole"]).alias("at"),
             F.when(p["loss"], F.concat(state["spans"], F.array(span)))
             .otherwise(state["spans"])
             .alias("spans"),
         )
 
-    whole = F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"]))
-    return pieces.select(
-        "conv_id",
-        F.array_join(whole, "").alias("formatted"),
-        F.aggregate("pieces", start, step)["spans"].alias("loss_spans"),
+    def spans(run: Column, number: Column) -> Column:
+        before = F.aggregate(F.slice("totals", 1, number), _zero(), lambda s, t: s + t)
+        none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+        return F.aggregate(run, F.struct(before.alias("at"), none.alias("spans")), step)["spans"]
+
+    return totals.select(
+        "conv_id", "formatted", F.flatten(F.transform("runs", spans)).alias("loss_spans")
     )
 
 
+def _zero() -> Column:
+    return F.lit(0).cast("long")
+
+
+def _runs(array: Column) -> Column:
+    """The array in about as many runs as a run has elements; no runs if it is empty."""
+    size = F.size(array)
+    width = F.ceil(F.sqrt(size)).cast("int")
+    last = F.floor((size - 1) / width).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(array, c * width + 1, width))
+    return F.when(size > 0, cut).otherwise(F.slice(F.array(array), 1, 0))
+
+
 def parse_chats(chats: DataFrame, keep: bool = False) -> DataFrame:
     """``conv_id, turns array<struct<role, text>>``, read back from ``formatted`` alone.
 
@@ -118,10 +146,25 @@ def parse_chats(chats: DataFrame, keep: bool = False) -> DataFrame:
 
 
 def masked_texts(formatted: Column, spans: Column) -> Column:
-    """The unescaped texts under the loss mask."""
-    return F.transform(
-        spans,
-        lambda s: unescape(
-            F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))
-        ),
-    )
+    """The unescaped texts under the loss mask.
+
+    Each run of spans is cut from the string at once, and its texts from that cut.
+    """
+
+    def cut(run: Column) -> Column:
+        first, last = F.element_at(run, 1)["start"], F.element_at(run, -1)
+        size = last["start"] + last["length"] - first
+        part = F.substring(formatted, (first + 1).cast("int"), size.cast("int"))
+        return F.struct(first.alias("first"), part.alias("part"), run.alias("run"))
+
+    def texts(c: Column) -> Column:
+        return F.transform(
+            c["run"],
+            lambda s: unescape(
+                F.substring(
+                    c["part"], (s["start"] - c["first"] + 1).cast("int"), s["length"].cast("int")
+                )
+            ),
+        )
+
+    return F.flatten(F.transform(F.transform(_runs(spans), cut), texts))

@@ -1,6 +1,7 @@
 """Chat formatting and sharding: round trips, edges, plans without Python."""
 
 import hashlib
+import time
 import zlib
 from collections import defaultdict
 
@@ -51,6 +52,18 @@ def test_merging_order_and_nulls(spark):
     assert chat.format_chats(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_many_turns_take_linear_time(spark):
+    def rows(n):
+        return [(c, t, "assistant" if t % 2 else "user", f"turn {t} <of> [{c}] \\") for c in range(2) for t in range(n)]
+
+    assert _read_back(spark, rows(3))[0][1] == ["turn 1 <of> [0] \\"]  # warm
+    begin = time.monotonic()
+    out = _read_back(spark, rows(16_000))
+    assert time.monotonic() - begin < 30  # minutes, were every span cut from the start
+    for c, (turns, loss, _) in out.items():
+        assert turns == [(r, t) for k, _, r, t in rows(16_000) if k == c] and loss == [t for r, t in turns if r == "assistant"]
+
+
 def test_query_digests(spark, sf_dir="/root/testdata/sf0.001"):
     given_rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
     convs = defaultdict(list)
