@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.session import checkpoint_dir, ship_package
@@ -26,3 +27,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path in the shared folder, and the path's name there."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
