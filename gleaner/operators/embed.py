@@ -3,6 +3,7 @@
 An embedder is any object with ``embed_batch(texts) -> vectors``: one vector per
 text, or one list of token vectors per text, which is then mean-pooled. What travels
 to the tasks is a factory, called once per task, so a model is loaded where it runs.
+An embedder class with ``vector_of(column)`` is a column expression and needs no Python.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -18,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions.text import TOKEN_PATTERN, empty_to_null, is_blank, strip
+from gleaner.functions.text import SEPARATORS, TOKEN_PATTERN, empty_to_null, is_blank, strip
+from gleaner.functions.vectors import dense_counts, l2_normalize
 from gleaner.session import ship_package
 from gleaner.settings import ENCODE_BATCH, VECTOR_DIM
 
@@ -55,6 +58,23 @@ class HashingEmbedder:
             out /= np.where(norms == 0, 1, norms)
         return out
 
+    def vector_of(self, text: Column | str) -> Column:
+        """The same as an expression over a text column; null counts as empty."""
+        text = F.col(text) if isinstance(text, str) else text
+        words = F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS)
+        vector = dense_counts(F.transform(F.array_remove(words, ""), self._bucket_column), self.dim)
+        return l2_normalize(vector).cast("array<float>") if self.normalize else vector
+
+    def _bucket_column(self, word: Column) -> Column:
+        number = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint")
+        return F.pmod(number, F.lit(self.dim)).cast("int")
+
+
+def native_embedder(factory: Callable[[], Embedder]):
+    """The embedder itself where its class (alone or in a ``partial``) is an expression."""
+    made = factory.func if isinstance(factory, partial) else factory
+    return factory() if hasattr(made, "vector_of") else None
+
 
 def embedding_text(title: Column, summary: Column) -> Column:
     empty = F.lit("")
@@ -85,7 +105,12 @@ def embed_column(
     dim: int | None = None,
     batch_size: int = ENCODE_BATCH,
 ) -> DataFrame:
-    """Add ``vector``. Only the text column crosses to Python."""
+    """Add ``vector``. Only the text column crosses to Python, and only for a model."""
+    native = native_embedder(factory)
+    if native is not None:
+        if dim is not None and native.dim != dim:
+            raise ValueError(f"vectors of dimension {native.dim}, expected {dim}")
+        return df.withColumn("vector", native.vector_of(text))
     ship_package(df.sparkSession)
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.audit import pending_articles
 from gleaner.operators.embed import Embedder, embed_column, points_to_embed
-from gleaner.settings import ENCODE_BATCH, VECTOR_DIM
+from gleaner.settings import ENCODE_BATCH, SLICE_ROWS, VECTOR_DIM
 from gleaner.sources.vector_store import VectorStore
 
 INCREMENTAL, FORCE, RECREATE = "incremental", "force", "recreate"
@@ -29,15 +30,16 @@ def build_vectors(
     factory: Callable[[], Embedder],
     mode: str = INCREMENTAL,
     dim: int = VECTOR_DIM,
-    slices: int = 1,
+    slices: int | None = None,
     batch_size: int = ENCODE_BATCH,
     max_rows: int | None = None,
 ) -> BuildReport:
     """Incremental: only ids the store lacks. Force: all again. Recreate: from empty.
 
-    Each of ``slices`` id slices is committed on its own. A rerun after a failure
-    picks up what is missing; finished slices are not encoded again. ``max_rows`` says
-    that ``articles`` is a delivery of at most so many rows.
+    Each of ``slices`` id slices is committed on its own; as many as ``SLICE_ROWS`` makes
+    of the work at hand, where not given. A rerun after a failure picks up what is missing;
+    finished slices are not encoded again. ``max_rows`` says that ``articles`` is a delivery
+    of at most so many rows.
     """
     if mode not in (INCREMENTAL, FORCE, RECREATE):
         raise ValueError(f"unknown mode {mode!r}")
@@ -51,7 +53,10 @@ def build_vectors(
     if mode == INCREMENTAL and already:
         todo = pending_articles(articles, store.ids(), max_rows)
 
-    todo = _each_id_once(todo)
+    todo, pending = _each_id_once(todo)
+    if not pending:
+        return BuildReport(0, 0, already)
+    slices = slices or math.ceil(pending / SLICE_ROWS)
 
     # Slices of a stored article table are made of its partitions, so each is read once.
     key = "bucket" if "bucket" in articles.columns else "id"
@@ -70,11 +75,13 @@ def build_vectors(
     return BuildReport(encoded, empty, already)
 
 
-def _each_id_once(articles: DataFrame) -> DataFrame:
-    """Of articles whose URLs share an id, the first; only ids are grouped."""
-    shared = articles.groupBy("id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    shared = shared.where("n > 1").select("id", "first")
-    if shared.isEmpty():
-        return articles
-    first = articles.join(shared, "id", "left").where("first IS NULL OR seq = first")
-    return first.drop("first")
+def _each_id_once(articles: DataFrame) -> tuple[DataFrame, int]:
+    """Of articles whose URLs share an id, the first, and the number of ids; only ids
+    are grouped."""
+    per_id = articles.groupBy("id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    ids, shared = per_id.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+    if not shared:
+        return articles, ids
+    twice = per_id.where("n > 1").select("id", "first")
+    first = articles.join(twice, "id", "left").where("first IS NULL OR seq = first")
+    return first.drop("first"), ids

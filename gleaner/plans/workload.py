@@ -723,11 +723,11 @@ class LengthScorer:
 def _rerank(t: Tables, scorer) -> DataFrame:
     checkpoint_dir(t.spark)
     asked = t.queries().where(~prepare.is_blank("query"))
-    n, size = asked.agg(F.count("*"), F.sum(F.octet_length("query"))).first()
+    n = asked.count()
     articles = t.stored_articles()
     vectors = t.built_vectors(articles)
     hits = knn.knn_batch(vectors, embed.embed_queries(asked, embedder).checkpoint())
-    return reranking.rerank(hits.checkpoint(), asked, articles, n * 30, size, scorer)
+    return reranking.rerank(hits.checkpoint(), asked, articles, n * 30, scorer)
 
 
 @query

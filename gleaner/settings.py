@@ -20,6 +20,9 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 # Query vectors shipped to the tasks in one go (32 MB at 1024 dimensions).
 QUERY_BLOCK_ROWS = 4096
 
+# A build commits its work in id slices of about so many articles.
+SLICE_ROWS = 10_000_000
+
 # Pages ending beyond this row leave the top-k plan (see operators.paging).
 TOP_K_PAGE_ROWS = 100_000
 

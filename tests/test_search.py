@@ -1,3 +1,4 @@
+import math
 import sys
 
 import pytest
@@ -5,11 +6,13 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gleaner.operators import bounds, knn
+from gleaner.operators import rerank as reranking
 from gleaner.operators.audit import index_audit, orphan_ids, pending_articles, pending_ids
 from gleaner.operators.embed import HashingEmbedder
 from gleaner.operators.hydrate import lookup_content
 from gleaner.operators.prepare import prepare_articles
 from gleaner.operators.rerank import apply_scores, extract_score, passage, rerank, score_or_none
+from gleaner.plans import build_vectors as building
 from gleaner.plans.build_vectors import FORCE, RECREATE, BuildReport, build_vectors
 from gleaner.plans.semantic_search import as_list_items, list_envelopes, semantic_search
 from gleaner.sources.article_store import ArticleStore
@@ -225,6 +228,26 @@ def test_rerun_after_failure_completes(articles, store):
     assert store.count() == 40
 
 
+def test_slices_by_size_keep_all_but_the_last(articles, store, monkeypatch):
+    """Without a number of slices the work at hand decides; what was done stays."""
+    monkeypatch.setattr(building, "SLICE_ROWS", 10)
+    last = [r["tieu_de"] for r in articles.where("pmod(id, 4) = 3").collect()]
+
+    class Down:
+        def embed_batch(self, texts):
+            if any(t.split("\n")[0] in last for t in texts):
+                raise RuntimeError("model down")
+            return model().embed_batch(texts)
+
+    with pytest.raises(Exception, match="model down"):
+        build_vectors(articles, store, Down, dim=DIM)
+    assert store.count() == 40 - len(last) > 0
+    assert build_vectors(articles, store, model, dim=DIM).encoded == len(last)
+    writes = len(store._commits())
+    assert build_vectors(articles, store, model, dim=DIM) == BuildReport(0, 0, 40)
+    assert len(store._commits()) == writes
+
+
 # --- audit ---
 
 
@@ -280,7 +303,7 @@ def hits(spark, articles):
 def test_fallback_is_per_query(spark, articles, hits):
     names = ["down", "short", "nan", "ties", "fine"]
     queries = queries_of(spark, *enumerate(names))
-    ranked = rerank(hits, queries, articles, 20, 100, Lengths).collect()
+    ranked = rerank(hits, queries, articles, 20, Lengths).collect()
     length = {r["id"]: len(r["summary"]) for r in articles.collect()}
     by_query = {}
     for r in sorted(ranked, key=lambda r: (r["query_id"], r["rank"])):
@@ -296,9 +319,40 @@ def test_fallback_is_per_query(spark, articles, hits):
     assert [r["id"] for r in by_query["fine"]] == expected
 
 
+@pytest.mark.parametrize("scorer", ["lexical", Lengths])
+@pytest.mark.parametrize("hits_per_salt, broadcast_bytes", [(10_000, 1 << 26), (2, 0)])
+def test_hot_articles_are_spread(
+    spark, articles, plan, monkeypatch, scorer, hits_per_salt, broadcast_bytes
+):
+    """One article wanted by every query; the plain scores come from Python."""
+    monkeypatch.setattr(reranking, "MEMBERS_PER_SALT", hits_per_salt)
+    monkeypatch.setattr(
+        reranking, "broadcast_if_bounded",
+        lambda df, rows, size: bounds.broadcast_if_bounded(df, rows, size, broadcast_bytes),
+    )
+    by_id = {r["id"]: r["summary"] for r in articles.collect()}
+    hot, *others = sorted(by_id)
+    asked = {q: " ".join(WORDS[q % 8 : q % 8 + q % 4]) + ", Alpha none" for q in range(30)}
+    asked |= {30: " ?", 31: None}
+    rows = [(q, i, 0.5 - n / 10, n + 1) for q in asked for n, i in enumerate([hot, 5, others[q]])]
+    hits = spark.createDataFrame(rows, "query_id bigint, id bigint, score double, rank int")
+    ranked = rerank(hits, queries_of(spark, *asked.items()), articles, len(rows), scorer)
+    got = {(r["query_id"], r["id"]): r["score"] for r in ranked.collect()}
+    assert len(got) == 64
+    if scorer != "lexical":
+        return
+    for (q, i), score in got.items():
+        if asked[q] is None:
+            assert score == {hot: 0.5, others[q]: 0.3}[i]
+            continue
+        words = set(asked[q].lower().replace(",", " ").replace("?", " ").split())
+        share = len(words & set(by_id[i].split())) / len(words) if words else 0
+        assert score == pytest.approx(1 / (1 + math.exp(-share)), abs=1e-6)
+
+
 def test_passthrough_closes_the_holes_of_orphans(spark, articles, hits):
     queries = queries_of(spark, (0, "x"))
-    ranked = rerank(hits.where("query_id = 0"), queries, articles, 20, 1, "passthrough")
+    ranked = rerank(hits.where("query_id = 0"), queries, articles, 20, "passthrough")
     assert sorted(r["rank"] for r in ranked.collect()) == [1, 2, 3]
 
 

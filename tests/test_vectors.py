@@ -1,4 +1,5 @@
 import sys
+from functools import partial
 
 import numpy as np
 import pytest
@@ -252,6 +253,25 @@ def test_hashing_embedder():
     assert np.isclose(np.linalg.norm(unit[0]), 1) and unit[1].sum() == 0
 
 
+@pytest.mark.parametrize("normalize", [False, True])
+@pytest.mark.parametrize("dim", [1, 5, 64])
+def test_hashing_embedder_as_an_expression(spark, plan, dim, normalize):
+    words = "a bb Ccc đồng ngày ÉTÉ 東京 naïve x1 -- '' cat".split()
+    rng = np.random.default_rng(dim)
+    texts = [" ".join(rng.choice(words, n)) for n in range(40)]
+    texts += ["", None, "  ", ".,;:!?\t\r\n", "Cat cat dog.", ",cat,", "a" * 5000, "ab cd " * 20000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    factory = partial(HashingEmbedder, dim, normalize)
+    native = embed_column(df, "t", factory, dim)
+    assert "Python" not in plan(native) and "Arrow" not in plan(native)
+    assert dict(native.dtypes)["vector"] == "array<float>"
+    got = [r["vector"] for r in native.orderBy("id").collect()]
+    expected = [r["vector"] for r in embed_column(df, "t", lambda: factory()).orderBy("id").collect()]
+    assert np.allclose(got, expected, rtol=1e-6, atol=0)
+    with pytest.raises(ValueError, match="expected"):
+        embed_column(df, "t", factory, dim + 1)
+
+
 def test_embed_column_keeps_order_and_batches(spark):
     sizes = []
 
