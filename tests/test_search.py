@@ -1,5 +1,6 @@
 import math
 import sys
+from functools import partial
 
 import pytest
 from pyspark import cloudpickle
@@ -303,7 +304,7 @@ def hits(spark, articles):
 def test_fallback_is_per_query(spark, articles, hits):
     names = ["down", "short", "nan", "ties", "fine"]
     queries = queries_of(spark, *enumerate(names))
-    ranked = rerank(hits, queries, articles, 20, Lengths).collect()
+    ranked = rerank(hits, queries, articles, 20, 100, Lengths).collect()
     length = {r["id"]: len(r["summary"]) for r in articles.collect()}
     by_query = {}
     for r in sorted(ranked, key=lambda r: (r["query_id"], r["rank"])):
@@ -322,21 +323,20 @@ def test_fallback_is_per_query(spark, articles, hits):
 @pytest.mark.parametrize("scorer", ["lexical", Lengths])
 @pytest.mark.parametrize("hits_per_salt, broadcast_bytes", [(10_000, 1 << 26), (2, 0)])
 def test_hot_articles_are_spread(
-    spark, articles, plan, monkeypatch, scorer, hits_per_salt, broadcast_bytes
+    spark, articles, monkeypatch, scorer, hits_per_salt, broadcast_bytes
 ):
     """One article wanted by every query; the plain scores come from Python."""
     monkeypatch.setattr(reranking, "MEMBERS_PER_SALT", hits_per_salt)
-    monkeypatch.setattr(
-        reranking, "broadcast_if_bounded",
-        lambda df, rows, size: bounds.broadcast_if_bounded(df, rows, size, broadcast_bytes),
-    )
+    for name in ("broadcast_if_bounded", "is_bounded"):
+        limited = partial(getattr(bounds, name), limit=broadcast_bytes)
+        monkeypatch.setattr(reranking, name, limited)
     by_id = {r["id"]: r["summary"] for r in articles.collect()}
     hot, *others = sorted(by_id)
     asked = {q: " ".join(WORDS[q % 8 : q % 8 + q % 4]) + ", Alpha none" for q in range(30)}
     asked |= {30: " ?", 31: None}
     rows = [(q, i, 0.5 - n / 10, n + 1) for q in asked for n, i in enumerate([hot, 5, others[q]])]
     hits = spark.createDataFrame(rows, "query_id bigint, id bigint, score double, rank int")
-    ranked = rerank(hits, queries_of(spark, *asked.items()), articles, len(rows), scorer)
+    ranked = rerank(hits, queries_of(spark, *asked.items()), articles, len(rows), 1000, scorer)
     got = {(r["query_id"], r["id"]): r["score"] for r in ranked.collect()}
     assert len(got) == 64
     if scorer != "lexical":
@@ -352,7 +352,7 @@ def test_hot_articles_are_spread(
 
 def test_passthrough_closes_the_holes_of_orphans(spark, articles, hits):
     queries = queries_of(spark, (0, "x"))
-    ranked = rerank(hits.where("query_id = 0"), queries, articles, 20, "passthrough")
+    ranked = rerank(hits.where("query_id = 0"), queries, articles, 20, 1, "passthrough")
     assert sorted(r["rank"] for r in ranked.collect()) == [1, 2, 3]
 
 
