@@ -1,16 +1,15 @@
-"""Approximate nearest neighbours by vantage-point trees, one per shard.
+"""Nearest neighbours by vantage-point trees, one per shard.
 
 The largest inner product becomes the smallest distance once every vector gets one more
 coordinate that brings it to the length of the longest. Each shard's tree halves its
 vectors by their distance from a vantage point. A query leaves out a half if the triangle
 inequality, with the distance of its worst hit so far times ``factor``, says that nothing
-nearer lies there. Factor one makes the search exact; less prunes more. How much less
-depends on the vectors, so by default each task takes the least of ``FACTORS`` that finds
-``TUNED_RECALL`` of the true neighbours of a few of its queries.
+nearer lies there. Factor one, the default, makes the search exact; less prunes more and
+misses more, how much more depends on the vectors.
 
 A task holds one shard (bounded in bytes), builds its tree once and lets the queries
 stream past it. Shards are made of vectors of like magnitude, so that a very long vector
-takes no precision from short ones; each shard scales its own.
+takes no precision from short ones; each shard scales its own, by a power of two.
 """
 
 import math
@@ -24,14 +23,14 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.workers import ready
 
-LEAF = 128
-FACTORS = (0.1, 0.15, 0.25, 0.4, 0.6, 0.8)
-#: So many queries of a task are answered by brute force as well to choose its factor.
-TUNING_QUERIES = 64
-TUNED_RECALL = 0.97
+LEAF = 512
 SHARD_BYTES = 32 << 20
 MIN_SHARD_ROWS = 8192
 QUERY_BLOCK = 4096
+#: Queries of which a leaf's scores are held at once.
+SCANNED = 256
+#: More than the relative error of a product or a squared distance.
+ROUNDING = 1e-12
 #: Powers of two of the largest component that one shard spans.
 BAND = 32
 
@@ -41,6 +40,7 @@ class VpTree:
 
     def __init__(self, points: np.ndarray, seed: int = 7) -> None:
         self.points = points
+        self.lengths = np.linalg.norm(points, axis=1)
         random = np.random.default_rng(seed)
         self.nodes: list[tuple] = []
         self.root = self._build(np.arange(len(points)), random)
@@ -73,14 +73,15 @@ class VpTree:
         self.queries, self.own, self.ids, self.k, self.factor = queries, own, ids, k, factor
         self.scores = np.full((len(queries), k), -np.inf)
         self.rows = np.full((len(queries), k), -1, dtype=np.int64)
-        lengths = np.einsum("ij,ij->i", self.points, self.points).max(initial=0.0)
-        self.squares = np.einsum("ij,ij->i", queries, queries) + lengths
+        self.query_lengths = np.linalg.norm(queries, axis=1)
+        self.squares = self.query_lengths**2 + self.lengths.max(initial=0.0) ** 2
         self._visit(self.root, np.arange(len(queries)))
         return self.scores, self.rows
 
     def _worst(self, active: np.ndarray) -> np.ndarray:
-        """Distance of the k-th hit so far."""
-        return np.sqrt(np.maximum(self.squares[active] - 2 * self.scores[active, -1], 0.0))
+        """Distance of the k-th hit so far, and a little more than the rounding errors."""
+        squares = self.squares[active]
+        return np.sqrt(np.maximum(squares - 2 * self.scores[active, -1], 0.0) + ROUNDING * squares)
 
     def _visit(self, number: int, active: np.ndarray) -> None:
         if not len(active):
@@ -101,36 +102,31 @@ class VpTree:
             self._visit(second, some[gaps <= self.factor * self._worst(some)])
 
     def _scan(self, rows: np.ndarray, active: np.ndarray) -> None:
-        # Rounded, so that equal vectors tie wherever the product was computed.
-        found = np.round(self.queries[active] @ self.points[rows].T, 12)
-        found[self.own[active][:, None] == self.ids[rows][None, :]] = -np.inf
-        scores = np.concatenate([self.scores[active], found], axis=1)
+        # The product tells which pairs can enter; only they get their score, summed in one
+        # order, so that equal vectors tie.
+        found = self.queries[active] @ self.points[rows].T
+        found += np.outer(ROUNDING * self.query_lengths[active], self.lengths[rows])
+        near = found >= self.scores[active, -1:]
+        near &= self.own[active][:, None] != self.ids[rows][None, :]
+        some = np.flatnonzero(near.any(axis=1))
+        for start in range(0, len(some), SCANNED):
+            self._merge(rows, active, near, some[start : start + SCANNED])
+
+    def _merge(self, rows: np.ndarray, active: np.ndarray, near: np.ndarray, some: np.ndarray) -> None:
+        nth, place = np.nonzero(near[some])
+        scores = np.full((len(some), len(rows)), -np.inf)
+        scores[nth, place] = np.einsum(
+            "ij,ij->i", self.queries[active[some[nth]]], self.points[rows[place]]
+        )
+        chosen = active[some]
+        scores = np.concatenate([self.scores[chosen], scores], axis=1)
         which = np.concatenate(
-            [self.rows[active], np.broadcast_to(rows, (len(active), len(rows)))], axis=1
+            [self.rows[chosen], np.broadcast_to(rows, (len(some), len(rows)))], axis=1
         )
         order = np.lexsort((which, -scores), axis=1)[:, : self.k]
-        self.scores[active] = np.take_along_axis(scores, order, 1)
+        self.scores[chosen] = np.take_along_axis(scores, order, 1)
         which = np.take_along_axis(which, order, 1)
-        self.rows[active] = np.where(np.isneginf(self.scores[active]), -1, which)
-
-
-def tuned_factor(
-    tree: VpTree, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int
-) -> float:
-    """The least factor with enough recall on a few evenly spaced queries; one if none has."""
-    some = np.linspace(0, len(queries) - 1, min(len(queries), TUNING_QUERIES)).astype(int)
-    queries, own = queries[some], own[some]
-    wanted = tree.search(queries, own, ids, k, 1.0)[0]
-    total = np.isfinite(wanted).sum()
-    for factor in FACTORS:
-        found = tree.search(queries, own, ids, k, factor)[0]
-        # Scores stand for rows: equal scores are equally near.
-        hits = sum(
-            (np.isin(f, w) & np.isfinite(f)).sum() for f, w in zip(found, wanted, strict=True)
-        )
-        if hits >= TUNED_RECALL * total:
-            return factor
-    return 1.0
+        self.rows[chosen] = np.where(np.isneginf(self.scores[chosen]), -1, which)
 
 
 _HITS = "query_id bigint, vec_id bigint, score double"
@@ -144,28 +140,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.ascontiguousarray(values, dtype=np.float64).reshape(len(column), -1)
 
 
+def _power_of_two(largest: np.ndarray) -> np.ndarray:
+    """The power of two that brings a number to between one half and one."""
+    return -np.frexp(largest)[1]
+
+
 class Shard:
     """The vectors of one shard and their tree."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        # Scaled, squares neither overflow nor vanish; scores come from the originals.
-        scaled = self.vectors / np.abs(self.vectors).max()
+        # Scaled, squares neither overflow nor vanish; a power of two rounds nothing, so
+        # scores stand in the order of the originals.
+        scaled = np.ldexp(self.vectors, _power_of_two(np.abs(self.vectors).max()))
         squares = np.einsum("ij,ij->i", scaled, scaled)
         missing = np.maximum(squares.max() - squares, 0.0)
         self.tree = VpTree(np.column_stack([scaled, np.sqrt(missing)]))
-        self.factor: float | None = None
 
     def search(
-        self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float | None
+        self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float
     ) -> pa.RecordBatch:
-        scaled = queries / np.abs(queries).max(axis=1, keepdims=True)
+        scaled = np.ldexp(queries, _power_of_two(np.abs(queries).max(axis=1, keepdims=True)))
         wide = np.column_stack([scaled, np.zeros(len(scaled))])
-        if factor is None:
-            if self.factor is None:
-                self.factor = tuned_factor(self.tree, wide, query_ids, self.ids, k)
-            factor = self.factor
         _, rows = self.tree.search(wide, query_ids, self.ids, k, factor)
         query, place = np.nonzero(rows >= 0)
         row = rows[query, place]
@@ -181,7 +178,7 @@ _KEY = ("width", "band", "shard")
 
 
 def _search(
-    batches: Iterator[pa.RecordBatch], k: int, factor: float | None
+    batches: Iterator[pa.RecordBatch], k: int, factor: float
 ) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by shard, the vectors of a shard before its queries."""
     held_key, parts, shard = None, [], None
@@ -221,7 +218,7 @@ def nearest(
     """``query_id, rank, vec_id, score``: the k nearest found for each query row.
 
     ``vectors`` has vec_id and vector (array of numbers); ``queries`` is the condition that
-    makes a row a query. ``factor`` is tuned on a few queries of each task if not given.
+    makes a row a query. ``factor`` is one, which is exact, if not given.
     Nearness is the largest inner product, in double precision; ties
     go to the smaller id. A query's own id is no candidate.
 
@@ -265,7 +262,7 @@ def nearest(
     )
     together = candidates.unionByName(asked).repartition(shards * len(bands), *_KEY)
     ordered = together.sortWithinPartitions(*_KEY, "asked")
-    hits = ordered.mapInArrow(partial(_search, k=k, factor=factor), _HITS)
+    hits = ordered.mapInArrow(partial(_search, k=k, factor=1.0 if factor is None else factor), _HITS)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -96,3 +96,27 @@ def test_magnitudes_far_apart(spark):
     for q, found in got.items():
         scores = [(-float(vectors[q] @ v), i) for i, v in enumerate(vectors) if i != q]
         assert found == [i for _, i in sorted(scores)[:20]]
+
+
+@pytest.mark.parametrize("kind", ["unit", "clusters", "one long"])
+def test_default_is_exact_on_any_rows(spark, kind):
+    """Also where the first batch of a shard ends with its first query."""
+    random = np.random.default_rng(11)
+    vectors = random.normal(size=(1500, 24))
+    if kind == "unit":
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    elif kind == "clusters":
+        vectors = vectors[:30][random.integers(30, size=1500)] + 0.05 * vectors
+    else:
+        vectors[7] *= 1e8
+    rows = [(i, v.astype("f4").tolist(), "", 0) for i, v in enumerate(vectors)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, len(rows) + 1)
+    try:
+        got = _search(spark, rows, None)
+    finally:
+        spark.conf.unset(size)
+    exact = [(i, np.array(v, dtype=float)) for i, v, *_ in rows]
+    for q, x in exact[::20]:
+        scores = sorted((-float(np.einsum("i,i->", x, y)), i) for i, y in exact if i != q)
+        assert got[q] == [i for _, i in scores[:20]]
