@@ -10,8 +10,8 @@ so every path returns the same rows whatever the summation order.
 
 No pair is ever emitted: only the k best rows of a query and task or group leave it. One
 block of queries is shipped to the tasks and the corpus stays where it is. More queries
-never pass the driver: a task holds one group of corpus rows (bounded) and the queries
-of that group stream past it.
+never pass the driver: a task holds a part of the corpus rows (bounded) and a lane of the
+queries streams past it.
 """
 
 from __future__ import annotations
@@ -40,7 +40,12 @@ ROWS_PER_STEP = 1024  # corpus rows and queries scored at once
 QUERIES_PER_STEP = 2048
 MERGE_TASKS = 512  # lists per query that one task merges
 LISTED_CELLS = 4096
-GROUP_BYTES = 64 << 20  # corpus rows that a task holds, as doubles
+GROUP_BYTES = 128 << 20  # corpus rows that a task holds, as doubles
+TASKS_PER_CORE = 3
+#: Products that make a task worth its start, and those that are enough for one.
+LEAST_WORK, MOST_WORK = 1 << 32, 1 << 40
+LANE_ROWS = 1 << 16  # queries of a cell that one task takes
+TASK_ROWS = 1 << 17  # rows and queries that a task of several cells takes
 
 
 def knn_one(
@@ -91,33 +96,76 @@ def knn_grid(
 
     The corpus is dealt into groups of about ``group_bytes``. Of g groups, the first √g are
     searched by all queries alone; the k-th score found there is a floor that a row of the
-    other groups must reach, so that far less than k rows per group leave them.
+    other groups must reach, so that far less than k rows per task leave them.
+
+    Each of both rounds is a grid of tasks: as many parts of the corpus as its size in
+    memory needs, groups or not, by as many lanes of queries as the work needs. A row is
+    sent once per lane and a query once per part.
     """
-    ship_package(corpus.sparkSession)
-    checkpoint_dir(corpus.sparkSession)
+    spark = corpus.sparkSession
+    ship_package(spark)
+    checkpoint_dir(spark)
     n, width = corpus.agg(F.count("*"), F.max(F.size("vector"))).first()
-    groups = max(1, math.ceil(n * 8 * (width or 1) / group_bytes))
+    width = width or 1
+    groups = max(1, math.ceil(n * 8 * width / group_bytes))
     first = math.ceil(math.sqrt(groups))
-    dealt = F.pmod(F.xxhash64("id"), F.lit(groups))
-    rows = corpus.select(dealt.alias("cell"), F.lit(0).alias("part"), "id", "vector")
+    held = F.pmod(F.xxhash64("id"), F.lit(groups))
+    rows = corpus.select(held.alias("group"), "id", "vector")
     asked = queries.select(F.col("query_id").alias("id"), "vector")
-
-    def search(floors: DataFrame, start: int, stop: int) -> DataFrame:
-        every = F.sequence(F.lit(start).cast("long"), F.lit(stop - 1).cast("long"))
-        there = floors.withColumn("cell", F.explode(every)).withColumn("part", F.lit(0))
-        here = rows.where(F.col("cell").between(start, stop - 1))
-        return _stream_past(here, there, k, threshold, stop - start)
+    n_asked = max(asked.count(), 1)
+    cores = spark.sparkContext.defaultParallelism
+
+    def search(floors: DataFrame, start: int, stop: int) -> tuple[DataFrame, int]:
+        n_rows = n * (stop - start) / groups
+        parts, lanes = _grid(n_rows, n_asked, width, TASKS_PER_CORE * cores)
+        here = rows.where(F.col("group").between(start, stop - 1)).select(
+            F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).alias("part"),
+            F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
+            "id",
+            "vector",
+        )
+        there = floors.select(
+            F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
+            F.pmod(F.xxhash64("id"), F.lit(lanes)).alias("lane"),
+            "id",
+            "vector",
+            "floor",
+        )
+        task = (F.col("part") * lanes + F.col("lane")).cast("int")
+        both = _sides(here, there, F.lit(0))
+        dealt = both.withColumn("task", task).repartitionById(parts * lanes, "task")
+        return _stream_past(dealt, k, threshold), parts
 
     no_floor = F.lit(None).cast("double").alias("floor")
-    sampled = top_k_per_query(search(asked.select("*", no_floor), 0, first), k, first)
+    hits, parts = search(asked.select("*", no_floor), 0, first)
+    sampled = top_k_per_query(hits, k, parts)
     if first == groups:
         return sampled
     sampled = sampled.checkpoint()
     worst = sampled.where(F.col("rank") == k).select(
         F.col("query_id").alias("id"), F.col("score").alias("floor")
     )
-    rest = search(asked.join(worst, "id", "left"), first, groups)
-    return top_k_per_query(sampled.drop("rank").unionByName(rest), k, groups)
+    rest, parts = search(asked.join(worst, "id", "left"), first, groups)
+    return top_k_per_query(sampled.drop("rank").unionByName(rest), k, parts + 1)
+
+
+def _grid(n_rows: float, n_queries: int, width: int, most_tasks: int) -> tuple[int, int]:
+    """Parts of the corpus and lanes of queries that make a round's grid.
+
+    No part is larger than ``GROUP_BYTES``. There are ``most_tasks`` cells where the work is
+    worth them, more where a cell would have too much; as square as the sides allow, with
+    fewer parts, since the hits of every part leave it.
+    """
+    work = n_rows * n_queries * width
+    tasks = max(min(most_tasks, math.ceil(work / LEAST_WORK)), math.ceil(work / MOST_WORK), 1)
+    parts = max(
+        math.ceil(n_rows * 8 * width / GROUP_BYTES),
+        math.floor(math.sqrt(tasks * n_rows / (2 * n_queries))),
+        1,
+    )
+    return min(parts, max(tasks, math.ceil(n_rows * 8 * width / GROUP_BYTES))), max(
+        math.ceil(tasks / parts), 1
+    )
 
 
 def knn_lsh(
@@ -139,63 +187,92 @@ def knn_lsh(
     spark = index.sparkSession
     ship_package(spark)
     checkpoint_dir(spark)
-    asked = (
-        queries.select("query_id", "vector")
-        .mapInArrow(_prober(planes, probes), "cell bigint, id bigint, vector array<double>")
-        .checkpoint()
+    kind = queries.schema["vector"].dataType.simpleString()
+    probed = queries.select("query_id", "vector").mapInArrow(
+        _prober(planes, probes), f"id bigint, vector {kind}, cells array<bigint>"
     )
-    wanted = asked.select("cell").distinct()
+    probed = probed.checkpoint()
+    asked = probed.select(F.explode("cells").alias("cell"), "id", "vector")
+    wanted = asked.groupBy("cell").agg(F.count("*").alias("n_asked"))
     n_cells = wanted.count()
     if n_cells <= LISTED_CELLS:
         # As values they keep the folders of other cells unread.
         rows = index.where(F.col("cell").isin([row["cell"] for row in wanted.collect()]))
     else:
-        rows = index.join(broadcast_if_bounded(wanted, n_cells, 32), "cell", "left_semi")
+        rows = index.join(
+            broadcast_if_bounded(wanted.select("cell"), n_cells, 32), "cell", "left_semi"
+        )
     rows = rows.select(F.col("cell").cast("long").alias("cell"), "id", "vector")
     most = max(1, group_bytes // (8 * planes.shape[1]))
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > most).select(
-        "cell", F.ceil(F.col("n") / F.lit(most)).cast("int").alias("parts")
-    )
-    large = large.checkpoint()
+    parts = F.ceil(F.col("n") / F.lit(most)).cast("int")
+    lanes = F.ceil(F.col("n_asked") / F.lit(LANE_ROWS)).cast("int")
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).join(wanted, "cell")
+    sizes = sizes.withColumns({"parts": parts, "lanes": lanes})
+    streamed, groups = sizes.agg(
+        F.sum(F.col("n") * F.col("lanes") + F.col("n_asked") * F.col("parts")),
+        F.sum(F.col("parts") * F.col("lanes")),
+    ).first()
+    large = sizes.where("parts > 1 OR lanes > 1").select("cell", "parts", "lanes").checkpoint()
     n_large = large.count()
 
     def split(df: DataFrame) -> DataFrame:
         told = df.join(broadcast_if_bounded(large, n_large, 32), "cell", "left")
-        return told.withColumn("parts", F.coalesce("parts", F.lit(1)))
+        one = F.lit(1)
+        return told.withColumns(
+            {"parts": F.coalesce("parts", one), "lanes": F.coalesce("lanes", one)}
+        )
 
+    nth = F.xxhash64("id")
     here = split(rows).select(
-        "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "vector"
+        "cell",
+        F.pmod(nth, F.col("parts")).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"),
+        "id",
+        "vector",
     )
     there = split(asked).select(
         "cell",
         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.pmod(nth, F.col("lanes")).alias("lane"),
         "id",
         "vector",
         F.lit(None).cast("double").alias("floor"),
     )
-    tasks = max(n_cells + n_large, 1)
-    return top_k_per_query(_stream_past(here, there, k, threshold, tasks), k)
+    given = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(groups or 1, given), math.ceil((streamed or 0) / TASK_ROWS))
+    dealt = _sides(here, there, F.col("cell")).repartition(tasks, "cell", "part", "lane")
+    return top_k_per_query(_stream_past(dealt, k, threshold), k)
 
 
-def _stream_past(
-    rows: DataFrame, queries: DataFrame, k: int, threshold: float | None, groups: int
-) -> DataFrame:
-    """Hits of ``queries`` (cell, part, id, vector, floor) among ``rows`` of their group.
+def _sides(rows: DataFrame, queries: DataFrame, cell: Column) -> DataFrame:
+    """``rows`` and ``queries`` of groups named by (cell, part, lane), as one table.
 
-    A group is a (cell, part); a task takes its groups one after the other.
+    Vectors stay floats where both sides have floats: half the bytes to send and hold.
     """
-    spark = rows.sparkSession
-    doubles = F.col("vector").cast("array<double>").alias("vector")
-    none = F.lit(None).cast("double").alias("floor")
-    columns = ["cell", "part", "side", "id", "vector", "floor"]
-    both = (
-        rows.withColumn("side", F.lit(0))
-        .select("cell", "part", "side", "id", doubles, none)
-        .unionByName(queries.withColumn("side", F.lit(1)).select("cell", "part", "side", "id", doubles, "floor"))
-    )
-    tasks = min(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = both.repartition(max(tasks, 1), "cell", "part").sortWithinPartitions(*columns[:3])
+    kinds = {df.schema["vector"].dataType.simpleString() for df in (rows, queries)}
+    kind = "array<float>" if kinds == {"array<float>"} else "array<double>"
+
+    def side(df: DataFrame, number: int, floor: Column) -> DataFrame:
+        return df.select(
+            cell.cast("long").alias("cell"),
+            F.col("part").cast("long").alias("part"),
+            F.col("lane").cast("long").alias("lane"),
+            F.lit(number).alias("side"),
+            "id",
+            F.col("vector").cast(kind).alias("vector"),
+            floor.alias("floor"),
+        )
+
+    return side(rows, 0, F.lit(None).cast("double")).unionByName(side(queries, 1, F.col("floor")))
+
+
+def _stream_past(dealt: DataFrame, k: int, threshold: float | None) -> DataFrame:
+    """Hits of the queries among the rows of their group, from what :func:`_sides` made.
+
+    A task takes its groups one after the other.
+    """
+    ordered = dealt.select("cell", "part", "lane", "side", "id", "vector", "floor")
+    ordered = ordered.sortWithinPartitions("cell", "part", "lane", "side")
     return ordered.mapInArrow(_grid_scorer(k, threshold), HITS_DDL)
 
 
@@ -274,15 +351,11 @@ def _prober(planes: np.ndarray, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             matrix = to_matrix(batch.column(1), planes.shape[1])
-            for at, projected in enumerate(matrix @ planes.T):
-                cells = best_cells(projected, probes)
-                row = pa.array([matrix[at]], pa.list_(pa.float64()))
-                columns = [
-                    pa.array(cells, pa.int64()),
-                    pa.array(np.full(len(cells), batch.column(0)[at].as_py()), pa.int64()),
-                    row.take(pa.array(np.zeros(len(cells), dtype=np.int64))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["cell", "id", "vector"])
+            cells = [best_cells(projected, probes) for projected in matrix @ planes.T]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(cells, pa.list_(pa.int64()))],
+                names=["id", "vector", "cells"],
+            )
 
     return run
 
@@ -300,8 +373,9 @@ def _whole(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(column.chunks)
 
 
-def to_matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:
-    """List array to a float64 matrix; rows of unequal length are an error."""
+def to_matrix(vectors: pa.Array, dim: int | None = None, kind=np.float64) -> np.ndarray:
+    """List array to a matrix, of doubles if not told otherwise (None: as given); rows of
+    unequal length are an error."""
     if not len(vectors):
         return np.zeros((0, dim or 0))
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
@@ -310,7 +384,7 @@ def to_matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:
         raise ValueError("vectors are missing or differ in dimension")
     if dim is not None and lengths[0] != dim:
         raise ValueError(f"vectors of dimension {lengths[0]}, expected {dim}")
-    return flat.astype(np.float64).reshape(len(vectors), -1)
+    return flat.astype(kind or flat.dtype).reshape(len(vectors), -1)
 
 
 # --- in the tasks ----------------------------------------------------------------
@@ -419,14 +493,22 @@ class PreparedQueries:
 
 
 def _squared_and_unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    squared = np.einsum("ij,ij->i", matrix, matrix)
-    norms = np.sqrt(squared)
-    unit = matrix / np.where(norms == 0, 1, norms)[:, None]
-    return squared, unit.astype(np.float32)
+    """Squared lengths and single-precision unit vectors; floats become doubles by steps."""
+    squared, unit = np.zeros(len(matrix)), np.empty(matrix.shape, np.float32)
+    for start in range(0, len(matrix), ROWS_PER_STEP):
+        step = slice(start, start + ROWS_PER_STEP)
+        exact = matrix[step].astype(np.float64, copy=False)
+        squared[step] = np.einsum("ij,ij->i", exact, exact)
+        norms = np.sqrt(squared[step])
+        unit[step] = exact / np.where(norms == 0, 1, norms)[:, None]
+    return squared, unit
 
 
 class PreparedRows:
-    """Corpus rows in order of their ids, with what scoring derives from them once."""
+    """Corpus rows in order of their ids, with what scoring derives from them once.
+
+    Vectors may be floats; scores are made from doubles all the same.
+    """
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
@@ -450,14 +532,15 @@ def score_into(
             near = queries.unit[part] @ rows.unit[step].T >= best.cutoff(part, queries.dim)[:, None]
             hits = np.count_nonzero(near)
             if hits > near.size // 16:
-                products = queries.vectors[part] @ rows.vectors[step].T
+                products = queries.vectors[part] @ rows.vectors[step].astype(np.float64, copy=False).T
                 norms = queries.squared[part][:, None] * rows.squared[step][None, :]
                 best.add_all(part, micro_cosine(products, norms), rows.ids[step])
             elif hits:
                 nth, row = np.nonzero(near)
                 row += start
                 asked = part[nth]
-                products = np.einsum("ij,ij->i", queries.vectors[asked], rows.vectors[row])
+                wanted = rows.vectors[row].astype(np.float64, copy=False)
+                products = np.einsum("ij,ij->i", queries.vectors[asked], wanted)
                 scores = micro_cosine(products, queries.squared[asked] * rows.squared[row])
                 best.add_some(part, nth, scores, rows.ids[row])
 
@@ -481,16 +564,17 @@ def _grid_scorer(k: int, threshold: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, parts, rows = None, [], None
         for batch in batches:
-            keys = np.column_stack([batch.column(c).to_numpy() for c in range(3)])
+            keys = np.column_stack([batch.column(c).to_numpy() for c in range(4)])
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-                if tuple(keys[a, :2]) != group:
-                    group, parts, rows = tuple(keys[a, :2]), [], None
+                if tuple(keys[a, :3]) != group:
+                    group, parts, rows = tuple(keys[a, :3]), [], None
                 part = batch.slice(a, b - a)
-                ids, matrix = part.column(3).to_numpy(), to_matrix(part.column(4))
-                if keys[a, 2] == 0:
-                    parts.append((ids, matrix))
+                ids = part.column(4).to_numpy()
+                if keys[a, 3] == 0:
+                    parts.append((ids, to_matrix(part.column(5), kind=None)))
                     continue
+                matrix = to_matrix(part.column(5))
                 if parts:
                     rows = PreparedRows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                     parts = []
@@ -498,7 +582,7 @@ def _grid_scorer(k: int, threshold: float | None):
                     continue
                 if matrix.shape[1] != rows.vectors.shape[1]:
                     raise ValueError("vectors differ in dimension")
-                floors = part.column(5).to_numpy(zero_copy_only=False).astype(np.float64)
+                floors = part.column(6).to_numpy(zero_copy_only=False).astype(np.float64)
                 floors = np.where(np.isnan(floors), NO_SCORE, np.rint(floors * MICRO))
                 for at in range(0, len(ids), QUERIES_PER_STEP):
                     step = slice(at, at + QUERIES_PER_STEP)

@@ -129,6 +129,40 @@ def test_large_cells_are_split(spark, data, monkeypatch):
         assert as_set(found) == brute_force(corpus, queries, 10)
 
 
+def test_grid_spreads_work_and_bounds_copies(spark, data, monkeypatch):
+    """One group in memory is still many tasks; small groups do not multiply the queries."""
+    parts, lanes = knn._grid(100_000, 100_000, 64, 36)
+    assert parts * lanes >= 36 and max(parts, lanes) <= 12
+    parts, lanes = knn._grid(10**7, 10**6, 1024, 36)
+    assert 10**7 * 8 * 1024 / parts <= knn.GROUP_BYTES
+    assert 10**13 * 1024 / (parts * lanes) <= knn.MOST_WORK
+    corpus, queries = (frame(spark, m, n) for m, n in zip(data, ("id", "query_id"), strict=True))
+    few = knn.knn_grid(corpus, queries, group_bytes=8 * DIM * 7).rdd.getNumPartitions()
+    assert few <= 4 * 2
+    monkeypatch.setattr(knn, "LEAST_WORK", 1)
+    seen = []
+    dealt = type(corpus).repartitionById
+    monkeypatch.setattr(
+        type(corpus), "repartitionById", lambda df, n, c: seen.append(n) or dealt(df, n, c)
+    )
+    for group_bytes in (knn.GROUP_BYTES, 3000):
+        found = knn.knn_grid(corpus, queries, 30, None, group_bytes)
+        assert as_set(found) == brute_force(*data, 30)
+    assert len(seen) == 3 and min(seen) >= 8
+
+
+def test_queries_of_a_cell_are_split(spark, data, monkeypatch):
+    monkeypatch.setattr(knn, "LANE_ROWS", 10)
+    corpus, queries = data
+    planes = knn.random_planes(2, DIM)
+    index = knn.with_cell(frame(spark, corpus, "id"), planes)
+    found = knn.knn_lsh(index, frame(spark, queries, "query_id"), planes, 4, 10)
+    assert as_set(found) == brute_force(corpus, queries, 10)
+    monkeypatch.setattr(knn, "TASK_ROWS", 100)
+    found = knn.knn_lsh(index, frame(spark, queries, "query_id"), planes, 4, 10, group_bytes=8 * DIM * 99)
+    assert as_set(found) == brute_force(corpus, queries, 10)
+
+
 def test_one_equals_batch(spark, data):
     corpus, queries = data
     vector = F.lit([float(x) for x in queries[2]]).cast("array<double>")
