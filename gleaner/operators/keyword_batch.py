@@ -6,7 +6,9 @@ must stand in the article as it is: the longest such word is the query's anchor,
 articles are joined with queries on it. A query of one or two words has no inner word;
 the distinct words of all articles that contain its longest part take that place. They
 are found in the vocabulary by a join on short character strings. What is joined is
-then tested for the whole query.
+then tested for the whole query. Where several words of an article contain the longest part
+of a query, the word of its first occurrence answers for all, so that matches of broadcast
+queries need no shuffle to be told apart.
 
 Queries below a proven size are broadcast and articles stay where they are; otherwise
 words and queries are shuffled, with the rows of frequent words spread by a salt.
@@ -30,6 +32,8 @@ from gleaner.settings import BROADCAST_LIMIT_BYTES, DEFAULT_PAGE_LIMIT
 GRAM = 3
 #: What a row of a broadcast table costs besides its texts.
 ROW_BYTES = 64
+#: Ranges of the source order that matches are counted by.
+RANGES = 256
 
 MATCH_DDL = "query_id bigint, id bigint, seq bigint"
 TOTAL_DDL = "query_id bigint, total bigint, first_seq bigint"
@@ -93,22 +97,15 @@ def keyword_pages(
 
     ``query_id, query, total, page, limit, total_pages``, then ``position`` and the item.
     A query with no item on the page (no match, blank, past the end) has one row with a
-    null position. Matches are dealt by ranges of the source order and counted per query
-    and range; the running sum of these counts says which ranges the page falls into, so
-    only they are ranked, and no task meets all matches of a query.
+    null position. Matches are counted per query and range of the source order; the running
+    sum of these counts says which ranges the page falls into, so only their matches, found
+    once more, are shuffled and ranked, and no task meets all matches of a query.
     """
-    spark, at = articles.sparkSession, Page.clamp(page, limit)
+    at = Page.clamp(page, limit)
     asked = _ask(queries)
     named = queries.select("query_id", "query")
     if asked.n_texts:
-        checkpoint_dir(spark)
-        ranged = (
-            _matches(articles, asked, broadcast_bytes)
-            .repartitionByRange("seq")
-            # Range bounds are sampled; the checkpoint pins them.
-            .withColumn("part", F.spark_partition_id())
-            .checkpoint()
-        )
+        ranged = _matches(_with_range(articles), asked, broadcast_bytes)
         items, totals = _page_of_each(articles, ranged, asked, at, broadcast_bytes)
         told = join_hot(
             asked.members, totals, ["rep_id"], "query_id", asked.n_texts, 24, broadcast_bytes
@@ -132,6 +129,17 @@ def keyword_pages(
     ).join(items, "query_id", "left")
 
 
+def _with_range(articles: DataFrame) -> DataFrame:
+    """Add ``part``, the range of the source order that an article lies in."""
+    shares = [nth / RANGES for nth in range(1, RANGES)]
+    bounds = articles.agg(F.percentile_approx("seq", shares, 100 * RANGES)).first()[0]
+    bounds = sorted(set(bounds or []))
+    if not bounds:
+        return articles.withColumn("part", F.lit(0))
+    passed = F.filter(F.array(*map(F.lit, bounds)), lambda bound: bound <= F.col("seq"))
+    return articles.withColumn("part", F.size(passed))
+
+
 def _page_of_each(
     articles: DataFrame, ranged: DataFrame, asked: Asked, at: Page, broadcast_bytes: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -216,12 +224,12 @@ def _words(articles: DataFrame, *carried: str) -> DataFrame:
 def _anchors(
     articles: DataFrame, asked: Asked, broadcast_bytes: int
 ) -> tuple[DataFrame, int, int]:
-    """``anchor, rep_id, q, sure``: words to look for, their number and bytes.
+    """``anchor, rep_id, q, sure, part``: words to look for, their number and bytes.
 
     ``sure`` says that an article with the word needs no further test.
     """
     inner = asked.texts.where(F.col("anchor").isNotNull()).select(
-        "anchor", "rep_id", "q", F.lit(False).alias("sure")
+        "anchor", "rep_id", "q", F.lit(False).alias("sure"), "part"
     )
     if not asked.part_sizes:
         return inner, asked.n_texts, asked.text_bytes
@@ -253,7 +261,8 @@ def _anchors(
     ).where(F.contains("anchor", "part"))
     checkpoint_dir(articles.sparkSession)
     # Pinned: its size decides how it is joined.
-    outer = found.select("anchor", "rep_id", "q", (F.col("part") == F.col("q")).alias("sure"))
+    sure = (F.col("part") == F.col("q")).alias("sure")
+    outer = found.select("anchor", "rep_id", "q", sure, "part")
     outer = outer.checkpoint()
     size = F.octet_length("q") + F.octet_length("anchor") + ROW_BYTES
     n, total = outer.agg(F.count("*"), F.sum(size)).first()
@@ -264,21 +273,40 @@ def _cut(size: int):
     return lambda at: F.substring(F.col("anchor"), at, F.lit(size))
 
 
+def _is_first_word() -> Column:
+    """Is ``anchor`` the word in which ``part`` stands first in the article?
+
+    Neither holds a blank, and an article's words come once each.
+    """
+    text = F.concat(F.lit(" "), "search_blob", F.lit(" "))
+    start = F.position("part", text) - F.position("part", "anchor")
+    word = F.substring(text, start, F.length("anchor") + 2)
+    return F.col("part").isNull() | (word == F.concat(F.lit(" "), "anchor", F.lit(" ")))
+
+
 def _matches(articles: DataFrame, asked: Asked, broadcast_bytes: int) -> DataFrame:
-    """(rep_id, id, seq) of every match of a distinct text."""
+    """(rep_id, id, seq) of every match of a distinct text, and ``part`` where there is one.
+
+    Articles come once each, as they are prepared.
+    """
     anchors, n, size = _anchors(articles, asked, broadcast_bytes)
     holds = F.col("sure") | F.contains("search_blob", "q")
+    named = [F.col(c).alias("range") for c in articles.columns if c == "part"]
+    kept = ["rep_id", "id", "seq", *(["range"] if named else [])]
+    articles = articles.select("id", "seq", "search_blob", *named)
     if size <= broadcast_bytes:
-        words = _words(articles, "id", "seq", "search_blob")
-        found = words.join(F.broadcast(anchors), "anchor").where(holds)
+        words = _words(articles, *articles.columns)
+        joined = words.join(F.broadcast(anchors), "anchor")
+        found = joined.where(holds & _is_first_word()).select(*kept)
     else:
         near = join_hot(
-            _words(articles, "id", "seq"), anchors, ["anchor"], "id", n, size, broadcast_bytes
+            _words(articles, *[c for c in articles.columns if c != "search_blob"]),
+            anchors.drop("part"), ["anchor"], "id", n, size, broadcast_bytes,
         )
         texts = articles.select("id", "seq", "search_blob")
         tested = near.where(~F.col("sure")).join(texts, ["id", "seq"]).where(holds)
-        found = near.where("sure").select("rep_id", "id", "seq").unionByName(
-            tested.select("rep_id", "id", "seq")
+        # The tested ones are dealt by article already; no query is among both.
+        found = near.where("sure").select(*kept).distinct().unionByName(
+            tested.select(*kept).distinct()
         )
-    # An article may hold several words of a text; they meet in one task before the shuffle.
-    return found.groupBy("rep_id", "id", "seq").agg(F.lit(1).alias("one")).drop("one")
+    return found.withColumnRenamed("range", "part") if named else found

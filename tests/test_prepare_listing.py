@@ -210,6 +210,25 @@ def test_keyword_batch_plan(spark, articles, plan):
         assert "Cartesian" not in text and "NestedLoop" not in text
 
 
+def test_matches_of_broadcast_queries_are_not_shuffled(spark, raw_rows, plan):
+    titles = ["ab cab ab xab", "xab ab", "cab abab", "c", "éab  ab"]
+    rows = [{"link": f"u{n}", "tieu_de": t, "summary": "bab"[: n % 4]} for n, t in enumerate(titles)]
+    articles, asked = prepare_articles(raw_rows(rows)).persist(), _asked(spark, ["ab", "b a", "ab "])
+    found = keyword_batch(articles, asked)
+    assert "hashpartitioning(rep_id" not in plan(found)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == _singly(articles, ["ab", "b a", "ab "])
+    told = {(r["query_id"], r["total"]) for r in keyword_totals(articles, asked).collect()}
+    assert told == {(q, sum(g[0] == q for g in got)) for q in {g[0] for g in got}}
+
+
+def test_scripts_are_looked_up_in_articles_prepared_once(spark, plan):
+    from gleaner.plans.workload import REGISTRY
+
+    text = plan(REGISTRY["keyword_scripts"](spark, "/root/testdata/sf0.001"))
+    assert "Window" not in text and "search_blob" in text
+
+
 def test_keyword_batch_without_queries(spark, articles):
     blank = _asked(spark, [" "])
     assert keyword_batch(articles, blank).count() == keyword_totals(articles, blank).count() == 0
