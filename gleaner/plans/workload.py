@@ -8,6 +8,7 @@ are missing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -86,6 +87,7 @@ SCRIPTS = [
 KEYWORD = "thé"
 LSH_BITS = 6
 BUCKETS = 8
+DROP_ROWS = 20_000  # of a file of a drop
 SEARCH_DIM = 256
 STATS_THRESHOLD = 0.25
 STRICT_THRESHOLD = 0.45
@@ -295,7 +297,11 @@ def keyword_scripts(t: Tables) -> DataFrame:
     """Matches per keyword over all articles, each title with a word of some script added."""
     word = F.get(F.array(*map(F.lit, SCRIPTS)), F.pmod("seq", F.lit(len(SCRIPTS))).cast("int"))
     title = F.concat(F.coalesce("tieu_de", F.lit("")), F.lit(" "), word)
-    articles = prepare.prepare_articles(t.raw().withColumn("tieu_de", title))
+    path = scratch_path(t.spark, "articles")
+    # Prepared once; every keyword then scans what it is looked up in.
+    prepared = prepare.prepare_articles(t.raw().withColumn("tieu_de", title))
+    prepared.select("seq", "search_blob").write.parquet(path)
+    articles = t.spark.read.parquet(path)
     totals = [
         listing.keyword_matches(articles, query)
         .agg(F.count("*").alias("total"), F.min("seq").alias("first_seq"))
@@ -664,14 +670,18 @@ def stream_ingest(t: Tables) -> DataFrame:
     """Three drops delivered twice; what is stored equals the batch result."""
     drops = scratch_path(t.spark, "drops")
     raw = t.raw()
-    third = (raw.agg(F.max("seq")).first()[0] or 0) // 3 + 1
+    last, n = raw.agg(F.max("seq"), F.count("*")).first()
+    third = (last or 0) // 3 + 1
+    files = math.ceil(max(n, 1) / (3 * DROP_ROWS))
     for part in (0, 1, 2) * 2:
-        # One after the other: files are taken in the order they were written.
+        # One after the other: files are taken in the order they were written. The rows of
+        # a URL stay in one file of a drop, so no batch parts them.
         drop = raw.where(F.floor(F.col("seq") / third) == part)
-        drop.coalesce(1).write.mode("append").parquet(drops)
+        dealt = drop.coalesce(1) if files == 1 else drop.repartition(files, prepare.strip("link"))
+        dealt.write.mode("append").parquet(drops)
     articles = ArticleStore(t.spark, scratch_path(t.spark, "articles"), BUCKETS)
     vectors = VectorStore(t.spark, scratch_path(t.spark, "vectors"))
-    stream = read_drops(t.spark, drops, raw.schema, max_files=2)
+    stream = read_drops(t.spark, drops, raw.schema, max_files=2 * files)
     start_ingest(
         stream, articles, vectors, embedder, scratch_path(t.spark, "progress"), SEARCH_DIM
     ).awaitTermination()

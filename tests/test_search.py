@@ -510,3 +510,20 @@ def test_replay_completes_a_half_written_delivery(spark, raw, scratch):
     for _ in range(2):
         ingest_batch(raw, articles, vectors, model, DIM)
         assert articles.count() == 40 and vectors.count() == 40
+
+
+def test_drops_of_several_files(spark, monkeypatch):
+    """Large drops are written by several tasks, with the same rows stored."""
+    from gleaner.plans import workload
+
+    monkeypatch.setattr(workload, "DROP_ROWS", 20)
+    read = []
+    drops = workload.read_drops
+    monkeypatch.setattr(
+        workload, "read_drops", lambda s, path, *a, **o: read.append(path) or drops(s, path, *a, **o)
+    )
+    sf_dir = "/root/testdata/sf0.001"
+    got = {r["id"]: r["seq"] for r in workload.REGISTRY["stream_ingest"](spark, sf_dir).collect()}
+    wanted = workload.Tables(spark, sf_dir).articles().select("id", "seq").collect()
+    assert got == {r["id"]: r["seq"] for r in wanted}
+    assert len(spark.read.parquet(read[0]).inputFiles()) > 6
