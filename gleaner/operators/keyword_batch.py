@@ -1,17 +1,16 @@
-"""Keyword search for many queries at once: an inverted join of words, then a check.
+"""Keyword search for many queries at once: a join on short strings, then a check.
 
 A query matches where its folded text is a substring of an article's search text. Words
-are what single blanks part, so a word inside a query (neither its first nor its last)
-must stand in the article as it is: the longest such word is the query's anchor, and
-articles are joined with queries on it. A query of one or two words has no inner word;
-the distinct words of all articles that contain its longest part take that place. They
-are found in the vocabulary by a join on short character strings. What is joined is
-then tested for the whole query. Where several words of an article contain the longest part
-of a query, the word of its first occurrence answers for all, so that matches of broadcast
-queries need no shuffle to be told apart.
-
-Queries below a proven size are broadcast and articles stay where they are; otherwise
-words and queries are shuffled, with the rows of frequent words spread by a salt.
+are what single blanks part, so where a query matches, its longest word stands inside a
+word of the article. Articles and queries therefore meet on a string of up to ``GRAM``
+characters, the head of that word: an article holds each such string once, so a query and
+an article meet once at most, and nothing is left to be told apart. A query that is that
+string needs no further test; any other is tested as a whole.
+
+An article's strings are cut out where it is scanned, and only those that some query asks
+for are kept. Queries below a proven size are broadcast and articles stay where they are;
+otherwise strings and queries are shuffled, with the rows of frequent strings spread by a
+salt, and only articles' texts and the queries left to test meet once more.
 """
 
 from __future__ import annotations
@@ -22,14 +21,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import fold, strip
-from gleaner.operators.bounds import broadcast_if_bounded, expand_to_members, join_hot
+from gleaner.operators.bounds import (
+    broadcast_if_bounded,
+    expand_to_members,
+    is_bounded,
+    join_hot,
+)
 from gleaner.operators.listing import ITEM_FIELDS, news_items
 from gleaner.operators.paging import Page
-from gleaner.session import checkpoint_dir
+from gleaner.session import scratch_path
 from gleaner.settings import BROADCAST_LIMIT_BYTES, DEFAULT_PAGE_LIMIT
 
-#: Characters of a part that the vocabulary is joined on; shorter parts use what they have.
-GRAM = 3
+#: Characters of a query's longest word that articles are joined on; shorter ones are whole.
+GRAM = 8
+#: Asked strings that are sent to the tasks as they are; of more, one bit each of ``MARKS``.
+LISTED = 10_000
+MARKS = 1 << 20
 #: What a row of a broadcast table costs besides its texts.
 ROW_BYTES = 64
 #: Ranges of the source order that matches are counted by.
@@ -43,12 +50,12 @@ TOTAL_DDL = "query_id bigint, total bigint, first_seq bigint"
 class Asked:
     """Distinct folded texts, who asked them, and how many there are."""
 
-    texts: DataFrame  # rep_id, q, anchor, part (one of both is null)
+    texts: DataFrame  # rep_id, q, gram
     members: DataFrame  # query_id, rep_id, n
     n_texts: int
     n_queries: int
     text_bytes: int
-    part_sizes: list[int]  # lengths of the strings that parts are looked up by
+    gram_sizes: list[int]  # lengths of the grams
 
 
 def keyword_batch(
@@ -97,15 +104,16 @@ def keyword_pages(
 
     ``query_id, query, total, page, limit, total_pages``, then ``position`` and the item.
     A query with no item on the page (no match, blank, past the end) has one row with a
-    null position. Matches are counted per query and range of the source order; the running
-    sum of these counts says which ranges the page falls into, so only their matches, found
-    once more, are shuffled and ranked, and no task meets all matches of a query.
+    null position. Matches are written down once and counted per query and range of the
+    source order; the running sum of these counts says which ranges the page falls into, so
+    only their matches are shuffled and ranked, and no task meets all matches of a query.
     """
     at = Page.clamp(page, limit)
     asked = _ask(queries)
     named = queries.select("query_id", "query")
     if asked.n_texts:
-        ranged = _matches(_with_range(articles), asked, broadcast_bytes)
+        found = _pinned(_matches(articles, asked, broadcast_bytes), "matches")
+        ranged = _with_range(found)
         items, totals = _page_of_each(articles, ranged, asked, at, broadcast_bytes)
         told = join_hot(
             asked.members, totals, ["rep_id"], "query_id", asked.n_texts, 24, broadcast_bytes
@@ -129,15 +137,28 @@ def keyword_pages(
     ).join(items, "query_id", "left")
 
 
-def _with_range(articles: DataFrame) -> DataFrame:
-    """Add ``part``, the range of the source order that an article lies in."""
+def _pinned(rows: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder, in columns, and read back: smaller than a checkpoint."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _with_range(matches: DataFrame) -> DataFrame:
+    """Add ``part``, the range of the source order that a match lies in."""
     shares = [nth / RANGES for nth in range(1, RANGES)]
-    bounds = articles.agg(F.percentile_approx("seq", shares, 100 * RANGES)).first()[0]
+    bounds = matches.agg(F.percentile_approx("seq", shares, 100 * RANGES)).first()[0]
     bounds = sorted(set(bounds or []))
     if not bounds:
-        return articles.withColumn("part", F.lit(0))
-    passed = F.filter(F.array(*map(F.lit, bounds)), lambda bound: bound <= F.col("seq"))
-    return articles.withColumn("part", F.size(passed))
+        return matches.withColumn("part", F.lit(0))
+    # Among every sixteenth bound first, then among the sixteen that follow.
+    rows = _passed(F.array(*map(F.lit, bounds[15::16]))) * 16 if bounds[15:] else F.lit(0)
+    within = _passed(F.slice(F.array(*map(F.lit, bounds)), rows + 1, F.lit(16)))
+    return matches.withColumn("part", rows + within)
+
+
+def _passed(bounds: Column) -> Column:
+    return F.size(F.filter(bounds, lambda bound: bound <= F.col("seq")))
 
 
 def _page_of_each(
@@ -184,21 +205,14 @@ def _ask(queries: DataFrame) -> Asked:
     distinct = members.groupBy("q").agg(
         F.min("query_id").alias("rep_id"), F.count("*").alias("n")
     )
-    words = F.split("q", " ")
-    inner = F.filter(
-        F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""
-    )
-    # A text of blanks only is looked for in every article: all hold the empty word.
-    anchor = F.when(F.trim("q") == "", "").otherwise(_longest(inner))
-    texts = distinct.select("rep_id", "n", "q", anchor.alias("anchor")).withColumn(
-        "part", F.when(F.col("anchor").isNull(), _longest(words))
-    )
-    size = F.least(F.length("part"), F.lit(GRAM))
+    # A text of blanks only has the empty gram, which every article holds.
+    gram = F.substring(_longest(F.split("q", " ")), 1, GRAM)
+    texts = distinct.select("rep_id", "n", "q", gram.alias("gram"))
     told = texts.agg(
         F.count("*"),
         F.sum("n"),
         F.sum(2 * F.octet_length("q") + ROW_BYTES),
-        F.collect_set(size),  # at most GRAM numbers
+        F.collect_set(F.length("gram")),  # at most GRAM + 1 numbers
     ).first()
     key = F.sha2("q", 256).alias("key")
     reps = texts.select(key, "rep_id", "n")
@@ -216,97 +230,72 @@ def _ask(queries: DataFrame) -> Asked:
 # --- matching --------------------------------------------------------------------
 
 
-def _words(articles: DataFrame, *carried: str) -> DataFrame:
-    words = F.array_distinct(F.concat(F.split("search_blob", " "), F.array(F.lit(""))))
-    return articles.select(*carried, F.explode(words).alias("anchor"))
+def _grams(asked: Asked) -> Column:
+    """The distinct strings that some text is looked up by and the article holds.
 
+    Where texts are looked up by very many, some others that share a mark with one.
+    """
+    words = F.array_distinct(F.split("search_blob", " "))
+    held = F.flatten(F.transform(words, lambda word: _cut(word, asked.gram_sizes)))
+    if 0 in asked.gram_sizes:
+        held = F.concat(held, F.array(F.lit("")))
+    grams = asked.texts.select("gram").distinct()
+    listed = [row["gram"] for row in grams.limit(LISTED + 1).collect()]
+    if len(listed) <= LISTED:
+        return F.array_intersect(held, F.split(F.lit(" ".join(listed)), " "))
+    marks = [0] * (MARKS // 32)
+    for row in grams.select(_mark("gram").alias("at")).distinct().toLocalIterator():
+        marks[row["at"] >> 5] |= 1 << (row["at"] & 31)
+    bits = F.split(F.lit(" ".join(map(str, marks))), " ").cast("array<bigint>")
 
-def _anchors(
-    articles: DataFrame, asked: Asked, broadcast_bytes: int
-) -> tuple[DataFrame, int, int]:
-    """``anchor, rep_id, q, sure, part``: words to look for, their number and bytes.
+    def asked_for(gram: Column) -> Column:
+        at = _mark(gram)
+        of_its_32 = F.get(bits, F.shiftright(at, 5).cast("int"))
+        return F.getbit(of_its_32, F.pmod(at, F.lit(32)).cast("int")) == 1
 
-    ``sure`` says that an article with the word needs no further test.
-    """
-    inner = asked.texts.where(F.col("anchor").isNotNull()).select(
-        "anchor", "rep_id", "q", F.lit(False).alias("sure"), "part"
-    )
-    if not asked.part_sizes:
-        return inner, asked.n_texts, asked.text_bytes
-    gram = F.substring("part", 1, GRAM)
-    parts = asked.texts.where(F.col("part").isNotNull()).select(
-        gram.alias("gram"), "part", "rep_id", "q"
-    )
-    vocabulary = _words(articles).distinct().where("anchor <> ''")
-    last = F.length("anchor")
-    grams = F.array_distinct(
-        F.flatten(
-            F.array(
-                *(
-                    F.when(
-                        last >= size,
-                        F.transform(
-                            F.sequence(F.lit(1), F.greatest(last - size + 1, F.lit(1))),
-                            _cut(size),
-                        ),
-                    ).otherwise(F.array().cast("array<string>"))
-                    for size in asked.part_sizes
-                )
-            )
-        )
-    )
-    spelled = vocabulary.select("anchor", F.explode(grams).alias("gram"))
-    found = join_hot(
-        spelled, parts, ["gram"], "anchor", 1, asked.text_bytes, broadcast_bytes
-    ).where(F.contains("anchor", "part"))
-    checkpoint_dir(articles.sparkSession)
-    # Pinned: its size decides how it is joined.
-    sure = (F.col("part") == F.col("q")).alias("sure")
-    outer = found.select("anchor", "rep_id", "q", sure, "part")
-    outer = outer.checkpoint()
-    size = F.octet_length("q") + F.octet_length("anchor") + ROW_BYTES
-    n, total = outer.agg(F.count("*"), F.sum(size)).first()
-    return inner.unionByName(outer), asked.n_texts + n, asked.text_bytes + (total or 0)
+    return F.filter(F.array_distinct(held), asked_for)
 
 
-def _cut(size: int):
-    return lambda at: F.substring(F.col("anchor"), at, F.lit(size))
+def _mark(gram: Column | str) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(MARKS))
 
 
-def _is_first_word() -> Column:
-    """Is ``anchor`` the word in which ``part`` stands first in the article?
+def _cut(word: Column, sizes: list[int]) -> Column:
+    """Every string of one of these lengths in a word."""
+    last = F.length(word)
+    none = F.array().cast("array<string>")
 
-    Neither holds a blank, and an article's words come once each.
-    """
-    text = F.concat(F.lit(" "), "search_blob", F.lit(" "))
-    start = F.position("part", text) - F.position("part", "anchor")
-    word = F.substring(text, start, F.length("anchor") + 2)
-    return F.col("part").isNull() | (word == F.concat(F.lit(" "), "anchor", F.lit(" ")))
+    def pieces(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(last - size + 1, F.lit(1)))
+        cut = F.transform(starts, lambda at: F.substring(word, at, F.lit(size)))
+        return F.when(last >= size, cut).otherwise(none)
+
+    return F.concat(none, *[pieces(size) for size in sizes if size])
 
 
 def _matches(articles: DataFrame, asked: Asked, broadcast_bytes: int) -> DataFrame:
-    """(rep_id, id, seq) of every match of a distinct text, and ``part`` where there is one.
+    """(rep_id, id, seq) of every match of a distinct text.
 
     Articles come once each, as they are prepared.
     """
-    anchors, n, size = _anchors(articles, asked, broadcast_bytes)
-    holds = F.col("sure") | F.contains("search_blob", "q")
-    named = [F.col(c).alias("range") for c in articles.columns if c == "part"]
-    kept = ["rep_id", "id", "seq", *(["range"] if named else [])]
-    articles = articles.select("id", "seq", "search_blob", *named)
-    if size <= broadcast_bytes:
-        words = _words(articles, *articles.columns)
-        joined = words.join(F.broadcast(anchors), "anchor")
-        found = joined.where(holds & _is_first_word()).select(*kept)
-    else:
-        near = join_hot(
-            _words(articles, *[c for c in articles.columns if c != "search_blob"]),
-            anchors.drop("part"), ["anchor"], "id", n, size, broadcast_bytes,
-        )
-        texts = articles.select("id", "seq", "search_blob")
-        tested = near.where(~F.col("sure")).join(texts, ["id", "seq"]).where(holds)
-        # The tested ones are dealt by article already; no query is among both.
-        found = near.where("sure").select(*kept).distinct().unionByName(
-            tested.select(*kept).distinct()
-        )
-    return found.withColumnRenamed("range", "part") if named else found
+    articles = articles.select("id", "seq", "search_blob")
+    # Where a text is its own gram there is nothing left to test.
+    q = F.when(F.col("q") != F.col("gram"), F.col("q")).alias("q")
+    texts = asked.texts.select("rep_id", "gram", q)
+    holds = F.col("q").isNull() | F.contains("search_blob", "q")
+    gram = F.explode(_grams(asked)).alias("gram")
+    if is_bounded(1, asked.text_bytes, broadcast_bytes):
+        met = articles.select("*", gram).join(F.broadcast(texts), "gram")
+        return met.where(holds).select("rep_id", "id", "seq")
+    # Read twice; preparing them anew would shuffle their texts once more.
+    articles = _pinned(articles, "articles")
+    met = join_hot(
+        articles.select("id", "seq", gram),
+        texts, ["gram"], "id", asked.n_texts, asked.text_bytes, broadcast_bytes,
+    ).select("rep_id", "id", "seq", "q")
+    # Compared null-safe, no side is filtered, and both uses of ``met`` share its shuffles.
+    of = articles.select(F.col("id").alias("of_id"), F.col("seq").alias("of_seq"), "search_blob")
+    same = F.col("id").eqNullSafe(F.col("of_id")) & F.col("seq").eqNullSafe(F.col("of_seq"))
+    tested = met.where("q IS NOT NULL").join(of, same).where(holds)
+    columns = ["rep_id", "id", "seq"]
+    return met.where("q IS NULL").select(*columns).unionByName(tested.select(*columns))

@@ -222,6 +222,22 @@ def test_matches_of_broadcast_queries_are_not_shuffled(spark, raw_rows, plan):
     assert told == {(q, sum(g[0] == q for g in got)) for q in {g[0] for g in got}}
 
 
+def test_parts_of_many_words_stay_broadcast(spark, raw_rows, plan):
+    """What is joined is as large as the queries, not as the words that contain them."""
+    rows = [{"link": f"u{n}", "tieu_de": f"abc{n} bcd{n}", "summary": f"cab{n}a"} for n in range(300)]
+    articles, texts = prepare_articles(raw_rows(rows)).persist(), ["a", "b", "c", "bc", "a b"]
+    found = keyword_batch(articles, _asked(spark, texts), 1000)
+    assert "salt" not in plan(found) and "BroadcastHashJoin" in plan(found)
+    assert {tuple(r) for r in found.collect()} == _singly(articles, texts)
+
+
+def test_keyword_batch_with_marks_of_many_grams(spark, articles, monkeypatch):
+    monkeypatch.setattr("gleaner.operators.keyword_batch.LISTED", 2)
+    for limit in (1 << 20, 0):
+        found = [tuple(r) for r in keyword_batch(articles, _asked(spark), limit).collect()]
+        assert set(found) == _singly(articles) and len(found) == len(set(found))
+
+
 def test_scripts_are_looked_up_in_articles_prepared_once(spark, plan):
     from gleaner.plans.workload import REGISTRY
 
